@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from asmlens.llm.quality import op1_quality_rules
 from asmlens.llm.simhash import op2_simhash_pivots
+from asmlens.llm.suffix import op4_suffix_lpf
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op4_suffix_lpf": op4_suffix_lpf,
 }
 
 ORACLE_SQL: dict[str, str] = {}
