@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from asmlens.llm.mixing import op7_mixing_tree
+from asmlens.llm.pieces import op5_sentencepiece_offsets
 from asmlens.llm.quality import op1_quality_rules
 from asmlens.llm.simhash import op2_simhash_pivots
 from asmlens.llm.suffix import op4_suffix_lpf
@@ -10,6 +12,8 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op4_suffix_lpf": op4_suffix_lpf,
+    "op5_sentencepiece_offsets": op5_sentencepiece_offsets,
+    "op7_mixing_tree": op7_mixing_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -245,7 +245,7 @@ def _hot_matches(cut: DataFrame, first: bool) -> DataFrame:
     begin, size = F.shiftright("at", 8), F.col("at").bitwiseAND(F.lit(255))
     whole = some.where(place > F.col("lead")) if first else some.where("n > 1")
     parts = some.where(place == F.col("lead")) if first else some.where("n = 1")
-    parts = parts.join(offs, ["h", "c"]).select("k1", "k2", (begin + F.explode("offs")).alias("start"))
+    parts = parts.join(offs, ["h", "c"]).select("k1", "k2", "at", F.explode("offs").alias("off")).select("k1", "k2", (begin + F.col("off")).alias("start"))
     return whole.select("k1", "k2", begin.alias("start"), (begin + size).alias("stop")).unionByName(parts.withColumn("stop", F.col("start") + 1))
 
 
