@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from asmlens.llm import licenses, sharding
+from asmlens.llm.chat import op8_chat_formatting
+from asmlens.llm.licenses import op9_license_digests
 from asmlens.llm.mixing import op7_mixing_tree
 from asmlens.llm.pieces import op5_sentencepiece_offsets
 from asmlens.llm.quality import op1_quality_rules
+from asmlens.llm.sharding import op10_extendible_sharding
 from asmlens.llm.simhash import op2_simhash_pivots
 from asmlens.llm.suffix import op4_suffix_lpf
 
@@ -14,6 +18,12 @@ QUERIES = {
     "op4_suffix_lpf": op4_suffix_lpf,
     "op5_sentencepiece_offsets": op5_sentencepiece_offsets,
     "op7_mixing_tree": op7_mixing_tree,
+    "op8_chat_formatting": op8_chat_formatting,
+    "op9_license_digests": op9_license_digests,
+    "op10_extendible_sharding": op10_extendible_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_license_digests": licenses.ORACLE,
+    "op10_extendible_sharding": sharding.ORACLE,
+}
