@@ -11,12 +11,16 @@ from asmlens.llm.quality import op1_quality_rules
 from asmlens.llm.sharding import op10_extendible_sharding
 from asmlens.llm.simhash import op2_simhash_pivots
 from asmlens.llm.suffix import op4_suffix_lpf
+from asmlens.llm.toxicity import op3_toxicity_ordinal
+from asmlens.llm.vectors import op6_subspace_pigeonhole
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_toxicity_ordinal": op3_toxicity_ordinal,
     "op4_suffix_lpf": op4_suffix_lpf,
     "op5_sentencepiece_offsets": op5_sentencepiece_offsets,
+    "op6_subspace_pigeonhole": op6_subspace_pigeonhole,
     "op7_mixing_tree": op7_mixing_tree,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_digests": op9_license_digests,
