@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from asmlens.functions.columns import path_part, random_int, random_text, sanitize
 
 
-def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_insert: int = 30000, seed: int = 0, key: str | Column = "read_id", ties: tuple = (), read_length: str | Column = F.length("seq")) -> DataFrame:
+def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_insert: int = 30000, seed: int = 0, key: str | Column = "read_id", ties: tuple = (), read_length: str | Column | None = None) -> DataFrame:
     """SMP1: per contig, reads in hash order while the coverage so far stays below ``max_cov``; too wide inserts go.
 
     Adds ``cov``, the coverage with the read. The order is by a hash of ``key`` and then ``ties``.
@@ -16,7 +16,7 @@ def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_in
     names = [k for k in ("sample", "contig") if k in aln.columns and k in contigs.columns]
     rows = aln.where(F.abs("tlen") <= max_insert).join(contigs.select(*names, "length"), names)
     w = Window.partitionBy(*names).orderBy(random_int(key, seed), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cov", F.sum(read_length).over(w) / F.col("length"))
+    rows = rows.withColumn("cov", F.sum(F.length("seq") if read_length is None else read_length).over(w) / F.col("length"))
     return rows.where(F.col("cov") < max_cov)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.operators import misassembly as M
@@ -46,8 +48,9 @@ def _expanded(t: Tables) -> DataFrame:
     return P.expand_alignments(t.alignments(), t.contigs(), keep=("flag", "mapq", "tlen", "as_score"))
 
 
-def _agg(*columns) -> callable:
-    return lambda t: _expanded(t).groupBy("contig", "position").agg(*[c for group in columns for c in (group(t) if callable(group) else group)])
+def _agg(columns: Callable[[Column], list[Column]]) -> Callable[[Tables], DataFrame]:
+    """A builder of position aggregates; ``columns`` gets the match flag."""
+    return lambda t: _expanded(t).groupBy("contig", "position").agg(*columns(F.col("is_match")))
 
 
 @query("pil1_expand_alignments", duck("SELECT contig, position, base, count(*) AS n FROM expanded GROUP BY ALL", "aln", "expanded"))
@@ -70,21 +73,21 @@ def _pos(columns: str) -> str:
     return duck(f"SELECT contig, position, {columns} FROM expanded GROUP BY contig, position", "aln", "expanded")
 
 
-query("pil3_pair_class_counts", _pos(_PAIR))(_agg(P.pair_class_counts(F.col("is_match"))))
-query("pil4_coverage", _pos("count(*) AS coverage"))(_agg([F.count("*").alias("coverage")]))
+query("pil3_pair_class_counts", _pos(_PAIR))(_agg(P.pair_class_counts))
+query("pil4_coverage", _pos("count(*) AS coverage"))(_agg(lambda m: [F.count("*").alias("coverage")]))
 _BASES = ", ".join(f"count_if(base = '{b}' AND ln % 3 <> 0) AS num_query_{b}" for b in "ACGT")
-query("pil5_base_counts", _pos(_BASES))(_agg(P.base_counts()))
+query("pil5_base_counts", _pos(_BASES))(_agg(lambda m: P.base_counts()))
 query("pil6_num_snps", _pos("count_if(base <> ref_base AND ln % 3 <> 0) AS num_SNPs"))(lambda t: P.pileup(_expanded(t), "short").select("contig", "position", F.col("num_SNPs").cast("long").alias("num_SNPs")))
-query("pil7_insert_size_stats", _pos(_four("tlen", "insert_size_Match", _MATCH)), "mean_insert_size_Match stdev_insert_size_Match")(_agg(P.insert_size_stats(F.col("is_match"))))
-query("pil8_mapq_stats", _pos(_four("mapq", "mapq_Match", _MATCH)), "mean_mapq_Match stdev_mapq_Match")(_agg(P.mapq_stats(F.col("is_match"))))
-query("pil9_al_score_stats", _pos(_four("greatest(-128, least(127, as_score))", "al_score_Match", _MATCH)), "mean_al_score_Match stdev_al_score_Match")(_agg(P.al_score_stats(F.col("is_match"))))
-query("pil10_supp_secondary_counts", _pos(f"count_if(flag & 2048 > 0 AND {_MATCH}) AS num_supplementary_Match, count_if(flag & 256 > 0 AND {_MATCH}) AS num_secondary_Match"))(_agg(P.supp_secondary_counts(F.col("is_match"))))
+query("pil7_insert_size_stats", _pos(_four("tlen", "insert_size_Match", _MATCH)), "mean_insert_size_Match stdev_insert_size_Match")(_agg(P.insert_size_stats))
+query("pil8_mapq_stats", _pos(_four("mapq", "mapq_Match", _MATCH)), "mean_mapq_Match stdev_mapq_Match")(_agg(P.mapq_stats))
+query("pil9_al_score_stats", _pos(_four("greatest(-128, least(127, as_score))", "al_score_Match", _MATCH)), "mean_al_score_Match stdev_al_score_Match")(_agg(P.al_score_stats))
+query("pil10_supp_secondary_counts", _pos(f"count_if(flag & 2048 > 0 AND {_MATCH}) AS num_supplementary_Match, count_if(flag & 256 > 0 AND {_MATCH}) AS num_secondary_Match"))(_agg(P.supp_secondary_counts))
 query(
     "pil11_snp_side_stats",
     _pos(f"{_four('tlen', 'insert_size_SNP', 'base <> ref_base')}, {_four('mapq', 'mapq_SNP', 'base <> ref_base')}, count_if(flag & 2 = 0 AND flag & 8 = 0 AND NOT {_MATCH}) AS num_discordant_SNP, "
          f"count_if(flag & 8 = 8 AND NOT {_MATCH}) AS num_orphans_SNP, count_if(flag & 2048 > 0 AND NOT {_MATCH}) AS num_supplementary_SNP, count_if(flag & 256 > 0 AND NOT {_MATCH}) AS num_secondary_SNP"),
     "mean_insert_size_SNP stdev_insert_size_SNP mean_mapq_SNP stdev_mapq_SNP",
-)(_agg(P.snp_side_stats()))
+)(_agg(lambda m: P.snp_side_stats()))
 
 _DENSE = duck(
     """SELECT c.contig, p.position, substr('ACGT', CAST((c.contig * 7 + p.position * 3) % 4 AS INT) + 1, 1) AS ref_base, coalesce(e.coverage, 0) AS coverage, e.max_mapq AS max_mapq_Match

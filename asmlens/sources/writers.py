@@ -29,9 +29,9 @@ def write_position_features(features: DataFrame, path: str, as_text: bool = Fals
 
 def contig_arrays(features: DataFrame, columns: list[str], by: tuple[str, ...] = ("contig",)) -> DataFrame:
     """SNK2: one row a contig, one array a feature in order of position, and its length."""
-    rows = F.array_sort(F.collect_list(F.struct("position", *columns)))
+    rows = F.array_sort(F.collect_list(F.struct("position", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))))
     out = features.groupBy(*by).agg(rows.alias("r"))
-    return out.select(*by, F.size("r").alias("length"), *(F.transform("r", lambda x, c=c: x[c]).alias(c) for c in columns))
+    return out.select(*by, F.size("r").alias("length"), *(F.col("r")[f"c{k}"].alias(c) for k, c in enumerate(columns)))
 
 
 def write_contig_arrays(features: DataFrame, path: str, columns: list[str], by: tuple[str, ...] = ("contig",)) -> None:
