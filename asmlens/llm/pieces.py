@@ -130,11 +130,11 @@ class Encoder:
         crossing = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces) or not proto.normalizer_spec.escape_whitespaces
         self.segments = (lambda text: [text]) if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.unknown = self.library.unk_id()
-        self.size = [1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces]  # type 6: a single byte
-        self.known: dict[str, tuple[str, list[int], list[int]]] = {}
+        self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces])  # type 6: a single byte
+        self.known: dict[str, tuple[str, list[int], list[int] | None]] = {}
         self.most, self.longest = most, longest
 
-    def _learn(self, segments: set[str]) -> dict[str, tuple[str, list[int], list[int]]]:
+    def _learn(self, segments: set[str]) -> dict[str, tuple[str, list[int], list[int] | None]]:
         new = list(segments)
         drop = 1 if self.normal.prefix else 0  # the library writes the mark before a text itself
         texts = [s[drop:] if s[:drop] == MARK else s for s in new]
@@ -142,18 +142,18 @@ class Encoder:
         for s, t, ids in zip(new, texts, self.library.encode(texts, num_threads=1)):
             if s == MARK and not ids:  # the library gives nothing for an empty text
                 ids = [self.library.piece_to_id(MARK)]
-            sizes = [self.size[i] for i in ids]
+            sizes = None  # as the table says
             if self.unknown in ids:  # its surface is as long as the unknown run
                 sizes = [len(p.encode()) for p in self.library.encode(t, out_type=str)]
             out[s] = (" ".join(map(str, ids)), ids, sizes)
         return out
 
-    def parts(self, text: str) -> tuple[list[tuple[str, list[int], list[int]]], np.ndarray]:
+    def parts(self, text: str) -> tuple[list[tuple[str, list[int], list[int] | None]], np.ndarray]:
         normal, source = self.normal(text)
         if not normal:
             return [], source
         segments = self.segments(normal)
-        if missing := set(segments) - self.known.keys():
+        if missing := {s for s in segments if s not in self.known}:
             found = self._learn(missing)
             if len(self.known) > self.most:
                 self.known.clear()
@@ -166,9 +166,12 @@ class Encoder:
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
         """Ids with the end id, start and end byte of each piece (the end id has an empty span), ids as text."""
         parts, source = self.parts(text)
-        ids = list(chain.from_iterable(p[1] for p in parts))
-        ends = np.cumsum(np.fromiter(chain.from_iterable(p[2] for p in parts), np.int64, len(ids)))
-        line = " ".join([*(p[0] for p in parts), str(self.end)])
+        ids = list(chain.from_iterable([p[1] for p in parts]))
+        sizes = self.size[np.array(ids, np.int64)]
+        if self.unknown in ids:
+            sizes = np.array(list(chain.from_iterable(self.size[p[1]].tolist() if p[2] is None else p[2] for p in parts)), np.int64)
+        ends = np.cumsum(sizes)
+        line = " ".join([p[0] for p in parts] + [str(self.end)])
         stop = np.append(source[ends], source[-1])
         start = np.append(source[np.concatenate([[0], ends[:-1]])] if len(ids) else ends, source[-1])
         ids.append(self.end)
