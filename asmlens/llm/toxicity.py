@@ -35,7 +35,7 @@ from asmlens.llm import _text as X
 from asmlens.llm._spark import written
 
 MOST_ROWS, MOST_FEATURES = 20_000, 4096
-LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 3, 0.0025, 20.0
+LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 5, 0.0025, 20.0
 GRADE_EDGES = (2, 5)
 
 LOWER = np.arange(256, dtype=np.uint8)
