@@ -211,10 +211,12 @@ def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the least id (of rows that share it, the least text)."""
-    fp, component = fresh(docs, "fp"), fresh(docs, "component")
+    fp, key, no_id = (fresh(docs, n) for n in ("fp", "doc_key", "no_id"))
     found = near_duplicates(docs)
-    first = found.groupBy(F.col("component_id").alias(component)).agg(F.min(F.struct("doc_id", "fp")).alias(fp))
-    first = first.select(F.col(f"{fp}.doc_id").alias(component), F.col(f"{fp}.fp").alias(fp))
-    stamped = fingerprints(docs, into=fp)
-    kept = stamped.join(first, stamped["doc_id"].eqNullSafe(first[component]) & (stamped[fp] == first[fp]), "left_semi")
-    return kept.drop(fp).dropDuplicates(["doc_id"])
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
+    # null ids get a key of their own, so that both sides are dealt by the same plain columns
+    named = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    first = first.select(named(F.col("r.doc_id")).alias(key), F.col("r.doc_id").isNull().alias(no_id), F.col("r.fp").alias(fp))
+    stamped = fingerprints(docs, into=fp).withColumns({key: named(F.col("doc_id")), no_id: F.col("doc_id").isNull()})
+    kept = stamped.join(first, [key, no_id, fp], "left_semi").dropDuplicates([key, no_id, fp])  # one exchange of the texts serves both
+    return kept.select(*docs.columns)

@@ -282,20 +282,21 @@ def _apply(first: bool, with_text: bool):
                             whole = np.logical_and.reduceat(out, lead)
                             out = np.repeat(whole, np.diff(np.append(lead, len(own))))
                         kept.append(own[~out].tobytes().decode("utf-8", "replace"))
-            columns = [k1, k2, pa.array(removed, pa.int64()), pa.array(parts, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], names=LEFT[: 5 + with_text])
+            columns = [k1, k2, batch.column(2), pa.array(removed, pa.int64()), pa.array(parts, pa.int64()), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.string())] if with_text else [])], names=LEFT[: 6 + with_text])
 
     return apply
 
 
-LEFT = ["k1", "k2", "n_removed", "n_spans", "kept_sha256", "kept_text"]
+LEFT = ["k1", "k2", "first", "n_removed", "n_spans", "kept_sha256", "kept_text"]
 
 
 def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: str = "none", with_text: bool = False) -> tuple[DataFrame, DataFrame]:
     """What repeated passages leave of each distinct text of ``LEAST`` bytes or more.
 
     Returns rows (k1, k2, first, n_removed, n_spans, kept_sha256[, kept_text]) and ``docs``
-    with the key (k1, k2) of its text, for joining; ``first`` is the least id with that text.
+    with the key (k1, k2) of its text, for joining; ``first`` is the least id with that
+    text under ``keep="first"``.
     """
     first = keep == "first"
     body = F.coalesce(F.col(text), F.lit(""))
@@ -317,7 +318,7 @@ def passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep:
     hot = again.where(F.col("n") > HOT)
     flagged = few if hot.isEmpty() else few.unionByName(_hot_matches(cut(hot), first))
     spans = flagged.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    schema = "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "k1 long, k2 long, first long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     left = texts.join(spans, ["k1", "k2"], "left").select("k1", "k2", "ord", "n", "text", "spans").mapInArrow(_apply(first, with_text), schema)
     return left, docs.select("*", *key)
 
@@ -342,13 +343,13 @@ def cut_later_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages that occur earlier (in order of id) are cut from the texts; every row stays."""
     names = docs.columns
     left, keyed = passages(docs, keep="first", with_text=True)
-    least = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("k2"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("least"))
-    least = least.groupBy("k1", "k2").agg(F.min("least").alias("least"))
-    left = left.join(least, ["k1", "k2"]).select(F.struct("k1", "k2").alias("key"), F.struct("least", "kept_text").alias("left"))
-    key, out = fresh(docs, "key"), fresh(docs, "left")
+    short, out = fresh(docs, "short_text"), fresh(docs, "left")
+    k1, k2 = fresh(docs, "k1"), fresh(docs, "k2")
     body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn(key, F.struct(F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2")))
-    rows = rows.join(left.select(F.col("key").alias(key), F.col("left").alias(out)), key, "left")
-    later = F.coalesce("doc_id", F.lit((1 << 63) - 1)) > F.col(out)["least"]
-    text = F.when(F.col(out).isNull(), F.col("text")).when(later, F.lit("")).otherwise(F.col(out)["kept_text"])
+    # only texts that nothing can be cut from travel with their rows; the others come once, from what is left
+    rows = docs.withColumns({k1: F.xxhash64(body), k2: F.xxhash64(F.lit(1), body), short: F.when(F.octet_length(body) < LEAST, F.col("text"))}).drop("text")
+    left = left.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.struct("first", "kept_text").alias(out))
+    rows = rows.join(left, [k1, k2], "left")
+    later = F.coalesce("doc_id", F.lit((1 << 63) - 1)) > F.col(out)["first"]
+    text = F.when(F.col(out).isNull(), F.col(short)).when(later, F.lit("")).otherwise(F.col(out)["kept_text"])
     return rows.withColumn("text", text).select(*names)
