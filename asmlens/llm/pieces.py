@@ -117,7 +117,7 @@ class Normalizer:
 class Encoder:
     """A tokenizer with a bounded memory of segments."""
 
-    def __init__(self, path: str, most: int = 300_000, longest: int = 200):
+    def __init__(self, path: str, most: int = 100_000, longest: int = 200):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -205,8 +205,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", outputs: tuple[str,
         tool = Encoder(model)
         kinds = {"ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "n_tokens": pa.int64(), "covered_bytes": pa.int64()}
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
                 made: dict[str, list] = {o: [] for o in outputs}
                 for value in part.column(at):
                     ids, start, stop, line = tool.encode(value.as_py() or "")

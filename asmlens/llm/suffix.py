@@ -39,6 +39,7 @@ from asmlens.llm._spark import fresh, written
 LEAST, GRAM, HOT = 200, 32, 20_000
 PLACE = np.uint64((1 << 24) - 1)
 STEP = 1 << 20
+SLICE = 2500
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, least: int = LEAST) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -200,9 +201,7 @@ def _match(first: bool):
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             h = batch.column(0).to_numpy()
             last = int(np.searchsorted(h, h[-1]))
             if last:
