@@ -35,7 +35,7 @@ from asmlens.llm._spark import written
 from asmlens.llm.components import connected_components
 from asmlens.llm.simhash import stars
 
-COSINE, BLOCK, WIDE, CROWD = 0.95, 8, 4.0, 2000
+COSINE, BLOCK, WIDE, CROWD, LARGE = 0.95, 8, 4.0, 2000, 2048
 SLACK = 1e-6  # float error of the block distances
 
 
@@ -121,6 +121,12 @@ def _compare(cosine: float, chunk: int = 1 << 18):
             norm = np.linalg.norm(x, axis=1)
             turned = (x / norm[:, None]) @ rotation(int(size))
             parts = blocks(int(size), cosine)
+            # the dimensions of each row's own block, which most pairs fail
+            narrow = np.zeros((len(own), max(dims.stop - dims.start for dims, _ in parts)))
+            for nth, (dims, _) in enumerate(parts):
+                rows = np.flatnonzero(block[own] == nth)
+                narrow[rows, : dims.stop - dims.start] = turned[rows, dims]
+            budgets = np.array([budget for _, budget in parts])[block[own]]
             # visitors meet homes; homes meet the homes after them
             order = np.lexsort((~home[own], group[own]))
             g, h = group[own][order], home[own][order]
@@ -130,30 +136,49 @@ def _compare(cosine: float, chunk: int = 1 << 18):
             place = np.arange(len(g)) - heads[at]
             reach = np.where(h, np.maximum(n_home[at] - place - 1, 0), n_home[at])
             from_ = np.where(h, np.arange(len(g)) + 1, heads[at])
-            steps = np.concatenate([[0], np.cumsum(reach)])
-            k = 0
-            while k < len(g):
-                stop = max(k + 1, int(np.searchsorted(steps, steps[k] + chunk, side="right")) - 1)
-                i = np.repeat(np.arange(k, stop), reach[k:stop])
-                j = np.repeat(from_[k:stop], reach[k:stop]) + np.arange(len(i)) - np.repeat(steps[k:stop] - steps[k], reach[k:stop])
-                a, b = order[i], order[j]
+            def settle(a: np.ndarray, b: np.ndarray) -> None:
+                """Count and link the pairs (indices into ``own``) that their block may count."""
+                step = narrow[a]
+                step -= narrow[b]
+                keep = np.einsum("ij,ij->i", step, step) <= budgets[a]
+                a, b = a[keep], b[keep]
+                apart = (turned[a] - turned[b]) ** 2
                 keep = node[own[a]] != node[own[b]]
+                for nth, (dims, budget) in enumerate(parts[:-1]):  # the first block that holds the pair counts it
+                    keep &= (block[own[a]] <= nth) | (apart[:, dims].sum(1) > budget)
                 a, b = a[keep], b[keep]
-                mine = block[own[a]]
-                for nth, (dims, budget) in enumerate(parts):
-                    now, later = mine == nth, mine > nth
-                    if not (now.any() or later.any()):
-                        continue
-                    gap = ((turned[a, dims] - turned[b, dims]) ** 2).sum(1)
-                    near = gap <= budget
-                    keep = np.where(now, near, np.where(later, ~near, True))  # the first block that holds the pair counts it
-                    a, b, mine = a[keep], b[keep], mine[keep]
                 sure = (x[a] * x[b]).sum(1) / (norm[a] * norm[b]) >= cosine
                 a, b = own[a[sure]], own[b[sure]]
                 np.add.at(links, a, n[b])
                 np.add.at(links, b, n[a])
                 if len(a):
                     linked.append(np.stack([a, b]))
+
+            # larger cells: distances of a few homes to all rows by a matrix product, with room for its rounding
+            counts = np.diff(np.append(heads, len(g)))
+            large = n_home * counts > LARGE
+            for c in np.flatnonzero(large):
+                rows = order[heads[c] : heads[c] + counts[c]]
+                p = narrow[rows].astype(np.float32)
+                square = np.einsum("ij,ij->i", p, p)
+                limit = np.float32(budgets[rows[0]] * 1.0001 + 1e-5)
+                for low in range(0, n_home[c], max(1, chunk // counts[c])):
+                    high = min(n_home[c], low + max(1, chunk // counts[c]))
+                    gap = p[low:high] @ p[low:].T
+                    gap *= -2
+                    gap += square[low:high, None]
+                    gap += square[None, low:]
+                    i, j = np.nonzero(gap <= limit)
+                    later = j > i
+                    settle(rows[low + i[later]], rows[low + j[later]])
+            reach = np.where(large[at], 0, reach)
+            steps = np.concatenate([[0], np.cumsum(reach)])
+            k = 0
+            while k < len(g):
+                stop = max(k + 1, int(np.searchsorted(steps, steps[k] + chunk, side="right")) - 1)
+                i = np.repeat(np.arange(k, stop), reach[k:stop])
+                j = np.repeat(from_[k:stop], reach[k:stop]) + np.arange(len(i)) - np.repeat(steps[k:stop] - steps[k], reach[k:stop])
+                settle(order[i], order[j])
                 k = stop
         ends, index = np.unique(node, return_inverse=True)
         total = np.bincount(index, weights=links, minlength=len(ends)).astype(np.int64)
