@@ -194,13 +194,16 @@ def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, fp, component_id): every document with its fingerprint and the least id of its component."""
+    """Rows (doc_id, fp, component, component_id): every document with its fingerprint, its component and the least id in it.
+
+    ``component`` tells components apart; ``component_id`` may be null, or one for several where ids repeat.
+    """
     stamped = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
     classes = stamped.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = connected_components(links(classes))
     classes = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    return stamped.join(classes.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return stamped.join(classes.join(named, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "component", "component_id")
 
 
 def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
@@ -213,7 +216,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays, the one with the least id (of rows that share it, the least text)."""
     fp, key, no_id = (fresh(docs, n) for n in ("fp", "doc_key", "no_id"))
     found = near_duplicates(docs)
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
     # null ids get a key of their own, so that both sides are dealt by the same plain columns
     named = lambda c: F.coalesce(c, F.lit(0).cast("long"))
     first = first.select(named(F.col("r.doc_id")).alias(key), F.col("r.doc_id").isNull().alias(no_id), F.col("r.fp").alias(fp))

@@ -75,6 +75,18 @@ def test_only_null_ids(spark, documents):
     assert len(kept) == 1 and kept[0].text == "a b c d"
 
 
+def test_unlike_texts_without_ids_all_stay(spark, documents):
+    texts = [" ".join(f"{c}{k}" for k in range(60)) for c in "abc"]
+    kept = S.keep_one(spark, documents([(None, t) for t in [*texts, texts[0]]]), "").collect()
+    assert sorted(r.text for r in kept) == texts
+
+
+def test_one_id_on_unlike_texts(spark, documents):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    kept = S.keep_one(spark, documents([(5, a), (7, a), (5, b), (9, b)]), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(5, a), (5, b)]
+
+
 def test_empty(spark, documents):
     empty = documents([(1, "a")]).where("doc_id < 0")
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(spark, empty, "").count() == 0
