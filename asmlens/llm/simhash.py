@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.llm import _text as X
+from asmlens.llm import similar
 from asmlens.llm._spark import fresh, written
 from asmlens.llm.components import connected_components
 
@@ -212,14 +213,22 @@ def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component stays, the one with the least id (of rows that share it, the least text)."""
-    fp, key, no_id = (fresh(docs, n) for n in ("fp", "doc_key", "no_id"))
-    found = near_duplicates(docs)
-    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("r"))
+def keep_one(spark, docs: DataFrame, sf_dir: str, words: int = similar.WORDS, least: float = similar.LEAST) -> DataFrame:
+    """Pipeline stage: one document of each set of near copies stays, the one with the least id.
+
+    Near copies share ``least`` of their shingles of ``words`` words. The
+    constants above bind the contract query only.
+    """
+    tid, key, no_id = (fresh(docs, n) for n in ("text_key", "doc_key", "no_id"))
+    rows = docs.select("doc_id", "text")
+    stamped = written(similar._stamped(rows, words), "fingerprints")
+    classes = written(stamped.groupBy("tid", *similar.LANE_NAMES).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("r")), "classes")
+    joined = similar.similar_components(classes, similar.keyed(rows, "text", "tid").select("tid", "text"), words, least)
+    named_classes = classes.join(joined, F.col("tid") == F.col("node"), "left").select(F.coalesce("component", "tid").alias("component"), F.struct("r.no_id", "r.doc_id", "tid").alias("r"))
+    first = named_classes.groupBy("component").agg(F.min("r").alias("r"))
     # null ids get a key of their own, so that both sides are dealt by the same plain columns
     named = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    first = first.select(named(F.col("r.doc_id")).alias(key), F.col("r.doc_id").isNull().alias(no_id), F.col("r.fp").alias(fp))
-    stamped = fingerprints(docs, into=fp).withColumns({key: named(F.col("doc_id")), no_id: F.col("doc_id").isNull()})
-    kept = stamped.join(first, [key, no_id, fp], "left_semi").dropDuplicates([key, no_id, fp])  # one exchange of the texts serves both
+    first = first.select(named(F.col("r.doc_id")).alias(key), F.col("r.doc_id").isNull().alias(no_id), F.col("r.tid").alias(tid))
+    marked = similar.keyed(docs, "text", tid).withColumns({key: named(F.col("doc_id")), no_id: F.col("doc_id").isNull()})
+    kept = marked.join(first, [key, no_id, tid], "left_semi").dropDuplicates([key, no_id, tid])  # one exchange of the texts serves both
     return kept.select(*docs.columns)

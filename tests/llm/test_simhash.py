@@ -87,6 +87,49 @@ def test_one_id_on_unlike_texts(spark, documents):
     assert sorted((r.doc_id, r.text) for r in kept) == [(5, a), (5, b)]
 
 
+def shares(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def planted(rng, n, length, changed):
+    """Texts with a copy each in which ``changed`` words, six or more apart, are others."""
+    out = []
+    for k in range(n):
+        a = [f"w{int(x)}" for x in rng.integers(0, 5000, length)]
+        b = list(a)
+        for at in range(changed):
+            b[10 + at * ((length - 20) // changed)] = f"new{k}x{at}"
+        out.append((" ".join(a), " ".join(b)))
+    return out
+
+
+@pytest.mark.parametrize("changed, low, high", [(2, 0.94, 1), (5, 0.85, 0.92), (8, 0.8, 0.84), (12, 0.6, 0.79)])
+def test_stage_finds_planted_copies_by_five_word_similarity(spark, documents, changed, low, high):
+    pairs = planted(np.random.default_rng(changed), 150, 400, changed)
+    assert all(low <= shares(a, b) < high for a, b in pairs)
+    docs = documents([(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)])
+    kept = {r.doc_id for r in S.keep_one(spark, docs, "").collect()}
+    assert {2 * k for k in range(150)} <= kept  # the lesser id stays
+    copies = sum(2 * k + 1 in kept for k in range(150))
+    print("changed", changed, "copies kept", copies)
+    assert copies == 150 if high < 0.8 else copies <= 7
+
+
+@pytest.mark.parametrize("split_above", [1000, 20])
+def test_stage_joins_a_large_group_of_near_copies(spark, documents, monkeypatch, split_above):
+    monkeypatch.setattr(S.similar, "SPLIT_ABOVE", split_above)
+    rng = np.random.default_rng(1)
+    base = [f"w{int(x)}" for x in rng.integers(0, 5000, 200)]
+    texts = []
+    for k in range(300):
+        t = list(base)
+        t[int(rng.integers(0, 200))] = f"new{k}"
+        texts.append(" ".join(t))
+    kept = S.keep_one(spark, documents(list(enumerate(texts))), "").collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
 def test_empty(spark, documents):
     empty = documents([(1, "a")]).where("doc_id < 0")
     assert S.near_duplicates(empty).count() == 0 and S.keep_one(spark, empty, "").count() == 0
