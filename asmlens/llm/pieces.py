@@ -2,14 +2,14 @@
 
 Normalisation takes, at each place, the longest prefix that the model's
 compiled character map knows, writes its replacement and records for each byte
-written the source byte it came from. The normalised text is cut where no piece
-of the vocabulary can reach across (before a run of space marks), each distinct
-segment is encoded once by the sentencepiece library, and the bytes of the
-pieces project every piece back to its span of the original text.
+written the source byte it came from. The sentencepiece library merges the
+pieces, and their bytes in the normalised text project every piece back to its
+span of the original one. Texts are worked on in slices of whole texts.
 
 Cases: null text counts as empty and gives the end id only. Rows that repeat
-are encoded alike. An empty table gives an empty table. Columns of the input
-that have the name of an output are replaced.
+are encoded alike. Texts of any length are encoded whole; memory grows with the
+longest one. An empty table gives an empty table. Columns of the input that
+have the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from asmlens.llm import _text as X
+
 MARK = "▁"
+SLICE = 1 << 17  # bytes of text that are worked on at once
 
 
 def character_map(blob: bytes) -> dict[str, str]:
@@ -115,9 +117,9 @@ class Normalizer:
 
 
 class Encoder:
-    """A tokenizer with a bounded memory of segments."""
+    """A tokenizer, its normaliser, and the byte length of every piece."""
 
-    def __init__(self, path: str, most: int = 100_000, longest: int = 200):
+    def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -126,59 +128,32 @@ class Encoder:
             proto.ParseFromString(f.read())
         self.library = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.normal = Normalizer(proto.normalizer_spec)
-        self.end = self.library.eos_id()
-        crossing = any(MARK in p.piece.lstrip(MARK) for p in proto.pieces) or not proto.normalizer_spec.escape_whitespaces
-        self.segments = (lambda text: [text]) if crossing else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
         self.unknown = self.library.unk_id()
-        self.size = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces])  # type 6: a single byte
-        self.known: dict[str, tuple[str, list[int], list[int] | None]] = {}
-        self.most, self.longest = most, longest
-
-    def _learn(self, segments: set[str]) -> dict[str, tuple[str, list[int], list[int] | None]]:
-        new = list(segments)
-        drop = 1 if self.normal.prefix else 0  # the library writes the mark before a text itself
-        texts = [s[drop:] if s[:drop] == MARK else s for s in new]
-        out = {}
-        for s, t, ids in zip(new, texts, self.library.encode(texts, num_threads=1)):
-            if s == MARK and not ids:  # the library gives nothing for an empty text
-                ids = [self.library.piece_to_id(MARK)]
-            sizes = None  # as the table says
-            if self.unknown in ids:  # its surface is as long as the unknown run
-                sizes = [len(p.encode()) for p in self.library.encode(t, out_type=str)]
-            out[s] = (" ".join(map(str, ids)), ids, sizes)
-        return out
-
-    def parts(self, text: str) -> tuple[list[tuple[str, list[int], list[int] | None]], np.ndarray]:
-        normal, source = self.normal(text)
-        if not normal:
-            return [], source
-        segments = self.segments(normal)
-        if missing := {s for s in segments if s not in self.known}:
-            found = self._learn(missing)
-            if len(self.known) > self.most:
-                self.known.clear()
-                found |= self._learn(set(segments) - found.keys())
-            self.known |= {s: e for s, e in found.items() if len(s) <= self.longest}
-            return [found[s] if s in found else self.known[s] for s in segments], source
-        known = self.known
-        return [known[s] for s in segments], source
-
-    def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
-        """Ids with the end id, start and end byte of each piece (the end id has an empty span), ids as text."""
-        parts, source = self.parts(text)
-        ids = list(chain.from_iterable([p[1] for p in parts]))
+        self.size = np.array([1 if p.type == 6 else 0 if p.type == 3 else len(p.piece.encode()) for p in proto.pieces])  # type 6: a single byte, 3: control
+        self.written = [str(k) for k in range(len(proto.pieces))]
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text, with the end id."""
+        return self.library.encode(texts, add_eos=True, num_threads=1)
+
+    def spans(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end byte of each piece's source in ``text`` (the end id has an empty span)."""
+        _, source = self.normal(text)
         sizes = self.size[np.array(ids, np.int64)]
-        if self.unknown in ids:
-            sizes = np.array(list(chain.from_iterable(self.size[p[1]].tolist() if p[2] is None else p[2] for p in parts)), np.int64)
+        if self.unknown in ids:  # the surface of an unknown run is as long as the run
+            sizes = np.array([*(len(p.encode()) for p in self.library.encode(text, out_type=str)), 0])
         ends = np.cumsum(sizes)
-        line = " ".join([p[0] for p in parts] + [str(self.end)])
-        stop = np.append(source[ends], source[-1])
-        start = np.append(source[np.concatenate([[0], ends[:-1]])] if len(ids) else ends, source[-1])
-        ids.append(self.end)
-        return ids, start, stop, line
+        if ends[-1] != len(source) - 1:
+            raise ValueError("the pieces don't tile the normalised text")
+        return source[ends - sizes], source[ends]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
+    def line(self, ids: list[int]) -> str:
+        """Decimal ids with a space between."""
+        return " ".join(map(self.written.__getitem__, ids))
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        """The text of each list of ids."""
+        return self.library.decode(ids, num_threads=1) if ids else []
 
 
 OUTPUTS = {
@@ -190,42 +165,52 @@ OUTPUTS = {
     "decoded_sha256": "string",
     "covered_bytes": "long",
 }
+KINDS = {"array<int>": pa.list_(pa.int32()), "long": pa.int64(), "string": pa.string()}
+
+
+def _covered(start: np.ndarray, stop: np.ndarray) -> int:
+    """Bytes in the union of spans that follow each other."""
+    before = np.concatenate([[0], np.maximum.accumulate(stop)[:-1]])
+    return int(np.maximum(stop - np.maximum(start, before), 0).sum())
+
+
+def _lists(values: list) -> pa.Array:
+    """A column of lists of ints."""
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate([np.asarray(v, np.int32) for v in values])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", outputs: tuple[str, ...] = ("ids", "starts", "ends")) -> DataFrame:
     """``docs`` with the columns of ``OUTPUTS`` that are named. ``model`` is the path of a model file every executor has.
 
     ``starts`` and ``ends`` are byte offsets in the text; ``covered_bytes`` is the length of the union of all spans.
+    Spans, decoding and digests are made only if a named column needs them.
     """
     docs = docs.drop(*(c for c in docs.columns if c.lower() in outputs))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(", ".join(f"{o} {OUTPUTS[o]}" for o in outputs)).fields])
     names, at = schema.names, docs.columns.index(text)
+    aligned = not {"starts", "ends", "covered_bytes"}.isdisjoint(outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Encoder(model)
-        kinds = {"ids": pa.list_(pa.int32()), "starts": pa.list_(pa.int32()), "ends": pa.list_(pa.int32()), "n_tokens": pa.int64(), "covered_bytes": pa.int64()}
+        digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                part = batch.slice(low, 200)
-                made: dict[str, list] = {o: [] for o in outputs}
-                for value in part.column(at):
-                    ids, start, stop, line = tool.encode(value.as_py() or "")
-                    for o, column in made.items():
-                        if o == "ids":
-                            column.append(np.array(ids, np.int32))
-                        elif o == "starts":
-                            column.append(start.astype(np.int32))
-                        elif o == "ends":
-                            column.append(stop.astype(np.int32))
-                        elif o == "n_tokens":
-                            column.append(len(ids))
-                        elif o == "ids_sha256":
-                            column.append(hashlib.sha256(line.encode()).hexdigest())
-                        elif o == "decoded_sha256":
-                            column.append(hashlib.sha256(tool.decode(ids).encode()).hexdigest())
-                        else:  # spans follow each other
-                            column.append(int(np.maximum(stop - np.maximum(start, np.concatenate([[0], np.maximum.accumulate(stop)[:-1]])), 0).sum()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(made[o], kinds.get(o, pa.string())) for o in outputs)], names=names)
+            for row, offsets, _ in X.texts(batch.column(at), SLICE):
+                part = batch.slice(row, len(offsets) - 1)
+                texts = [t or "" for t in part.column(at).to_pylist()]
+                ids = tool.encode(texts)
+                spans = [tool.spans(t, i) for t, i in zip(texts, ids)] if aligned else []
+                make = {
+                    "ids": lambda: _lists(ids),
+                    "starts": lambda: _lists([a for a, _ in spans]),
+                    "ends": lambda: _lists([b for _, b in spans]),
+                    "n_tokens": lambda: [*map(len, ids)],
+                    "ids_sha256": lambda: [digest(tool.line(i)) for i in ids],
+                    "decoded_sha256": lambda: [*map(digest, tool.decode(ids))],
+                    "covered_bytes": lambda: [_covered(a, b) for a, b in spans],
+                }
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(make[o](), KINDS[OUTPUTS[o]]) for o in outputs)], names=names)
 
     return docs.mapInArrow(run, schema)
 
@@ -238,8 +223,11 @@ def decode(tokens: DataFrame, model: str, ids: str = "ids", into: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Encoder(model)
         for batch in batches:
-            texts = [None if x is None else tool.decode(x) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=names)
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
+                lists = part.column(at).to_pylist()
+                texts = [None if x is None else t for x, t in zip(lists, tool.decode([x or [] for x in lists]))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return tokens.mapInArrow(run, tokens.select("*", F.lit("").alias(into)).schema)
 

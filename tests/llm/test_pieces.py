@@ -2,6 +2,7 @@ import hashlib
 
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from asmlens.llm import pieces as P
 
@@ -31,15 +32,17 @@ def test_encode_decode_match_the_library(spark, documents, library):
 
 def test_spans_are_those_of_ascii_pieces(library):
     tool, text = P.Encoder(P.default_model()), "The quick  brown fox\njumps, over."
-    _, start, end, _ = tool.encode(text)
+    start, end = tool.spans(text, tool.encode([text])[0])
     want = [(p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
     assert list(zip(start.tolist(), end.tolist()))[:-1] == want
 
 
-def test_memory_of_segments_is_bounded(library):
-    tool = P.Encoder(P.default_model(), most=3)
-    for t in ("a b c d e", "f g h", "a b c d e", "x" * 300 + " y"):
-        assert tool.encode(t)[0] == library.encode(t, add_eos=True)
+def test_a_very_long_text_and_clashing_columns(spark, documents, library):
+    text = "Überlang und  länger, " * 20_000
+    docs = documents([(1, text), (2, "kurz")]).withColumn("ids", F.lit("old")).withColumn("N_TOKENS", F.lit("old"))
+    rows = {r.doc_id: r for r in P.encode(docs, P.default_model(), outputs=("ids", "n_tokens", "covered_bytes")).collect()}
+    assert rows[1].ids == library.encode(text, add_eos=True) and rows[1].n_tokens == len(rows[1].ids)
+    assert rows[1].covered_bytes == len(text.encode()) and rows[2].ids == library.encode("kurz", add_eos=True)
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
