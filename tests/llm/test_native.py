@@ -43,10 +43,56 @@ def test_mix_targets_and_takes(spark, documents):
     assert mixed.columns == docs.columns and mixed.count() == sum(len(r.draws) for r in out)
 
 
-def test_tree_deals_blocks_evenly(spark):
-    draws = spark.range(1000).select(F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("source"), F.col("id").alias("block"), F.lit(1).alias("copy"))
-    sizes = [r["count"] for r in M.split_tree(draws, 16, 1).groupBy("shard").count().collect()]
-    assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1 and sum(sizes) == 1000
+def test_hypergeometric_has_the_right_distribution(spark):
+    from math import comb
+
+    n = 40_000
+    for marked, others, taken in ((5, 7, 4), (1, 30, 6), (12, 3, 9), (300, 200, 250)):
+        u = M.uniform(F.lit("t"), F.col("id").cast("string")) / float(1 << 60)
+        counts = {r.x: r["count"] for r in spark.range(n).select(M.hypergeometric(F.lit(marked), F.lit(others), F.lit(taken), u).alias("x")).groupBy("x").count().collect()}
+        for x in range(taken + 1):
+            p = comb(marked, x) * comb(others, taken - x) / comb(marked + others, taken) if x <= marked and taken - x <= others else 0
+            assert abs(counts.get(x, 0) - n * p) <= 5 * (n * p) ** 0.5 + 1
+        assert sum(counts.values()) == n
+    edges = spark.range(1).select(*(M.hypergeometric(F.lit(a), F.lit(b), F.lit(c), F.lit(0.999999999)).alias(f"c{i}") for i, (a, b, c) in enumerate([(4, 0, 3), (4, 3, 0), (3, 4, 7), (0, 4, 2)]))).first()
+    assert tuple(edges) == (3, 0, 3, 0)
+
+
+def test_tree_splits_quotas_exactly(spark):
+    quotas = {1: 400, 2: 7, 3: 0, 4: 93}
+    rows = M.split_tree(spark.createDataFrame(list(quotas.items()), "k long, q long"), 13, 5).collect()
+    for k, q in quotas.items():
+        assert sum(r.q for r in rows if r.k == k) == q
+    by_shard = [sum(r.q for r in rows if r.shard == s) for s in range(13)]
+    assert sum(by_shard) == 500 and max(by_shard) - min(by_shard) <= 1
+    again = M.split_tree(spark.createDataFrame(list(quotas.items()), "k long, q long"), 13, 5).collect()
+    assert sorted(again) == sorted(rows)
+    # a deep tree goes over several tasks
+    deep = M.split_tree(spark.createDataFrame([(1, 2000), (2, 1000)], "k long, q long"), 1500, 5).collect()
+    assert sum(r.q for r in deep) == 3000 and {r.shard for r in deep} == set(range(1500))
+
+
+def test_deal_draws_each_block_once(spark):
+    draws = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("block"), F.lit(1).alias("copy"))
+    rows = M.deal(draws, 16, 1).collect()
+    assert sorted(r.block for r in rows) == list(range(1000))
+    sizes = [sum(r.shard == s for r in rows) for s in range(16)]
+    assert max(sizes) - min(sizes) <= 1
+    quotas = {(r.shard, r.k): r.q for r in M.split_tree(draws.groupBy("k").agg(F.count("*").alias("q")), 16, 1).collect()}
+    assert quotas == {key: sum((r.shard, r.k) == key for r in rows) for key in quotas}
+
+
+def test_mix_over_many_shards_repeats_and_long_texts(documents):
+    rows = [(k % 50, "w " * (k % 40), f"s{k % 2}") for k in range(600)] + [(None, "same row", "s0")] * 30 + [(7, "v " * 30_000, "s1")]
+    docs = documents(rows).withColumn("mixed", F.lit("clash")).withColumn("mix_u", F.lit(1))
+    out = M.mix(docs, shard_words=1500).select("doc_id", "text", "source", "mix_u", "mixed.*").collect()
+    assert len(out) == len(rows) and len({d.shard for r in out for d in r.draws}) > 10
+    alike = {}
+    for r in out:
+        assert len(r.draws) <= 3 and alike.setdefault((r.doc_id, r.text, r.source), r.draws) == r.draws
+    for name, room in (("s0", 90), ("s1", 15_000)):  # half of the largest document
+        own = [r for r in out if r.source == name]
+        assert abs(sum(r["size"] * len(r.draws) for r in own) - own[0].target) <= room
 
 
 def test_mix_empty(spark, documents):
