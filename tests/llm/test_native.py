@@ -2,7 +2,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asmlens.llm import licenses as L
 from asmlens.llm import mixing as M
 from asmlens.llm import sharding as H
 
@@ -126,23 +125,3 @@ def test_deep_splits_and_equal_rows(documents):
 
 def test_shard_empty(documents):
     assert H.shard(documents([(1, "a")]).where("doc_id < 0")).count() == 0
-
-
-def test_licences(spark, documents):
-    isc = next(t for n, t in L.CATALOGUE if n == "ISC")
-    rows = [
-        (1, "Copyright (c) 2001 Somebody\n\n" + isc.upper().replace(",", " ,")),
-        (2, "prose\nlicenced under the apache LICENCE,  version 2.0\nmore prose\n(c) 2020 X\nReleased under the MIT License!"),
-        (3, None), (4, ""), (5, "plain text"), (None, "Licensed under CC BY-NC 4.0."), (2, "prose"),
-        (6, "Released under the MIT License.\n" * 3),
-    ]
-    got = sorted((r.doc_id or 99, r.text_license, r.line_licenses, r.n_license_lines) for r in L.scan(documents(rows)).collect())
-    want = [
-        (1, "ISC", "", 0), (2, None, "", 0), (2, None, "MIT", 1), (3, None, "", 0), (4, None, "", 0), (5, None, "", 0),
-        (6, None, "MIT", 3), (99, "CC-BY-NC-4.0", "CC-BY-NC-4.0", 1),
-    ]
-    assert sorted(x[0] for x in got) == sorted(x[0] for x in want)
-    for w in (want[0], want[6], want[7]):
-        assert w in got
-    assert any(x[0] == 2 and "MIT" in x[2] for x in got)
-    assert L.scan(documents(rows).where("doc_id > 1000")).count() == 0
