@@ -1,15 +1,18 @@
 """Sharding by extendible hashing. DataFrame and SQL functions only.
 
 A directory over prefixes of a row's hash says which shard it goes to. Byte
-sums by prefix come from one aggregate; a bucket above the limit, and only such
-a bucket, is split on one more bit until it fits or holds a single row. Splits
-deeper than the first histogram look again at the rows of open buckets only.
+sums by prefix come from one aggregate. From the top, a bucket above the limit,
+and only such a bucket, is split on one more bit until it fits or holds a single
+row; each round takes a few bits and the open buckets only, so no key gathers
+more than the prefixes of one round. Splits deeper than the histogram look again
+at the rows of open buckets.
 
 The hash covers the id and the text, so documents with one id spread. Rows that
 are equal in both cannot be parted by any hash: they share a shard, which then
 may exceed the limit.
 
-Cases: null text has no bytes; a null id is hashed like a value of its own. An
+Cases: null text has no bytes; a null id is hashed like a value of its own. A
+text above the limit is a shard of its own. An
 empty table gives an empty table. Columns with the names of the outputs are
 replaced.
 """
@@ -31,25 +34,48 @@ def _hash(doc_id: str, text: str) -> F.Column:
     return uniform(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _descend(rows: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
+    """Rows (u, bytes, rows) to rows (prefix, depth, shard_bytes, shard_rows) of ``bits`` bits; depth from ``low`` on, null where still too large.
+
+    At most ``bits - low + 1`` depths, so a bucket gathers at most 2 ** STEP prefixes.
+    """
+    histogram = rows.groupBy(F.shiftright("u", WIDTH - bits).alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
+    steps = histogram.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(bits)))).withColumn("bucket", F.expr(f"shiftright(prefix, {bits} - depth)"))
+    buckets = steps.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
+    fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") <= 1) | (F.col("depth") == WIDTH)
+    found = steps.select("prefix", "depth", "bucket").join(buckets, ["depth", "bucket"]).groupBy("prefix").agg(F.min(F.when(fits, F.struct("depth", "shard_bytes", "shard_rows"))).alias("s"))
+    return found.select("prefix", "s.depth", "s.shard_bytes", "s.shard_rows")
+
+
 def directory(sized: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
-    """``sized``: rows (u, bytes). Per round: its bits, and rows (prefix, depth, shard_bytes, shard_rows), depth null where still open."""
+    """``sized``: rows (u, bytes). A list of bits and rows (prefix, depth, shard_bytes, shard_rows) of that many bits.
+
+    From the top, ``STEP`` bits a round, and only below buckets that are still too large. A histogram as fine as
+    a usual shard stands for the rows down to its own bits; below it, rows of open buckets are looked at.
+    """
     total = sized.agg(F.sum("bytes")).first()[0] or 0
-    bits, low, rounds = min(WIDTH, max(4, math.ceil(math.log2(max(total / limit, 1))) + 3)), 0, []
-    rows = sized
+    fine = min(WIDTH, max(4, math.ceil(math.log2(max(total / limit, 1))) + 3))
+    prefix = F.shiftright("u", WIDTH - fine)
+    histogram = written(sized.groupBy(F.shiftleft(prefix, WIDTH - fine).alias("u")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")), "histogram")
+    rows, low, bits, rounds = histogram, 0, min(STEP, fine), []
     while True:
-        prefix = F.shiftright("u", WIDTH - bits)
-        histogram = rows.groupBy(prefix.alias("prefix")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows"))
-        steps = histogram.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(bits)))).withColumn("bucket", F.expr(f"shiftright(prefix, {bits} - depth)"))
-        buckets = steps.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"), F.sum("rows").alias("shard_rows"))
-        fits = (F.col("shard_bytes") <= limit) | (F.col("shard_rows") <= 1) | (F.col("depth") == WIDTH)
-        found = steps.select("prefix", "depth", "bucket").join(buckets, ["depth", "bucket"]).groupBy("prefix").agg(F.min(F.when(fits, F.struct("depth", "shard_bytes", "shard_rows"))).alias("s"))
-        found = written(found.select("prefix", "s.depth", "s.shard_bytes", "s.shard_rows"), "directory")
+        found = written(_descend(rows, low, bits, limit), "directory")
         rounds.append((bits, found))
         open_ = found.where("depth is null").select("prefix")
         if bits == WIDTH or open_.isEmpty():
-            return rounds
-        rows = rows.withColumn("prefix", prefix).join(open_, "prefix", "left_semi").drop("prefix")
-        low, bits = bits + 1, min(WIDTH, bits + STEP)
+            break
+        below = sized.groupBy("u").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("rows")) if bits == fine else rows
+        rows = below.withColumn("prefix", F.shiftright("u", WIDTH - bits)).join(open_, "prefix", "left_semi").drop("prefix")
+        low, bits = bits + 1, min(WIDTH if bits >= fine else fine, bits + STEP)
+    # the rounds within the histogram become one table of its prefixes
+    upper = []
+    for bits, found in (r for r in rounds if r[0] <= fine):
+        placed = histogram.select(prefix.alias("fine"), F.shiftright("u", WIDTH - bits).alias("prefix"))
+        upper.append(placed.join(found.where("depth is not null"), "prefix").select(F.col("fine").alias("prefix"), "depth", "shard_bytes", "shard_rows"))
+    one = upper[0]
+    for more in upper[1:]:
+        one = one.unionByName(more)
+    return [(fine, written(one, "directory")), *((bits, found.where("depth is not null")) for bits, found in rounds if bits > fine)]
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, into: str = "shard") -> DataFrame:
@@ -61,7 +87,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: in
     out = docs.withColumns({u: _hash(doc_id, text), found: F.lit(None).cast("struct<depth:int,shard_bytes:bigint,shard_rows:bigint>")})
     for bits, table in directory(sized, limit):
         key = fresh(out, "prefix")
-        table = table.where("depth is not null").select(F.col("prefix").alias(key), F.struct(F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows").alias("hit"))
+        table = table.select(F.col("prefix").alias(key), F.struct(F.col("depth").cast("int").alias("depth"), "shard_bytes", "shard_rows").alias("hit"))
         if table.count() <= SMALL:
             table = F.broadcast(table)
         out = out.join(table, F.shiftright(F.col(u), WIDTH - bits) == F.col(key), "left")

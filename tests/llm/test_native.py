@@ -123,5 +123,21 @@ def test_deep_splits_and_equal_rows(documents):
     assert all(r.shard_bytes <= 150 or r.shard_rows in (1, 6) for r in out) and len(out) == 306
 
 
+def test_many_shards_a_long_text_and_one_hot_id(documents, monkeypatch):
+    monkeypatch.setattr(H, "STEP", 3)
+    rows = [(1, f"t{k} " * 20) for k in range(700)] + [(2, "z" * 500_000)] + [(k, None) for k in range(50)]
+    out = H.shard(documents(rows).withColumn("prefix", F.lit("clash")).withColumn("u", F.lit("clash")), limit=400).select("prefix", "shard.*").collect()
+    sums = {}
+    for r in out:
+        sums.setdefault(r.name, []).append(r.bytes)
+    assert len(out) == len(rows) and len(sums) > 64 and {r.prefix for r in out} == {"clash"}
+    for r in out:
+        assert r.shard_bytes == sum(sums[r.name]) and r.shard_rows == len(sums[r.name]) and (r.shard_bytes <= 400 or r.shard_rows == 1)
+    names = sorted(sums)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    for parent in {n[:-1] for n in names if n}:
+        assert sum(sum(v) for n, v in sums.items() if n.startswith(parent)) > 400
+
+
 def test_shard_empty(documents):
     assert H.shard(documents([(1, "a")]).where("doc_id < 0")).count() == 0
