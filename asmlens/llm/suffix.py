@@ -6,16 +6,18 @@ anchors at the same place, so windows meet by their anchor's hash. Neighbouring
 windows with the same anchor form one piece of text, and only pieces whose
 anchor occurs again somewhere are moved.
 
-The pieces of an anchor are put in suffix order (prefix doubling to the depth
-of a passage). In that order, runs with a common prefix of a whole passage are
-cut out, and previous and next smaller positions within the run say whether a
-suffix has an earlier match, so whether its longest previous factor reaches a
-passage; the mirrored search gives later matches. ``keep="first"`` removes what
-has an earlier match, ``keep="none"`` what has any other.
-
-Texts that repeat are worked on once. Anchors with more than ``HOT`` pieces
-don't go to one task: their windows are hashed and counted with map-side
-aggregates instead, with the same result.
+The suffixes of an anchor's pieces are put in suffix order (prefix doubling to
+the depth of a passage), with the common prefixes of neighbours. In that order
+the previous and the next smaller position give each suffix its longest previous
+factor, cut off at a passage's length; where it reaches that length, the suffix
+begins a passage that occurs earlier. The same search over mirrored positions
+finds later matches. ``keep="first"`` removes what has an earlier match,
+``keep="none"`` what has any other.
+
+Texts that repeat are worked on once. The suffixes of anchors with more than
+``HOT`` pieces don't go to one task: they are dealt by a hash of their first
+passage. All suffixes of one such key share a passage, so there the smaller
+positions reduce to the least one, a minimum that combines before the shuffle.
 
 Cases: null text counts as empty. Shorter texts are never cut. Rows with the
 same id and text are one document, kept or removed alike under ``keep="first"``;
@@ -114,40 +116,87 @@ def _rank(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return np.unique(high * (low.max() + 1) + low, return_inverse=True)[1]
 
 
-def suffix_ranks(data: np.ndarray, depth: int = LEAST) -> np.ndarray:
-    """Rank of the suffix at each position by its first ``depth`` bytes (a multiple of 8, 16 at least); equal prefixes have equal ranks."""
-    padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
-    word = np.zeros(len(data) + depth, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + len(word)]
-    rank = np.unique(word, return_inverse=True)[1]
-    known = 8
-    while known < depth:
-        step = min(known, depth - known)
-        n = len(rank) - step
-        rank = _rank(rank[:n], rank[step:])
-        known += step
-    return rank[: len(data)]
-
-
-def other_matches(position: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """In suffix order: does a suffix share a whole passage with one at a smaller, with one at a larger position?
-
-    ``common`` tells whether a suffix shares a passage with its predecessor. Within such
-    a run a previous or next smaller position is an earlier match.
+class Suffixes:
+    """Order and common prefixes of the suffixes of ``data``, to ``depth`` bytes (16 at least)."""
+
+    def __init__(self, data: np.ndarray, depth: int = LEAST):
+        padded = np.concatenate([data, np.zeros(depth + 8, np.uint8)])
+        self.word = np.zeros(len(data) + depth, np.uint64)
+        for k in range(8):
+            self.word = (self.word << np.uint64(8)) | padded[k : k + len(self.word)]
+        self.depth, known, rank = depth, 8, np.unique(self.word, return_inverse=True)[1]
+        self.levels = [(known, rank)]
+        while known < depth:
+            step = min(known, depth - known)
+            n = len(rank) - step
+            rank = _rank(rank[:n], rank[step:])
+            known += step
+            self.levels.append((known, rank))
+        #: Rank of the suffix at each position; equal prefixes of ``depth`` bytes have equal ranks.
+        self.rank = rank[: len(data)]
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of the suffixes at ``a`` and ``b``, at most ``depth``."""
+        out = np.where(self.rank[a] == self.rank[b], self.depth, 0)
+        open_ = np.flatnonzero(out == 0)
+        a, b = a[open_], b[open_]
+        for size, rank in self.levels[-2::-1]:
+            same = rank[a] == rank[b]
+            out[open_[same]] += size
+            a, b = a + size * same, b + size * same
+        apart = self.word[a] ^ self.word[b]  # never zero: the last level is that of whole words
+        for k in range(1, 8):
+            out[open_] += apart >> np.uint64(64 - 8 * k) == 0
+        return np.minimum(out, self.depth)
+
+
+def _previous(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order, the common prefix of each suffix with the nearest one before it that has a smaller position; 0 if none.
+
+    ``common``: that of each suffix with its predecessor. A tree of minima is climbed from every suffix
+    to the first left neighbour that holds a smaller position, and descended to its last one.
     """
-    run = np.cumsum(~common)
-    wide = np.int64(position.max() + 2 if len(position) else 1)
-
-    def smaller(p: np.ndarray, run_: np.ndarray) -> np.ndarray:
-        falling = p - run_ * wide  # each run lies below the ones before it, so minima start anew
-        before = np.concatenate([[np.iinfo(np.int64).max], np.minimum.accumulate(falling)[:-1]])
-        return before < falling
-
-    def either(p: np.ndarray) -> np.ndarray:
-        return smaller(p, run) | smaller(p[::-1], (run[-1] - run)[::-1] if len(run) else run)[::-1]
-
-    return either(position), either(wide - 1 - position)
+    n = len(position)
+    high = max(n - 1, 1).bit_length()
+    least, shared = [np.full(1 << high, np.iinfo(np.int64).max)], [np.full(1 << high, np.iinfo(np.int64).max)]
+    least[0][:n], shared[0][:n] = position, common
+    for _ in range(high):
+        least.append(np.minimum(least[-1][::2], least[-1][1::2]))
+        shared.append(np.minimum(shared[-1][::2], shared[-1][1::2]))
+    out, found = np.zeros(n, np.int64), []
+    who, acc = np.arange(n), common.astype(np.int64)
+    for level in range(high):
+        side = who >> level
+        right = side & 1 == 1
+        hit = right.copy()
+        hit[right] = least[level][side[right] - 1] < position[who[right]]
+        found.append((who[hit], side[hit] - 1, acc[hit]))
+        skip = right & ~hit
+        acc[skip] = np.minimum(acc[skip], shared[level][side[skip] - 1])
+        go = ~hit & (acc > 0)
+        who, acc = who[go], acc[go]
+    who, node, acc = (np.zeros(0, np.int64),) * 3
+    for level in range(high - 1, -1, -1):
+        who, node, acc = (np.concatenate(x) for x in zip((who, node, acc), found[level]))
+        if level == 0:
+            break
+        node = 2 * node + 1
+        skip = least[level - 1][node] >= position[who]
+        acc[skip] = np.minimum(acc[skip], shared[level - 1][node[skip]])
+        node -= skip
+    out[who] = acc
+    return out
+
+
+def longest_previous_factors(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For suffixes in suffix order: the longest match with one at a smaller position.
+
+    It is the better of the matches with the previous and the next smaller position in that order.
+    """
+    if not len(position):
+        return np.zeros(0, np.int64)
+    back = np.concatenate([[0], common[:0:-1]])
+    return np.maximum(_previous(position, common), _previous(position[::-1], back)[::-1])
 
 
 def _match(first: bool):
@@ -179,14 +228,17 @@ def _match(first: bool):
             _, offsets, data = next(X.texts(table.column(6).take(pa.array(order[lead[look]])).combine_chunks(), 1 << 62))
             place = np.repeat(offsets[:-1], windows[look]) + np.arange(windows[look].sum()) - np.repeat(np.cumsum(windows[look]) - windows[look], windows[look])
             piece = np.repeat(np.arange(len(look)), windows[look])
-            rank = suffix_ranks(data)[place]
+            order_ = Suffixes(data)
             anchor = np.unique(group[look], return_inverse=True)[1][piece]
-            suffix = np.lexsort((place, rank, anchor))
-            same = np.zeros(len(suffix), bool)
-            same[1:] = (rank[suffix[1:]] == rank[suffix[:-1]]) & (anchor[suffix[1:]] == anchor[suffix[:-1]])
-            earlier, later = other_matches(place[suffix], same)
+            suffix = np.lexsort((place, order_.rank[place], anchor))
+            at_ = place[suffix]
+            common = np.zeros(len(suffix), np.int64)
+            common[1:] = np.where(anchor[suffix[1:]] == anchor[suffix[:-1]], order_.common(at_[1:], at_[:-1]), 0)
+            factor = longest_previous_factors(at_, common)
+            if not first:  # a match at a larger position is one of the mirrored positions
+                factor = np.maximum(factor, longest_previous_factors(-at_, common))
             hit = np.zeros(len(place), bool)
-            hit[suffix] = earlier if first else earlier | later
+            hit[suffix] = factor >= LEAST
             if not first:
                 hit &= ~(copies[look] > 1)[piece]  # already whole
             edge = np.diff(np.concatenate([[0], (hit * (piece + 1)), [0]]))

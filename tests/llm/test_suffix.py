@@ -71,11 +71,39 @@ def test_ties_nulls_and_clashes(spark, documents):
     assert S.cut_later_copies(spark, empty, "").count() == 0
 
 
-def test_suffix_ranks_and_matches():
-    data = np.frombuffer(b"banana" * 50 + b"nab" * 30, np.uint8)
-    rank = np.unique(S.suffix_ranks(data, 16), return_inverse=True)[1]
-    raw = data.tobytes() + b"\0" * 30
-    order = sorted({raw[i : i + 16] for i in range(len(data))})
-    assert [order[r] for r in rank] == [raw[i : i + 16] for i in range(len(data))]
-    earlier, later = S.other_matches(np.array([5, 2, 9, 1, 7]), np.array([False, True, True, False, True]))
-    assert earlier.tolist() == [True, False, True, False, True] and later.tolist() == [True, True, False, True, False]
+def prefix(a, b, most):
+    n = 0
+    while n < min(len(a), len(b), most) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("text, depth", [(b"banana" * 50 + b"nab" * 30, 16), (b"abracadabra" * 9 + b"\x00\x00ab", 40), (bytes(np.random.default_rng(3).integers(97, 99, 400)), 200)])
+def test_longest_previous_factors(text, depth):
+    data, raw = np.frombuffer(text, np.uint8), text + b"\0" * (depth + 8)
+    order = S.Suffixes(data, depth)
+    heads = sorted({raw[i : i + depth] for i in range(len(data))})
+    assert [heads[r] for r in np.unique(order.rank, return_inverse=True)[1]] == [raw[i : i + depth] for i in range(len(data))]
+    suffix = np.lexsort((np.arange(len(data)), order.rank))
+    common = np.zeros(len(suffix), np.int64)
+    common[1:] = order.common(suffix[1:], suffix[:-1])
+    assert common[1:].tolist() == [prefix(raw[i : i + depth], raw[j : j + depth], depth) for i, j in zip(suffix[1:], suffix)]
+    earlier, later = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+    earlier[suffix] = S.longest_previous_factors(suffix, common)
+    later[suffix] = S.longest_previous_factors(-suffix, common)
+    match = [[prefix(raw[i : i + depth], raw[j : j + depth], depth) for j in range(len(data))] for i in range(len(data))]
+    assert earlier.tolist() == [max(m[:i], default=0) for i, m in enumerate(match)]
+    assert later.tolist() == [max(m[i + 1 :], default=0) for i, m in enumerate(match)]
+
+
+def test_factors_of_nothing_and_of_one():
+    assert S.longest_previous_factors(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+    assert S.longest_previous_factors(np.array([7]), np.array([0])).tolist() == [0]
+
+
+def test_a_very_long_text(spark, documents):
+    rng = np.random.default_rng(8)
+    part = "".join(map(chr, rng.integers(97, 123, 3000)))
+    long = "".join(map(chr, rng.integers(97, 123, 1_500_000))) + part
+    rows = {r.doc_id: r.text for r in S.cut_later_copies(spark, documents([(1, long), (2, "x" * 100 + part)]), "").collect()}
+    assert rows == {1: long, 2: "x" * 100}
