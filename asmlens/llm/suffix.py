@@ -282,13 +282,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot_matches(cut: DataFrame, first: bool) -> DataFrame:
-    """The result of ``_match`` for anchors with too many pieces for one task."""
+    """The result of ``_match`` for anchors with too many pieces for one task.
+
+    Contents and shared windows are written, so that both sides of the joins with them are plain
+    exchanges, which Spark splits where one content or window is very common.
+    """
     place = F.struct("ord", "k1", "k2", "at")
-    contents = cut.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("lead"), F.first("piece").alias("piece"))
+    contents = written(cut.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("lead"), F.first("piece").alias("piece")), "hot-contents")
     windows = contents.select("h", "c", "n", "piece").mapInArrow(_windows, "h long, c long, n long, off long, w long")
     windows = windows.join(contents.select("h", "c", "lead"), ["h", "c"])
     rank = F.struct("lead", "off")
-    shared = windows.groupBy("h", "w").agg(F.sum("n").alias("total"), F.min(rank).alias("least")).where("total > 1")
+    shared = written(windows.groupBy("h", "w").agg(F.sum("n").alias("total"), F.min(rank).alias("least")).where("total > 1"), "hot-windows")
     hit = windows.join(shared, ["h", "w"])
     hit = hit.where(rank > F.col("least")) if first else hit.where("n = 1")
     offs = hit.groupBy("h", "c").agg(F.collect_set("off").alias("offs"))  # at most the windows of one piece
