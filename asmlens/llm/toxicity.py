@@ -1,22 +1,30 @@
 """Toxicity: cumulative-link ordinal regression on sparse text features.
 
 Features of a text are its distinct lower-cased words and their beginnings of
-four and five bytes, each a 64-bit hash. Spark counts in how many toxic and
-other labelled texts each feature occurs; those far commoner in toxic ones are
-the model's sparse features, with ``log(1 + count)`` as value. Labels give two
-classes, so severity grades are made from them: 0 for other texts, and 1, 2 or 3
-for toxic ones with up to 2, up to 5, or more words that hold a feature.
+four and five bytes, each a 64-bit hash, with ``log(1 + count)`` as value. Spark
+counts in how many labelled texts of each kind a feature occurs; the model takes
+every feature of ``LEAST_TEXTS`` texts whose log odds ratio lies ``LEAST_Z``
+standard errors from zero, on the toxic or on the harmless side.
 
 The regression has one weight vector for all grades and ordered thresholds:
 ``P(grade <= k) = sigmoid(threshold_k - weights . x)``. The result is each
-grade's probability, the expected grade, and a flag for ``P(grade >= 1) > 0.5``.
+grade's probability, the expected grade, the likeliest grade, and a flag for
+``P(grade >= 1) > 0.5``.
 
-Fitting uses at most ``MOST_ROWS`` labelled texts (chosen by a hash of the id)
-and at most ``MOST_FEATURES`` features; scoring covers every text.
+Grades come with the labels: any small whole numbers, 0 for harmless. Where the
+labels have two classes only, toxic texts are graded 1, 2 or 3 by how many of
+their words the *other* half of the labelled texts shows to be toxic (up to 2,
+up to 5, more), so that no text is graded by what it taught itself.
+
+Fitting uses at most about ``MOST_ROWS`` labelled texts, chosen by a hash of the
+id; scoring covers every text. What the driver gets is bounded by them: a short
+list of features a row, and the features that ``LEAST_TEXTS`` of them share.
 
 Cases: null or empty texts have no features. Labels that are null or without a
-text are left out. Without labels of both kinds nothing is toxic. Rows that
-repeat are scored alike. An empty table gives an empty table. Columns with the
+text are left out; a repeated label counts with its greatest grade, and a labelled
+id with several texts with one of them, the least by a hash. Without labels of
+both kinds nothing is toxic. Rows that repeat are scored alike. Texts of any
+length are read whole. An empty table gives an empty table. Columns with the
 name of the output are replaced.
 """
 
@@ -34,9 +42,9 @@ from pyspark.sql import types as T
 from asmlens.llm import _text as X
 from asmlens.llm._spark import written
 
-MOST_ROWS, MOST_FEATURES = 20_000, 4096
-LEAST_TEXTS, LEAST_SHARE, LEAST_RATIO = 5, 0.0025, 20.0
-GRADE_EDGES = (2, 5)
+MOST_ROWS = 20_000
+LEAST_TEXTS, LEAST_Z = 5, 3.5
+GRADE_EDGES, GRADE_RATIO = (2, 5), 8.0
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -74,26 +82,23 @@ class OrdinalModel:
         return np.diff(below, axis=1)
 
 
-def counts(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the model's features: text, feature and count of each that occurs; and per text the words that hold one."""
+def counts(keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature and count of each of the model's features that occurs in a text."""
     text, three = features(data, offsets)
-    n = len(offsets) - 1
     if not len(keys) or not len(text):
-        none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(n, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     at = np.minimum(np.searchsorted(keys, three), len(keys) - 1)
     hit = keys[at] == three
-    hit[:, 1] &= three[:, 1] != three[:, 0] + np.uint64(4)
-    hit[:, 2] &= (three[:, 2] - np.uint64(5) != three[:, 1] - np.uint64(4)) & (three[:, 2] - np.uint64(5) != three[:, 0])
-    words = np.bincount(text[hit.any(1)], minlength=n)
-    row = np.repeat(text[:, None], 3, 1)[hit]
-    pair, count = np.unique(row * len(keys) + at[hit], return_counts=True)
-    return pair // len(keys), pair % len(keys), count, words
+    word, four, five = three[:, 0], three[:, 1] - np.uint64(4), three[:, 2] - np.uint64(5)
+    hit[:, 1] &= four != word  # a short word is its own beginning
+    hit[:, 2] &= (five != four) & (five != word)
+    pair, count = np.unique(np.repeat(text[:, None], 3, 1)[hit] * len(keys) + at[hit], return_counts=True)
+    return pair // len(keys), pair % len(keys), count
 
 
 def fit_ordinal(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarray, grade: np.ndarray, n_features: int, steps: int = 400, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by Adam on the mean log loss; gaps of thresholds are exponentials, so they stay ordered."""
-    levels = 3
+    levels = int(grade.max())
     w, free = np.zeros(n_features), np.concatenate([[1.0], np.zeros(levels - 1)])
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, free)]
     sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -500, 500)))
@@ -110,65 +115,86 @@ def fit_ordinal(rows: int, row: np.ndarray, feature: np.ndarray, value: np.ndarr
         gc = np.array([-(d_up[grade == k].sum() - d_down[grade == k + 1].sum()) / rows for k in range(levels)])
         tail = np.cumsum(gc[::-1])[::-1]
         gf = np.concatenate([[tail[0]], tail[1:] * gaps])
+        rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
         for (m, v), g, param in zip(moments, (gw, gf), (w, free)):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            param -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+            param -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
     return w, free[0] + np.concatenate([[0.0], np.cumsum(np.exp(free[1:]))])
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", most_rows: int = MOST_ROWS) -> OrdinalModel:
-    """A model from at most about ``most_rows`` labelled texts."""
-    marked = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(toxic).cast("int").alias("toxic"))
-    n = marked.count()
-    share = min(1.0, most_rows / max(n, 1))
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, grade: str, most_rows: int) -> DataFrame:
+    """Rows (grade, half, text): one text an id, of at most about ``most_rows`` ids."""
+    marked = labels.where(F.col(grade).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(grade).cast("int").alias("grade"))
+    share = min(1.0, most_rows / max(marked.count(), 1))
     marked = marked.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(marked, "id").select("toxic", "text")
-    sample = written(sample, "labelled")
-
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kind = batch.column(0).to_numpy()
-            for row, offsets, data in X.texts(batch.column(1)):
-                where, three = features(data, offsets)
-                of = np.repeat(where[:, None], 3, 1).ravel()
-                order = np.lexsort((three.ravel(), of))
-                h, of = three.ravel()[order], of[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-                h, bad = h[new], kind[row + of[new]]
-                keys, at = np.unique(h, return_inverse=True)
-                t = np.bincount(at, weights=bad, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(keys)))], names=["h", "t", "n"])
-
-    found = sample.mapInArrow(seen, "h long, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-    size = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = size.get(1, 0), size.get(0, 0)
+    both = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(marked, "id")
+    one = both.groupBy("id").agg(F.max("grade").alias("grade"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return written(one.select("grade", F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)).cast("int").alias("half"), "text"), "labelled")
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grade, half, text) to rows (h, word, half, t, n): in how many toxic and in how many texts a feature occurs."""
+    for batch in batches:
+        toxic, half = batch.column(0).to_numpy() > 0, batch.column(1).to_numpy()
+        for row, offsets, data in X.texts(batch.column(2)):
+            where, three = features(data, offsets)
+            of, word = np.repeat(where[:, None], 3, 1).ravel(), np.tile([True, False, False], len(where))
+            order = np.lexsort((~word, three.ravel(), of))
+            h, of, word = three.ravel()[order], of[order], word[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
+            h, of, word = h[new], row + of[new], word[new]
+            for part in (0, 1):
+                own = half[of] == part
+                keys, first, at = np.unique(h[own], return_index=True, return_inverse=True)
+                t = np.bincount(at, weights=toxic[of[own]], minlength=len(keys)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(word[own][first]), pa.array(np.full(len(keys), part, np.int32)), pa.array(t), pa.array(np.bincount(at, minlength=len(keys)))], names=["h", "word", "half", "t", "n"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "toxic", most_rows: int = MOST_ROWS) -> OrdinalModel:
+    """A model from at most about ``most_rows`` labelled texts; ``grade`` names the labels' column of grades or of two classes."""
+    sample = labelled(docs, labels, doc_id, text, grade, most_rows)
+    sums = {(r["half"], r.bad): r["count"] for r in sample.groupBy("half", (F.col("grade") > 0).alias("bad")).count().collect()}
+    size = lambda bad: sum(n for (_, b), n in sums.items() if b == bad)
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([20.0, 21.0, 22.0]))
-    if not bad or not good:
+    if not size(True) or not size(False):
         return none
-    ratio = ((F.col("t") + 0.5) / (bad + 1)) / ((F.col("n") - F.col("t") + 0.5) / (good + 1))
-    picked = found.where((F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * bad)) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), "h").limit(MOST_FEATURES).select("h").collect()
-    keys = np.sort(np.array([r.h for r in picked], np.int64).view(np.uint64))
-    if not len(keys):
+    halves = [*(F.sum(F.when(F.col("half") == k, F.col(c))).alias(f"{c}{k}") for c in ("t", "n") for k in (0, 1)), F.max("word").alias("word")]
+    found = sample.mapInArrow(_seen, "h long, word boolean, half int, t long, n long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), *halves)
+    rate = lambda t, n, bad, good: ((t + 0.5) / (bad - t + 0.5)) / ((n - t + 0.5) / (good - n + t + 0.5))  # noqa: E731  odds ratio
+    t, n, bad, good = F.col("t"), F.col("n"), size(True), size(False)
+    error = F.sqrt(1 / (t + 0.5) + 1 / (n - t + 0.5) + 1 / (bad - t + 0.5) + 1 / (good - n + t + 0.5))
+    picked = found.where((n >= LEAST_TEXTS) & (F.abs(F.log(rate(t, n, bad, good))) >= LEAST_Z * error)).toPandas().fillna(0)
+    if not len(picked):
         return none
+    picked["h"] = picked["h"].to_numpy().view(np.uint64)
+    picked = picked.sort_values("h")
+    keys = picked["h"].to_numpy()
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, offsets, data in X.texts(batch.column(1)):
-                of, feature, count, words = counts(keys, data, offsets)
-                ends = np.searchsorted(of, np.arange(len(offsets)))
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
-                values = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(count.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(words)), pa.array(words), lists, values], names=["toxic", "words", "f", "c"])
-
-    rows = sample.mapInArrow(table, "toxic int, words long, f array<int>, c array<int>").toPandas()  # at most most_rows short rows
+            for row, offsets, data in X.texts(batch.column(2)):
+                n = len(offsets) - 1
+                of, feature, count = counts(keys, data, offsets)
+                ends = pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (feature, count)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), *lists], names=["grade", "half", "f", "c"])
+
+    rows = sample.mapInArrow(table, "grade int, half int, f array<int>, c array<int>").toPandas()  # one short row an id
     row = np.repeat(np.arange(len(rows)), rows["f"].map(len))
     feature = np.concatenate([*rows["f"], np.zeros(0)]).astype(np.int64)
-    value = np.log1p(np.concatenate([*rows["c"], np.zeros(0)]).astype(float))
-    words = rows["words"].to_numpy()
-    grade = np.where(rows["toxic"].to_numpy() == 1, 1 + np.searchsorted(GRADE_EDGES, words, side="left"), 0)
-    w, cut = fit_ordinal(len(rows), row, feature, value, grade, len(keys))
+    count = np.concatenate([*rows["c"], np.zeros(0)]).astype(np.int64)
+    given, half = rows["grade"].to_numpy(), rows["half"].to_numpy()
+    if given.max() == 1:
+        telling = np.zeros((2, len(keys)), bool)  # words that the other half shows to be toxic
+        for k in (0, 1):
+            o = 1 - k
+            t, n = (picked[f"{c}{o}"].to_numpy(float) for c in ("t", "n"))
+            telling[k] = picked["word"].to_numpy(bool) & (t >= 2) & (rate(t, n, sums.get((o, True), 0), sums.get((o, False), 0)) >= GRADE_RATIO)
+        words = np.bincount(row, weights=count * telling[half[row], feature], minlength=len(rows))
+        given = np.where(given > 0, 1 + np.searchsorted(GRADE_EDGES, words, side="left"), 0)
+    w, cut = fit_ordinal(len(rows), row, feature, np.log1p(count), given, len(keys))
     return OrdinalModel(keys, w, cut)
 
 
@@ -179,14 +205,14 @@ def score(docs: DataFrame, model: OrdinalModel, text: str = "text", into: str =
     """``docs`` with a struct column of grade probabilities, expected grade, likeliest grade and flag."""
     docs = docs.drop(into) if into.lower() in [c.lower() for c in docs.columns] else docs
     at, names = docs.columns.index(text), [*docs.columns, into]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a weight for each feature that LEAST_TEXTS labelled texts share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             z = np.zeros(batch.num_rows)
             for row, offsets, data in X.texts(batch.column(at)):
-                of, feature, count, _ = counts(m.keys, data, offsets)
+                of, feature, count = counts(m.keys, data, offsets)
                 z[row : row + len(offsets) - 1] = np.bincount(of, weights=m.weights[feature] * np.log1p(count), minlength=len(offsets) - 1)
             p = m.probabilities(z)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, p.shape[1], dtype=np.int32)), pa.array(p.ravel()))
