@@ -13,17 +13,9 @@ def _column(x) -> Column:
 
 
 def random_int(key, seed: int = 0) -> Column:
-    """A number in [0, 2**31) that depends on ``key`` and ``seed`` only; SQL engines with 64-bit integers agree on it.
-
-    Keys are reduced below 2**30 first, so that the product fits 63 bits.
-    """
-    small = F.pmod(_column(key).cast("long"), F.lit(1 << 30))
-    return F.pmod(small * 1103515245 + F.lit((seed * 12345 + 12345) % RANGE), F.lit(RANGE))
-
-
-def random_text(key, seed: int = 0) -> Column:
-    """As ``random_int`` for text keys: 28 bits of an MD5 digest."""
-    return F.conv(F.substring(F.md5(F.concat_ws("#", _column(key).cast("string"), F.lit(str(seed)))), 1, 7), 16, 10).cast("long")
+    """A number in [0, 2**31) out of an MD5 digest of ``key`` (of any type, as text) and ``seed``; any SQL engine can make it."""
+    digest = F.md5(F.concat_ws("#", _column(key).cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(RANGE - 1))
 
 
 def random_below(n, key, seed: int = 0) -> Column:
@@ -37,6 +29,15 @@ def count_to(n) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def chunk_starts(n, chunk: int) -> Column:
+    """0, chunk, 2 chunk, … below n; none for n <= 0.
+
+    A case and not a filter before it: Spark would push the filter, and whatever makes the sequence, below joins and aggregates.
+    """
+    n = _column(n).cast("int")
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))
+
+
 def basename(path) -> Column:
     return F.element_at(F.split(_column(path), "/"), -1)
 

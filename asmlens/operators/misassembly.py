@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import random_below
+from asmlens.operators.pileup import KEYS
 
 # The four types, in the order of their bits.
 TYPES = ("relocation", "translocation", "inversion", "interspecies translocation")
@@ -57,39 +58,80 @@ def parse_misassembly(lines: DataFrame, line: str = "line", strand: str = "swap"
 
 
 def misassembly_types_per_contig(records: DataFrame, order: list[str]) -> DataFrame:
-    """MIS2: rows (contig, types): types in report order, joined by ``;``, spaces as ``_``."""
+    """MIS2: rows (sample, contig, types): types in report order, joined by ``;``, spaces as ``_``."""
     names = F.array_sort(F.collect_list(F.struct(*order, F.replace(F.col("type"), F.lit(" "), F.lit("_")).alias("t"))))
-    return records.groupBy("contig").agg(F.array_join(F.transform(names, lambda x: x["t"]), ";").alias("types"))
+    return records.groupBy(*_keys(records)).agg(F.array_join(F.transform(names, lambda x: x["t"]), ";").alias("types"))
+
+
+def _keys(*tables: DataFrame) -> list[str]:
+    return [k for k in KEYS if all(k in t.columns for t in tables)]
+
+
+def _bins(start: Column, end: Column, width: int) -> Column:
+    return F.explode(F.sequence((start / width).cast("int"), (end / width).cast("int")))
+
+
+def interval_join(positions: DataFrame, records: DataFrame, bin_width: int = 1000) -> DataFrame:
+    """JN7: positions (0-based) with every record (1-based, inclusive) of their contig that covers them; keys are those of the positions.
+
+    A range join by bins: an interval goes to each bin it touches, so a long contig spreads over its bins.
+    """
+    keys = _keys(positions, records)
+    more = [c for c in records.columns if c not in keys]
+    spans = records.where(F.col("start") <= F.col("end")).select(*keys, *more, _bins(F.col("start"), F.col("end"), bin_width).alias("_bin"))
+    rows = positions.withColumn("_bin", ((F.col("position") + 1) / bin_width).cast("int"))
+    return rows.join(spans, [*keys, "_bin"]).where((F.col("position") + 1).between(F.col("start"), F.col("end"))).drop("_bin")
+
+
+def label_stretches(records: DataFrame, bin_width: int = 1000) -> DataFrame:
+    """Disjoint stretches (keys, low, high: 1-based, inclusive) with the types that cover all of them: by_pos and mask.
+
+    Overlapping intervals of one type are merged first, so at most one interval a type covers a stretch.
+    """
+    keys = _keys(records)
+    by = Window.partitionBy(*keys, "type").orderBy("start", "end")
+    rows = records.where(F.col("start") <= F.col("end")).select(*keys, "type", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("new", (reach.isNull() | (F.col("start") > reach)).cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = rows.groupBy(*keys, "type", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    cuts = merged.select(*keys, F.explode(F.array("start", F.col("end") + 1)).alias("low")).distinct()
+    cuts = cuts.withColumn("high", F.lead("low").over(Window.partitionBy(*keys).orderBy("low")) - 1).where("high is not null")
+    spans = merged.select(*keys, "type", "start", "end", _bins(F.col("start"), F.col("end"), bin_width).alias("_bin"))
+    covered = cuts.withColumn("_bin", (F.col("low") / bin_width).cast("int")).join(spans, [*keys, "_bin"]).where(F.col("low").between(F.col("start"), F.col("end")))
+    return covered.groupBy(*keys, "low", "high").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("by_pos"), F.bit_or(type_bit()).alias("mask"))
 
 
 def label_positions(positions: DataFrame, records: DataFrame, bin_width: int = 1000) -> DataFrame:
-    """MIS3 (and JN7): positions (0-based) with the types of all intervals (1-based, inclusive) that cover them.
+    """MIS3: positions (0-based) with the types of all intervals (1-based, inclusive) of their own sample's contig that cover them.
 
-    A range join by bins: an interval goes to each bin it touches, so a long contig
-    spreads over its bins. Adds by_pos (types joined by commas, ``None`` if none), mask (bits) and
-    misassembled (whether the contig has any record).
+    Adds by_pos (types joined by commas, ``None`` if none), mask (bits) and misassembled (whether the contig has any
+    record). Records become disjoint stretches first, so a position meets one at most and the positions are not
+    grouped; Spark broadcasts the stretches if they are small, and else deals both sides by bin.
     """
-    spans = records.select("contig", "type", "start", "end", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))).alias("bin"))
-    rows = positions.withColumn("bin", F.floor((F.col("position") + 1) / bin_width))
-    cond = [rows["contig"] == spans["contig"], rows["bin"] == spans["bin"], (rows["position"] + 1).between(spans["start"], spans["end"])]
-    hits = rows.select("contig", "position", "bin").join(spans, cond).select(rows["contig"], "position", "type")
-    labels = hits.groupBy("contig", "position").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("by_pos"), F.bit_or(type_bit()).alias("mask"))
-    flags = records.select("contig").distinct().withColumn("misassembled", F.lit(1))
-    out = positions.join(labels, ["contig", "position"], "left").join(flags, "contig", "left")
+    keys = _keys(positions, records)
+    spans = label_stretches(records.select(*keys, "type", "start", "end"), bin_width)
+    spans = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "low", "high", "by_pos", "mask", _bins(F.col("low"), F.col("high"), bin_width).alias("_bin"))
+    at = F.col("position") + 1
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = positions.join(spans, [*same, (at / bin_width).cast("int") == F.col("_bin"), at.between(F.col("low"), F.col("high"))], "left").drop(*(f"_{k}" for k in keys), "_bin", "low", "high")
+    flags = records.select(*keys).distinct().withColumn("misassembled", F.lit(1))
+    out = out.join(flags, keys, "left")
     return out.withColumns({"by_pos": F.coalesce("by_pos", F.lit("None")), "mask": F.coalesce("mask", F.lit(0)), "misassembled": F.coalesce("misassembled", F.lit(0))})
 
 
 def mirror_interval(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
     """MIS4: reversed intervals (start > end) reflected on their contig's length; others as they are."""
     back, n = F.col("start") > F.col("end"), F.col("length")
-    rows = intervals.join(lengths.select("contig", "length"), "contig")
+    keys = _keys(intervals, lengths)
+    rows = intervals.join(lengths.select(*keys, "length"), keys)
     return rows.withColumn("s", F.when(back, n - (F.col("start") - 1)).otherwise(F.col("start"))).withColumn("e", F.when(back, n - (F.col("end") - 1)).otherwise(F.col("end"))).drop("start", "end").withColumnsRenamed({"s": "start", "e": "end"})
 
 
 def contig_label(contigs: DataFrame, records: DataFrame) -> DataFrame:
     """MIS5: contigs with misassembly_cnt and label (0/1)."""
-    counts = records.groupBy("contig").agg(F.count("*").alias("misassembly_cnt"))
-    out = contigs.join(counts, "contig", "left").withColumn("misassembly_cnt", F.coalesce("misassembly_cnt", F.lit(0)))
+    keys = _keys(contigs, records)
+    counts = records.groupBy(*keys).agg(F.count("*").alias("misassembly_cnt"))
+    out = contigs.join(counts, keys, "left").withColumn("misassembly_cnt", F.coalesce("misassembly_cnt", F.lit(0)))
     return out.withColumn("label", (F.col("misassembly_cnt") > 0).cast("int"))
 
 
@@ -110,11 +152,11 @@ def breakpoint_histograms(breaks: DataFrame) -> DataFrame:
 def select_breakpoint_chunk(contigs: DataFrame, chunk: int = 500, margin: int = 50, seed: int = 0) -> DataFrame:
     """MIS7: a chunk for each breakpoint, which lies at a random offset between the margins; one chunk of a clean contig.
 
-    ``contigs``: contig (long key), length, breakpoints array of (lo, hi). Adds ord, chunk_start, chunk_end, lo and hi from the chunk's start.
+    ``contigs``: contig, length, breakpoints array of (lo, hi). Adds ord, chunk_start, chunk_end, lo and hi from the chunk's start.
     """
     rows = contigs.select("contig", "length", F.posexplode_outer("breakpoints").alias("ord", "b"))
     ord_ = F.coalesce("ord", F.lit(0))
-    key = F.col("contig") * 64 + ord_
+    key = F.concat_ws("/", F.col("contig").cast("string"), ord_.cast("string"))
     mid = F.floor((F.col("b.lo") + F.col("b.hi")) / 2)
     offset = margin + random_below(F.lit(chunk - 2 * margin + 1), key, seed)
     start = F.least(F.greatest(F.lit(0), mid - offset), F.col("b.lo"))
@@ -135,7 +177,16 @@ def max_types_per_position(df: DataFrame, by: list[str], types: str = "by_pos")
     return df.groupBy(*by).agg(F.max(F.when(F.col(types) == "None", 0).otherwise(F.size(F.split(types, ",")))).alias("max_types"))
 
 
-def carry_forward(lines: DataFrame, value: Column, by: list[str], order: str, into: str) -> DataFrame:
-    """WN9: the last non-null ``value`` at or before each row, within ``by``."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn(into, F.last(value, ignorenulls=True).over(w))
+def carry_forward(lines: DataFrame, value: Column, by: list[str], order: str, into: str, block: int = 100_000) -> DataFrame:
+    """WN9: the last non-null ``value`` at or before each row, within ``by``; ``order`` is a whole number.
+
+    Rows are ordered within blocks of ``block`` numbers; each block hands its last value on to the next, so a long
+    file is not ordered in one task.
+    """
+    rows = lines.withColumns({"_block": F.floor(F.col(order) / block), "_value": value})
+    w = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy(*by, "_block").agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    ends = ends.select(*by, "_block", F.last("_end", ignorenulls=True).over(before).alias("_before"))
+    here = F.last("_value", ignorenulls=True).over(w)
+    return rows.withColumn("_here", here).join(ends, [*by, "_block"]).withColumn(into, F.coalesce("_here", "_before")).drop("_block", "_value", "_here", "_before")

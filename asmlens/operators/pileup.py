@@ -1,10 +1,13 @@
 """Per-position features of read alignments (PIL1-PIL16).
 
 Alignments have one row a read: sample, read_id, flag, contig, pos (0-based),
-mapq, cigar, mate_pos, tlen, seq, qual, as_score. Everything is Spark SQL: a
-read becomes an array of its aligned positions, compared with its piece of the
-contig before anything is exploded, so that no contig sequence is copied to
-positions. One aggregate then serves all features.
+mapq, cigar, mate_pos, tlen, seq, qual, as_score. Everything is Spark SQL.
+
+A read becomes its aligned stretches, cut at the borders of contig chunks and
+dealt by (contig, chunk), so that deep or long contigs spread over tasks and a
+stretch meets its chunk of the sequence only. Sequences are binary there, where a
+base is found in one step. Positions are laid out last; the aggregate by position
+combines them in the same task, and one aggregate serves all features.
 """
 
 from __future__ import annotations
@@ -12,23 +15,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from asmlens.functions.columns import count_to
+from asmlens.functions.columns import chunk_starts
 
+# Bits of the alignment flag.
 PAIRED, PROPER, MATE_UNMAPPED, UNMAPPED, REVERSE, MATE_REVERSE, SECONDARY, SUPPLEMENTARY = 1, 2, 8, 4, 16, 32, 256, 2048
 KEYS = ("sample", "contig")
 LEAST_QUALITY = 13
+# Names of the count features.
 COUNTS = ("num_query_A", "num_query_C", "num_query_G", "num_query_T", "num_SNPs", "num_discordant", "num_proper_Match", "num_orphans_Match", "num_discordant_Match", "num_proper_SNP")
+CHUNK = 10_000
+OTHER_LETTERS = "BDEFHIJKLMOPQRSVWXYZ=.*-"
 
 
 def has(flag: int, column: str = "flag") -> Column:
     return F.col(column).bitwiseAND(F.lit(flag)) != 0
 
 
+def base_class(column: str | Column) -> Column:
+    """A, C, G, T (U counts as T) for each base of a sequence; any other letter is N."""
+    upper = F.upper(F.col(column) if isinstance(column, str) else column)
+    return F.translate(upper, "U" + OTHER_LETTERS, "T" + "N" * len(OTHER_LETTERS))
+
+
 def cigar_ops(cigar: str = "cigar") -> Column:
     """Array of (n, op, ref0, query0): each operation with the reference and query bases consumed before it."""
-    sizes = F.regexp_extract_all(F.col(cigar), F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1))
-    kinds = F.regexp_extract_all(F.col(cigar), F.lit(r"\d+([MIDNSHP=X])"), F.lit(1))
-    ops = F.transform(F.arrays_zip(sizes.alias("n"), kinds.alias("op")), lambda x: F.struct(x["n"].cast("int").alias("n"), x["op"].alias("op")))
+    tokens = F.regexp_extract_all(F.col(cigar), F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+    ops = F.transform(tokens, lambda t: F.struct(F.substring(t, F.lit(1), F.length(t) - 1).cast("int").alias("n"), F.right(t, F.lit(1)).alias("op")))
     start = F.expr("named_struct('done', cast(array() as array<struct<n:int,op:string,ref0:int,query0:int>>), 'r', 0, 'q', 0)")
 
     def step(acc: Column, x: Column) -> Column:
@@ -40,11 +52,20 @@ def cigar_ops(cigar: str = "cigar") -> Column:
     return F.aggregate(ops, start, step, lambda acc: acc["done"])
 
 
-def expand_alignments(aln: DataFrame, contigs: DataFrame | None = None, keep: tuple[str, ...] = ("flag", "mapq", "tlen", "as_score"), min_mapq: int = 0, exclude_flags: int = 0) -> DataFrame:
-    """PIL1 (and PIL2 with ``contigs``): a row for each read and reference position.
+def _bytes(column: str, start: Column, n: Column) -> Column:
+    """Bytes ``start`` (from 0) on of a binary column."""
+    return F.substring(F.col(column), start + 1, n)
+
 
-    Columns: sample, contig, position, base (``-`` in a deletion, ``N`` in a skip), base_quality (null if missing),
-    and with contigs ref_base and is_match. Unmapped reads are left out; all other reads count unless asked otherwise.
+def _letter(column: str, k: Column) -> Column:
+    return _bytes(column, k, F.lit(1)).cast("string")
+
+
+def aligned_stretches(aln: DataFrame, keep: tuple[str, ...] = (), min_mapq: int = 0, exclude_flags: int = 0) -> DataFrame:
+    """Rows (keys, keep, op, start, n, bases, classes, quals): a row for each run of reference positions of a read.
+
+    ``op`` is M, D or N; ``bases``, their classes and qualities are binary, and null but for M.
+    Unmapped reads are left out; all other reads count unless asked otherwise.
     """
     rows = aln.where(~has(UNMAPPED) & F.col("cigar").isNotNull() & (F.col("cigar") != "*"))
     if min_mapq:
@@ -52,34 +73,51 @@ def expand_alignments(aln: DataFrame, contigs: DataFrame | None = None, keep: tu
     if exclude_flags:
         rows = rows.where(F.col("flag").bitwiseAND(F.lit(exclude_flags)) == 0)
     keys = [k for k in KEYS if k in aln.columns]
-    rows = rows.select(*keys, "pos", *keep, "seq", F.when(F.col("qual") != "*", F.col("qual")).alias("qual"), cigar_ops().alias("ops"))
-    if contigs is not None:
-        span = F.aggregate("ops", F.lit(0), lambda a, o: a + F.when(o["op"].isin("M", "=", "X", "D", "N"), o["n"]).otherwise(0))
-        rows = rows.join(contigs.select(*keys, F.col("seq").alias("contig_seq")), keys).withColumn("contig_seq", F.substring("contig_seq", F.col("pos") + 1, span))
-
-    def place(o: Column, k: Column) -> Column:
-        aligned, deleted = o["op"].isin("M", "=", "X"), o["op"] == "D"
-        parts = [
-            (F.col("pos") + o["ref0"] + k).alias("position"),
-            F.when(aligned, F.substring("seq", o["query0"] + k + 1, F.lit(1))).when(deleted, F.lit("-")).otherwise(F.lit("N")).alias("base"),
-            F.when(aligned, F.ascii(F.substring("qual", o["query0"] + k + 1, F.lit(1))) - 33).alias("base_quality"),
-        ]
-        if contigs is not None:
-            parts.append(F.substring("contig_seq", o["ref0"] + k + 1, F.lit(1)).alias("ref_base"))
-        return F.struct(*parts)
-
-    moving = F.filter("ops", lambda o: o["op"].isin("M", "=", "X", "D", "N") & (o["n"] > 0))
-    places = F.flatten(F.transform(moving, lambda o: F.transform(count_to(o["n"]), lambda k: place(o, k))))
-    out = rows.select(*keys, *keep, F.explode(places).alias("p")).select(*keys, *keep, "p.*")
-    if contigs is not None:
-        out = out.withColumn("is_match", base_class("base") == base_class("ref_base"))
-    return out
+    whole = {"_bases": F.col("seq").cast("binary"), "_classes": base_class("seq").cast("binary"), "_quals": F.when(F.col("qual") != "*", F.col("qual")).cast("binary")}
+    rows = rows.select(*keys, *keep, "pos", *(c.alias(n) for n, c in whole.items()), F.explode(cigar_ops()).alias("o")).where(F.col("o.op").isin("M", "=", "X", "D", "N") & (F.col("o.n") > 0))
+    aligned = F.col("o.op").isin("M", "=", "X")
+    part = lambda c: F.when(aligned, _bytes(c, F.col("o.query0"), F.col("o.n")))
+    return rows.select(*keys, *keep, F.when(aligned, "M").otherwise(F.col("o.op")).alias("op"), (F.col("pos") + F.col("o.ref0")).alias("start"), F.col("o.n").alias("n"), part("_bases").alias("bases"), part("_classes").alias("classes"), part("_quals").alias("quals"))
 
 
-def base_class(column: str) -> Column:
-    """A, C, G, T (U counts as T); anything else is one class."""
-    b = F.translate(F.upper(F.col(column)), "U", "T")
-    return F.when(b.isin("A", "C", "G", "T"), b).otherwise("N")
+def contig_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Rows (keys, bin, low, size, part): the sequence in binary pieces of ``chunk`` bases."""
+    keys = [k for k in KEYS if k in contigs.columns]
+    rows = contigs.select(*keys, F.col("seq").cast("binary").alias("_seq")).withColumn("n", F.octet_length("_seq"))
+    rows = rows.select(*keys, "n", "_seq", F.explode(chunk_starts("n", chunk)).alias("low"))
+    return rows.select(*keys, (F.col("low") / chunk).cast("int").alias("bin"), "low", F.least(F.lit(chunk), F.col("n") - F.col("low")).alias("size"), _bytes("_seq", F.col("low"), F.lit(chunk)).alias("part"))
+
+
+def expand_alignments(aln: DataFrame, contigs: DataFrame | None = None, keep: tuple[str, ...] = ("flag", "mapq", "tlen", "as_score"), min_mapq: int = 0, exclude_flags: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """PIL1 (and PIL2 with ``contigs``): a row for each read and reference position.
+
+    Columns: sample, contig, position, base (``-`` in a deletion, ``N`` in a skip), base_class, base_quality (null if
+    missing), and with contigs ref_base and is_match. Positions outside the sequence have an empty ref_base.
+    """
+    keys = [k for k in KEYS if k in aln.columns]
+    rows = aligned_stretches(aln, keep, min_mapq, exclude_flags).withColumn("shift", F.lit(0))
+    if contigs is not None:
+        # a stretch goes to each chunk it touches; very deep chunks are split, not gathered in one task
+        last = (F.col("start") + F.col("n") - 1) / chunk
+        rows = rows.withColumn("bin", F.explode(F.sequence((F.col("start") / chunk).cast("int"), last.cast("int"))))
+        inner = F.greatest(F.col("start"), F.col("bin") * chunk)
+        cut = {"shift": inner - F.col("start"), "n": F.least(F.col("start") + F.col("n"), (F.col("bin") + 1) * chunk) - inner}
+        rows = rows.withColumns(cut).hint("rebalance", *keys, "bin")
+        refs = contig_chunks(contigs, chunk).select(*keys, "bin", "low", "part", base_class(F.col("part").cast("string")).cast("binary").alias("part_classes"))
+        rows = rows.join(refs, [*keys, "bin"])
+    rows = rows.withColumn("k", F.explode(F.sequence(F.col("shift"), F.col("shift") + F.col("n") - 1)))
+    k, aligned = F.col("k"), F.col("op") == "M"
+    columns = [
+        (F.col("start") + k).alias("position"),
+        F.when(aligned, _letter("bases", k)).when(F.col("op") == "D", "-").otherwise("N").alias("base"),
+        F.when(aligned, _letter("classes", k)).otherwise("N").alias("base_class"),
+        F.when(aligned, F.ascii(_letter("quals", k)) - 33).alias("base_quality"),
+    ]
+    if contigs is not None:
+        at = F.col("start") + k - F.col("low")
+        ref = _letter("part_classes", at)
+        columns += [_letter("part", at).alias("ref_base"), (F.when(aligned, _letter("classes", k)).otherwise("N") == F.when(ref == "", "N").otherwise(ref)).alias("is_match")]
+    return rows.select(*keys, *keep, *columns)
 
 
 def pair_class_counts(match: Column) -> list[Column]:
@@ -98,7 +136,7 @@ def pair_class_counts(match: Column) -> list[Column]:
 def base_counts(least_quality: int = LEAST_QUALITY) -> list[Column]:
     """PIL5: bases of enough quality; a missing quality passes."""
     good = F.col("base_quality").isNull() | (F.col("base_quality") >= least_quality)
-    return [F.count_if((base_class("base") == b) & good).alias(f"num_query_{b}") for b in "ACGT"]
+    return [F.count_if((F.col("base_class") == b) & good).alias(f"num_query_{b}") for b in "ACGT"]
 
 
 def num_snps(ref_base: str = "ref_base") -> Column:
@@ -107,9 +145,11 @@ def num_snps(ref_base: str = "ref_base") -> Column:
 
 
 def four_stats(value: Column, name: str, when: Column) -> list[Column]:
-    """Minimum, mean, sample deviation and maximum over the rows that hold."""
-    v = F.when(when, value)
-    return [F.min(v).alias(f"min_{name}"), F.avg(v).alias(f"mean_{name}"), F.stddev_samp(v).alias(f"stdev_{name}"), F.max(v).alias(f"max_{name}")]
+    """Minimum, mean, sample deviation and maximum of whole numbers over the rows that hold, from their sums and sums of squares."""
+    v = F.when(when, value).cast("double")
+    n, s, q = F.count(v), F.sum(v), F.sum(v * v)
+    deviation = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), n * q - s * s) / (n * (n - 1))))
+    return [F.min(F.when(when, value)).alias(f"min_{name}"), (s / n).alias(f"mean_{name}"), deviation.alias(f"stdev_{name}"), F.max(F.when(when, value)).alias(f"max_{name}")]
 
 
 def insert_size_stats(when: Column, side: str = "Match") -> list[Column]:
@@ -155,7 +195,9 @@ def pileup(expanded: DataFrame, profile: str = "standard", least_quality: int =
     """PIL3-PIL11 in one aggregate over expanded alignments with matches: a row for each covered position."""
     match = F.col("is_match")
     keys = [k for k in KEYS if k in expanded.columns]
-    columns = [F.first("ref_base").alias("ref_base"), F.count("*").alias("coverage"), *base_counts(least_quality), *pair_class_counts(match)]
+    # as a number, so that the aggregate hashes and need not sort the positions
+    code = F.max(F.ascii("ref_base"))
+    columns = [F.when(code > 0, F.char(code)).otherwise("").alias("ref_base"), F.count("*").alias("coverage"), *base_counts(least_quality), *pair_class_counts(match)]
     if profile not in ("short", "standard", "extended"):
         raise ValueError(f"unknown profile {profile!r}")
     if profile != "short":
@@ -166,15 +208,22 @@ def pileup(expanded: DataFrame, profile: str = "standard", least_quality: int =
     return out.withColumn("num_SNPs", num_snps())
 
 
-def dense_positions(features: DataFrame, contigs: DataFrame, chunk: int = 10_000) -> DataFrame:
+def dense_positions(features: DataFrame, contigs: DataFrame, chunk: int = CHUNK, spine: DataFrame | None = None) -> DataFrame:
     """PIL12: every position of every contig; counts are 0 and statistics null where nothing aligns.
 
     Contigs are cut into chunks before positions are laid out, so one long contig is spread over tasks.
+    ``spine`` gives the positions ready, with their ``own_base`` and whatever else is known of them.
     """
     keys = [k for k in KEYS if k in features.columns]
-    pieces = contigs.select(*keys, "length", F.posexplode(F.when(F.col("length") > 0, F.sequence(F.lit(0), F.col("length") - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))).alias("piece", "low"), F.substring("seq", F.col("low") + 1, F.lit(chunk)).alias("part") if "seq" in contigs.columns else F.lit(None).cast("string").alias("part"))
-    laid = F.transform(F.sequence(F.lit(0), F.least(F.lit(chunk), F.col("length") - F.col("low")) - 1), lambda k: F.struct((F.col("low") + k).alias("position"), F.substring("part", k + 1, F.lit(1)).alias("base")))
-    spine = pieces.select(*keys, F.explode(laid).alias("p")).select(*keys, "p.position", F.col("p.base").alias("own_base"))
+    if spine is not None:
+        pass
+    elif "seq" in contigs.columns:
+        pieces = contig_chunks(contigs, chunk)
+    else:
+        pieces = contigs.select(*keys, "length", F.explode(chunk_starts("length", chunk)).alias("low")).withColumns({"size": F.least(F.lit(chunk), F.col("length") - F.col("low")), "part": F.lit(None).cast("binary")})
+    if spine is None:
+        spine = pieces.select(*keys, "low", "part", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("k"))
+        spine = spine.select(*keys, (F.col("low") + F.col("k")).alias("position"), _letter("part", F.col("k")).alias("own_base"))
     out = spine.join(features, [*keys, "position"], "left")
     whole = [c for c in features.columns if c == "coverage" or c.startswith("num_")]
     out = out.fillna(0, whole)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asmlens.functions.columns import path_part, random_int, random_text, sanitize
+from asmlens.functions.columns import path_part, random_int, sanitize
 
 
 def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_insert: int = 30000, seed: int = 0, key: str | Column = "read_id", ties: tuple = (), read_length: str | Column | None = None) -> DataFrame:
@@ -124,7 +124,3 @@ def extract_path_params(files: DataFrame, path: str = "path", layout: str = "sim
     n = len(names)
     return files.withColumns({name: path_part(path, k - n - 1).try_cast(kinds.get(name, "string")) for k, name in enumerate(names)})
 
-
-def text_sample(df: DataFrame, share: float, key: str, seed: int = 0) -> DataFrame:
-    """A stable random share of rows with text keys."""
-    return df.where(random_text(key, seed) < int(share * (1 << 28)))

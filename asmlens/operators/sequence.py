@@ -5,36 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asmlens.functions.columns import count_to
+from asmlens.functions.columns import chunk_starts
 from asmlens.operators.pileup import base_class
 
 
 def entropy_bits(counts: list[Column]) -> Column:
     """Shannon entropy of a few counts; 0 if all are 0."""
     total = sum(counts[1:], counts[0])
-    part = lambda n: F.when(n > 0, -(n / total) * F.log2(n / total)).otherwise(0.0)
-    return F.when(total > 0, sum((part(n) for n in counts[1:]), part(counts[0]))).otherwise(0.0)
+    part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
+    return F.when(total > 0, F.log2(total) - sum((part(n) for n in counts[1:]), part(counts[0])) / total).otherwise(0.0)
 
 
-def sequence_window(contigs: DataFrame, w: int = 6, seq: str = "seq", chunk: int = 10_000) -> DataFrame:
-    """SEQ1: (…, position, seq_window_entropy, seq_window_perc_gc), without a shuffle.
+def sequence_window(contigs: DataFrame, w: int = 6, seq: str = "seq", chunk: int = 10_000, base: str | None = None) -> DataFrame:
+    """SEQ1: (…, position, seq_window_entropy, seq_window_perc_gc), without a shuffle; ``base`` names a column for the base itself.
 
     The window looks forward in the first half and back in the second; it shrinks
     to half of a short sequence, and to 1 for a single base. Bases outside ACGTU
-    are ignored. Long sequences are cut into overlapping chunks first.
+    are ignored. Long sequences are cut into overlapping binary chunks first, where
+    a window is found in one step.
     """
     keys = [c for c in contigs.columns if c not in (seq, "length")]
-    rows = contigs.select(*keys, F.translate(F.upper(F.col(seq)), "U", "T").alias("s")).withColumn("n", F.length("s"))
+    rows = contigs.select(*keys, F.translate(F.upper(F.col(seq)), "U", "T").cast("binary").alias("s"), F.col(seq).cast("binary").alias("raw")).withColumn("n", F.octet_length("s"))
     rows = rows.withColumn("w", F.greatest(F.lit(1), F.least(F.lit(w), F.floor(F.col("n") / 2).cast("int"))))
-    rows = rows.select(*keys, "n", "w", "s", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk))).otherwise(F.array().cast("array<int>"))).alias("low"))
-    rows = rows.withColumn("base", F.greatest(F.lit(0), F.col("low") - w)).withColumn("part", F.substring("s", F.col("base") + 1, F.lit(chunk + 2 * w)))
-    place = rows.select(*keys, "n", "w", "part", "base", F.explode(F.transform(count_to(F.least(F.lit(chunk), F.col("n") - F.col("low"))), lambda k: F.col("low") + k)).alias("position"))
-    forward = F.col("position") < F.floor(F.col("n") / 2)
-    start = F.when(forward | (F.col("n") == 1), F.col("position")).otherwise(F.col("position") - F.col("w") + 1)
-    place = place.withColumn("win", F.substring("part", start - F.col("base") + 1, F.col("w")))
-    counts = [(F.length("win") - F.length(F.replace(F.col("win"), F.lit(b), F.lit("")))).cast("double") for b in "ACGT"]
-    gc = F.when(sum(counts[1:], counts[0]) > 0, (counts[1] + counts[2]) / sum(counts[1:], counts[0])).otherwise(0.0)
-    return place.select(*keys, "position", entropy_bits(counts).alias("seq_window_entropy"), gc.alias("seq_window_perc_gc"))
+    rows = rows.select(*keys, "n", "w", "s", "raw", F.explode(chunk_starts("n", chunk)).alias("low"))
+    rows = rows.withColumn("base", F.greatest(F.lit(0), F.col("low") - w))
+    rows = rows.select(*keys, "n", "w", "low", "base", F.substring("s", F.col("base") + 1, F.lit(chunk + 2 * w)).alias("part"), F.substring("raw", F.col("low") + 1, F.lit(chunk)).alias("own"))
+    place = rows.select(*keys, "n", "w", "part", "base", "low", "own", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + chunk, F.col("n")) - 1)).alias("position"))
+    forward = (F.col("position") < F.floor(F.col("n") / 2)) | (F.col("n") == 1)
+    start = F.when(forward, F.col("position")).otherwise(F.col("position") - F.col("w") + 1)
+    bases = [F.substring("own", F.col("position") - F.col("low") + 1, F.lit(1)).cast("string").alias(base)] if base else []
+    place = place.select(*keys, "position", *bases, F.substring("part", start - F.col("base") + 1, F.col("w")).cast("string").alias("win"))
+    count = lambda b: (F.octet_length("win") - F.octet_length(F.replace(F.col("win"), F.lit(b), F.lit("")))).cast("double")
+    keys = [*keys, "position", *([base] if base else [])]
+    place = place.select(*keys, *(count(b).alias(f"_{b}") for b in "ACGT"))
+    counts = [F.col(f"_{b}") for b in "ACGT"]
+    total = sum(counts[1:], counts[0])
+    gc = F.when(total > 0, (counts[1] + counts[2]) / total).otherwise(0.0)
+    return place.select(*keys, entropy_bits(counts).alias("seq_window_entropy"), gc.alias("seq_window_perc_gc"))
 
 
 def one_hot_base(df: DataFrame, column: str = "ref_base") -> DataFrame:

@@ -92,7 +92,8 @@ class Tables:
     def sequences(self) -> DataFrame:
         """Sequences out of the documents' letters."""
         letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
-        return self["documents"].select(F.col("doc_id").alias("contig"), F.col("source").alias("file"), F.substring(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), 1, 1000).alias("seq"))
+        rows = self["documents"].repartition("doc_id")  # one small file would be one task
+        return rows.select(F.col("doc_id").alias("contig"), F.col("source").alias("file"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("seq"))
 
     def breakpoints(self) -> DataFrame:
         """``meta`` with its breakpoints as an array."""
@@ -100,8 +101,8 @@ class Tables:
         return self.view("meta").withColumn("breakpoints", F.when(F.col("misassembly_cnt") > 0, b).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))).drop("lo", "hi")
 
 
-SEQS = """SELECT doc_id AS contig, source AS file, substring(translate(regexp_replace(lower(text), '[^a-z]', '', 'g'),
-  'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 1000) AS seq FROM documents"""
+SEQS = """SELECT doc_id AS contig, source AS file, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'),
+  'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM documents"""
 EXPANDED = """SELECT contig, flag, mapq, tlen, as_score, ln, pos + k AS position, substr('ACGT', CAST((okey + k) % 4 AS INT) + 1, 1) AS base,
   substr('ACGT', CAST((contig * 7 + (pos + k) * 3) % 4 AS INT) + 1, 1) AS ref_base
   FROM (SELECT *, unnest(range(0, mlen)) AS k FROM aln)"""

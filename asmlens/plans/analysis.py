@@ -40,7 +40,7 @@ def build_training_set(meta: DataFrame, frac_neg: float, max_len: int, epoch: in
 
 def rand(key: str, seed: int = 0) -> str:
     """``random_int`` in SQL."""
-    return f"((({key}) % 1073741824) * 1103515245 + {(seed * 12345 + 12345) % 2147483648}) % 2147483648"
+    return f"(('0x' || substr(md5(({key})::VARCHAR || '#{seed}'), 1, 8))::BIGINT & 2147483647)"
 
 
 # --- sampling

@@ -21,9 +21,8 @@ def extract_features(alignments: DataFrame, contigs: DataFrame, records: DataFra
     """Alignments and contigs to the position table: coverage cap, pileup, all positions, sequence windows, labels."""
     rows = alignments if max_coverage is None else S.cap_coverage(alignments, contigs, max_coverage, max_insert, seed, ties=ties).drop("cov", "length")
     found = P.pileup(P.expand_alignments(rows, contigs), profile)
-    dense = P.dense_positions(found, contigs)
-    keys = [k for k in ("sample", "contig") if k in contigs.columns]
-    out = dense.join(Q.sequence_window(contigs.select(*keys, "seq"), window), [*keys, "position"])
+    keys = [k for k in P.KEYS if k in contigs.columns]
+    out = P.dense_positions(found, contigs, spine=Q.sequence_window(contigs.select(*keys, "seq"), window, base="own_base"))
     if records is not None:
         out = M.label_positions(out, records).withColumnsRenamed({"misassembled": "Extensive_misassembly", "by_pos": "Extensive_misassembly_by_pos"})
     return out
@@ -168,7 +167,7 @@ query("mis3_label_positions", duck(_LABEL.replace("contig IN (SELECT contig FROM
     lambda t: M.label_positions(t.contigs().select("contig", F.explode(F.sequence(F.lit(0), F.lit(1048))).alias("position")), _two(t))
 )
 query("jn7_interval_join", duck('SELECT p.contig, p.position, m.type, m."start" FROM (SELECT DISTINCT contig, position FROM expanded) p JOIN mis m ON m.contig = p.contig AND p.position + 1 BETWEEN m."start" AND m."end"', "aln", "expanded", "mis"))(
-    lambda t: (lambda p, m: p.join(m, (p["contig"] == m["contig"]) & (p["position"] + 1).between(m["start"], m["end"])).select(p["contig"], "position", "type", "start"))(P.expand_alignments(t.alignments(), keep=()).select("contig", "position").distinct(), t.view("mis"))
+    lambda t: M.interval_join(P.expand_alignments(t.alignments(), keep=()).select("contig", "position").distinct(), t.view("mis").select("contig", "type", "start", "end")).select("contig", "position", "type", "start")
 )
 query("mis4_mirror_interval", duck('SELECT contig, ord, CASE WHEN ord % 2 = 0 THEN 1049 - ("end" - 1) ELSE "start" END::INT AS "start", CASE WHEN ord % 2 = 0 THEN 1049 - ("start" - 1) ELSE "end" END::INT AS "end" FROM mis WHERE contig IN (SELECT contig FROM aln)', "aln", "mis"))(
     lambda t: M.mirror_interval(t.view("mis").select("contig", "ord", F.when(F.col("ord") % 2 == 0, F.col("end")).otherwise(F.col("start")).alias("start"), F.when(F.col("ord") % 2 == 0, F.col("start")).otherwise(F.col("end")).alias("end")), t.contigs()).select("contig", "ord", "start", "end")
@@ -183,8 +182,7 @@ query(
       spine AS (SELECT 'end' AS kind, unnest(range(0, 50))::INT AS bin UNION ALL SELECT 'relative', unnest(range(0, 20))::INT)
       SELECT s.kind, s.bin, count(bins.bin) AS n FROM spine s LEFT JOIN bins USING (kind, bin) GROUP BY ALL""", "meta").replace(" WITH b AS", ", b AS", 1),
 )(lambda t: M.breakpoint_histograms(t.view("meta").where("misassembly_cnt > 0")))
-_RAND = "((({k}) % 1073741824) * 1103515245 + {c}) % 2147483648"
-_R0 = _RAND.format(k="contig * 64", c=12345)
+_R0 = "(('0x' || substr(md5(contig || '/0#0'), 1, 8))::BIGINT & 2147483647)"
 query(
     "mis7_breakpoint_chunks",
     duck(f"""SELECT contig, 0 AS ord, s AS chunk_start, least(length, s + 500)::INT AS chunk_end, CASE WHEN misassembly_cnt > 0 THEN lo - s END::INT AS lo, CASE WHEN misassembly_cnt > 0 THEN hi - s END::INT AS hi FROM (

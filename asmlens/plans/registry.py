@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from asmlens.plans.adapters import Tables
 
-DECIMALS = 6
+SCALE = 1e6
 
 
 @dataclass(frozen=True)
@@ -21,12 +21,12 @@ class Entry:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         df = self.build(Tables(spark, sf_dir))
-        return df.withColumns({c: F.round(F.col(c).cast("double"), DECIMALS) + F.lit(0.0) for c in self.rounded})
+        return df.withColumns({c: F.rint(F.col(c).cast("double") * SCALE) / SCALE + F.lit(0.0) for c in self.rounded})
 
     def oracle(self) -> str | None:
         if not self.sql or not self.rounded:
             return self.sql
-        replace = ", ".join(f"round({c}::DOUBLE, {DECIMALS}) + 0.0::DOUBLE AS {c}" for c in self.rounded)
+        replace = ", ".join(f"round_even({c}::DOUBLE * {SCALE}::DOUBLE, 0) / {SCALE}::DOUBLE + 0.0::DOUBLE AS {c}" for c in self.rounded)
         return f"SELECT * REPLACE ({replace}) FROM ({self.sql})"
 
 
