@@ -1,7 +1,7 @@
 """Evaluation metrics (EVL1-EVL11).
 
-Scores are counted by value first, so windows run over distinct scores, and
-the whole table is never sorted in one place.
+Scores are counted by value first, and running sums over the distinct scores are
+made range by range, so that no task orders all of them.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from asmlens.operators.ordered import running_sums
+
 
 def recall_by_class(preds: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
     """EVL1: recall of class 1 (score > threshold) and of class 0; null for a class without rows."""
@@ -17,12 +19,13 @@ def recall_by_class(preds: DataFrame, threshold: float = 0.5, by: list[str] | No
 
 
 def score_steps(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Per distinct score: true and false positives among scores at least as high, and both totals."""
+    """Per distinct score: its positives p and negatives n, true and false positives among scores at least as high, and both totals."""
     by = by or []
     counts = preds.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return counts.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(w).alias("pos"), F.sum("n").over(w).alias("neg"))
+    totals = counts.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    steps = running_sums(counts, by, "score", {"tp": "p", "fp": "n"}, descending=True)
+    same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or F.lit(True)
+    return steps.join(F.broadcast(totals) if not by else totals, same).select(*by, "score", "p", "n", "tp", "fp", "pos", "neg")
 
 
 def pr_curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -31,21 +34,22 @@ def pr_curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return s.select(*(by or []), F.col("score").alias("threshold"), (F.col("tp") / F.nullif(F.col("pos"), F.lit(0))).alias("recall"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
-def _area(points: DataFrame, by: list[str], x: str, y: str, order: Column, first_y: Column, name: str, step: bool) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(order)
-    width = F.col(x) - F.coalesce(F.lag(x).over(w), F.lit(0.0))
-    height = F.col(y) if step else (F.col(y) + F.coalesce(F.lag(y).over(w), first_y)) / 2
-    return points.withColumn("part", width * height).groupBy(*by).agg(F.sum("part").alias(name))
+def _ratio(a: Column | str, b: Column | str) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return a / F.nullif(b, F.lit(0))
 
 
 def average_precision(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """EVL2: sum of recall steps times precision, ties together."""
-    return _area(pr_curve(preds, by), by or [], "recall", "precision", F.desc("threshold"), F.lit(1.0), "average_precision", True)
+    part = _ratio("p", "pos") * _ratio("tp", F.col("tp") + F.col("fp"))
+    return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(part).alias("average_precision"))
 
 
 def pr_area(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """EVL3's area by trapezoids (the curve starts at precision 1)."""
-    return _area(pr_curve(preds, by), by or [], "recall", "precision", F.desc("threshold"), F.lit(1.0), "pr_area", False)
+    before = F.coalesce(_ratio(F.col("tp") - F.col("p"), F.col("tp") - F.col("p") + F.col("fp") - F.col("n")), F.lit(1.0))
+    part = _ratio("p", "pos") * (_ratio("tp", F.col("tp") + F.col("fp")) + before) / 2
+    return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(part).alias("pr_area"))
 
 
 def roc_curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -56,7 +60,8 @@ def roc_curve(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def roc_auc(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     """EVL4's area; equals the rank statistic."""
-    return _area(roc_curve(preds, by), by or [], "fpr", "tpr", F.desc("threshold"), F.lit(0.0), "roc_auc", False)
+    part = _ratio("n", "neg") * (_ratio("tp", "pos") + _ratio(F.col("tp") - F.col("p"), "pos")) / 2
+    return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(part).alias("roc_auc"))
 
 
 def confusion_counts(preds: DataFrame, by: list[str], threshold: float | None = 0.8, quantile: float | None = None) -> DataFrame:
@@ -106,13 +111,11 @@ def normal_tail(z: Column) -> Column:
 def rank_sum_test(df: DataFrame, group: str, first: str, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """EVL10: W of the rows of group ``first`` against the others, mid-ranks, tie-corrected normal p, continuity corrected.
 
-    Values are counted first; the window runs over distinct values.
+    Values are counted first; ranks are running sums over the distinct values.
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count("*").alias("c"), F.count_if(F.col(group) == first).alias("c1"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    mid = F.sum("c").over(w) - (F.col("c") - 1) / 2
-    ranked = counts.withColumn("rank", mid)
+    ranked = running_sums(counts, by, value, {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     c = F.col("c").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum(c * c * c - c).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")

@@ -6,18 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import path_part, random_int, sanitize
+from asmlens.operators.ordered import numbered
+
+
+BIN_READS = 1000
 
 
 def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_insert: int = 30000, seed: int = 0, key: str | Column = "read_id", ties: tuple = (), read_length: str | Column | None = None) -> DataFrame:
     """SMP1: per contig, reads in hash order while the coverage so far stays below ``max_cov``; too wide inserts go.
 
-    Adds ``cov``, the coverage with the read. The order is by a hash of ``key`` and then ``ties``.
+    Adds ``cov``, the coverage with the read. The order is by a hash of ``key`` and then ``ties``. A contig's reads
+    are dealt to hash ranges of about ``BIN_READS``; sums of ranges say where the cut lies, and only ranges before
+    it are ordered, each on its own.
     """
     names = [k for k in ("sample", "contig") if k in aln.columns and k in contigs.columns]
-    rows = aln.where(F.abs("tlen") <= max_insert).join(contigs.select(*names, "length"), names)
-    w = Window.partitionBy(*names).orderBy(random_int(key, seed), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("cov", F.sum(F.length("seq") if read_length is None else read_length).over(w) / F.col("length"))
-    return rows.where(F.col("cov") < max_cov)
+    size = F.length("seq") if read_length is None else F.col(read_length) if isinstance(read_length, str) else read_length
+    rows = aln.where(F.abs("tlen") <= max_insert)
+    deep = rows.groupBy(*names).agg(F.ceil(F.count("*") / BIN_READS).alias("_bins")).join(contigs.select(*names, "length"), names)
+    rows = rows.withColumns({"_h": random_int(key, seed), "_n": size}).join(deep, names)
+    rows = rows.withColumn("_bin", F.floor(F.col("_h") * F.col("_bins") / (1 << 31))).drop("_bins")
+    sums = rows.groupBy(*names, "_bin").agg(F.sum("_n").alias("_sum"), F.max("length").alias("_length"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    open_ = sums.withColumn("_before", before).where(F.col("_before") / F.col("_length") < max_cov).select(*names, "_bin", "_before")
+    within = Window.partitionBy(*names, "_bin").orderBy("_h", *ties).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(open_, [*names, "_bin"]).withColumn("cov", (F.col("_before") + F.sum("_n").over(within)) / F.col("length"))
+    return rows.where(F.col("cov") < max_cov).drop("_h", "_n", "_bin", "_before")
 
 
 def coverage_report(capped: DataFrame) -> DataFrame:
@@ -87,10 +100,9 @@ def prediction_summary(predictions: DataFrame) -> DataFrame:
     return predictions.agg(F.count("*").alias("n"), F.round(F.min(s), 2).alias("min"), F.round(F.avg(s), 2).alias("mean"), F.round(F.max(s), 2).alias("max"))
 
 
-def score_cutoff_check(spark, cutoffs: list[float]) -> DataFrame:
-    """FLT5: a warning row for each cutoff outside [0, 1]."""
-    rows = spark.createDataFrame([(float(c),) for c in cutoffs], "cutoff double")
-    return rows.where(~F.col("cutoff").between(0, 1)).withColumn("warning", F.lit("score cutoff outside [0, 1]"))
+def score_cutoff_check(cutoffs: DataFrame, cutoff: str = "cutoff") -> DataFrame:
+    """FLT5: the rows whose cutoff lies outside [0, 1], with a warning."""
+    return cutoffs.where(~F.col(cutoff).between(0, 1)).withColumn("warning", F.lit("score cutoff outside [0, 1]"))
 
 
 def rename_sanitized(df: DataFrame, column: str) -> DataFrame:
@@ -100,9 +112,8 @@ def rename_sanitized(df: DataFrame, column: str) -> DataFrame:
 
 def number_contigs(records: DataFrame, cutoff: int, file: str = "file", order: str = "rec", name: str = "header") -> DataFrame:
     """REN2: ``<name>_CONTIG<k>``, k counting the records of a file that pass the length cutoff, from 0."""
-    w = Window.partitionBy(file).orderBy(order)
-    kept = records.where(F.col("length") >= cutoff)
-    return kept.withColumn("k", F.row_number().over(w) - 1).withColumn("new_name", F.concat(sanitize(name), F.lit("_CONTIG"), F.col("k").cast("string")))
+    kept = numbered(records.where(F.col("length") >= cutoff), [file], [order], "k").withColumn("k", F.col("k") - 1)
+    return kept.withColumn("new_name", F.concat(sanitize(name), F.lit("_CONTIG"), F.col("k").cast("string")))
 
 
 def strip_non_ascii(lines: DataFrame, column: str = "line", by: str = "_") -> DataFrame:

@@ -34,20 +34,54 @@ def evaluation_chunks(meta: DataFrame, max_len: int = 20000) -> DataFrame:
 
 
 def memory_batches(meta: DataFrame, total_bytes: int, batch_size: int, window: int, n_features: int, shard: str, order: list[str]) -> DataFrame:
-    """CHK3: ordered greedy packing within each shard (its metadata only); needs column ``n_chunks``."""
+    """CHK3: ordered greedy packing within each shard (its metadata only); needs column ``n_chunks``.
+
+    Rows are sorted within partitions and streamed: a shard of any length needs the memory of one batch of rows.
+    """
     row_bytes = window * (10 + 4 * n_features)
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, batch, contigs, chunks = [], 0, 0, 0
-        for n in pdf["n_chunks"]:
-            if contigs > batch_size or (contigs and (chunks + n) * row_bytes > total_bytes):
-                batch, contigs, chunks = batch + 1, 0, 0
-            contigs, chunks = contigs + 1, chunks + n
-            out.append(batch)
-        return pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    return meta.groupBy(shard).applyInPandas(pack, meta.withColumn("batch", F.lit(0).cast("long")).schema)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, started, batch, contigs, chunks = None, False, 0, 0, 0
+        for pdf in batches:
+            out = []
+            for s, n in zip(pdf[shard].where(pdf[shard].notna(), None), pdf["n_chunks"]):
+                if not started or s != now:
+                    now, started, batch, contigs, chunks = s, True, 0, 0, 0
+                elif contigs > batch_size or (chunks + n) * row_bytes > total_bytes:
+                    batch, contigs, chunks = batch + 1, 0, 0
+                contigs, chunks = contigs + 1, chunks + n
+                out.append(batch)
+            yield pdf.assign(batch=pd.Series(out, index=pdf.index, dtype="int64"))
+
+    return meta.repartition(shard).sortWithinPartitions(shard, *order).mapInPandas(pack, meta.withColumn("batch", F.lit(0).cast("long")).schema)
+
+
+def chunk_matrices(features: DataFrame, chunks: DataFrame, columns: list[str], step: int) -> DataFrame:
+    """Rows (sample, contig, chunk, mask_len, columns): for each chunk the arrays of its positions' values, in order.
+
+    Positions meet chunks by bins of ``step`` bases, so a position meets the few chunks that can hold it. An array has
+    at most as many elements as a chunk has positions.
+    """
+    keys = [k for k in ("sample", "contig") if k in features.columns and k in chunks.columns]
+    bins = F.explode(F.sequence(F.floor(F.col("chunk_start") / step), F.floor((F.col("chunk_end") - 1) / step)))
+    spans = chunks.where(F.col("chunk_end") > F.col("chunk_start")).select(*keys, "chunk", "chunk_start", "chunk_end", bins.alias("_bin"))
+    rows = features.select(*keys, "position", *columns, F.floor(F.col("position") / step).alias("_bin")).join(spans, [*keys, "_bin"])
+    rows = rows.where((F.col("position") >= F.col("chunk_start")) & (F.col("position") < F.col("chunk_end")))
+    listed = F.array_sort(F.collect_list(F.struct("position", *columns)))
+    out = rows.groupBy(*keys, "chunk").agg(listed.alias("_rows"))
+    return out.select(*keys, "chunk", F.size("_rows").alias("mask_len"), *(F.col("_rows").getField(c).cast("array<double>").alias(c) for c in columns))
+
+
+def mean_logistic(weights: dict[str, float], bias: float = 0.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A model over matrices of positions: the logistic of a weighted sum, averaged over the positions of a chunk."""
+    import numpy as np
+
+    def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = sum((pdf[c].map(lambda x: float(np.mean(np.asarray(x, float)))) * w for c, w in weights.items()), bias)
+            yield pdf.assign(score=1 / (1 + np.exp(-z)))
+
+    return model
 
 
 def linear_logistic(weights: dict[str, float], bias: float = 0.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

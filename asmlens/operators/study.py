@@ -15,12 +15,11 @@ def sim_grid(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
     return grid(*tables).withColumn("run", F.regexp_replace(F.concat_ws("_", *lists), "[:,]+", "-"))
 
 
-def input_type(columns: list[str]) -> str:
-    """CMP2: ``real`` with reads, ``provided`` with BAM files, else ``simulation``."""
-    have = {c.lower() for c in columns}
-    if {"read1", "read2"} <= have:
-        return "real"
-    return "provided" if "bam" in have else "simulation"
+def input_type(columns: Column) -> Column:
+    """CMP2: of an array of column names: ``real`` with both reads, ``provided`` with BAM files, else ``simulation``."""
+    have = F.transform(columns, F.lower)
+    reads = F.array_contains(have, "read1") & F.array_contains(have, "read2")
+    return F.when(reads, "real").when(F.array_contains(have, "bam"), "provided").otherwise("simulation")
 
 
 def even_abundance(taxa: DataFrame, by: str = "community", taxon: str = "taxon") -> DataFrame:
@@ -46,7 +45,12 @@ def resource_estimate(refs: Column, depth: Column, attempt: Column, base_gb: flo
     return {"mem_gb": gb, "hours": F.ceil(gb / base_gb * attempt).cast("long")}
 
 
-DATE = r"^\[([A-Za-z]+ [A-Za-z]+ +\d+ \d\d:\d\d:\d\d \d{4})\]$"
+# What a line of a run log can be: a time in brackets, a heading, an indented entry, or an end or a submission.
+TIME = r"^\[([^\]]* \d{4})\]$"
+HEADING = r"^(?:Error in )?\w*rule (\S+):$"
+ENTRY = r"^\s+([\w-]+): (.*)$"
+ENDED = r"^Finished \w+ (\d+)"
+SENT = r"external \w+ '([^']*)'"
 
 
 def log_time(text: Column) -> Column:
@@ -63,22 +67,24 @@ def summarize_run_log(lines: DataFrame, line: str = "line", number: str = "line_
     """
     w = Window.partitionBy(by).orderBy(number)
     rows = lines.select(by, number, strip_ansi(line).alias("l"))
-    date = F.when(F.col("l").rlike(DATE), F.regexp_extract("l", DATE, 1))
-    rows = rows.withColumn("date", date).withColumn("section", F.count("date").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pick = lambda pattern, k=1: F.max(F.when(F.col("l").rlike(pattern), F.regexp_extract("l", pattern, k)))
+    part = lambda pattern, k=1: F.when(F.col("l").rlike(pattern), F.regexp_extract("l", pattern, k))
+    rows = rows.withColumns({"date": part(TIME), "key": part(ENTRY), "entry": part(ENTRY, 2), "heading": part(HEADING)})
+    rows = rows.withColumn("section", F.count("date").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    entry = lambda key: F.max(F.when(F.col("key") == key, F.col("entry")))
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
+    failing = F.col("heading").isNotNull() & F.col("l").startswith("Error")
     sections = rows.where("section > 0").groupBy(by, "section").agg(
         F.max("date").alias("date"),
-        pick(r"^(?:localrule|rule) ([A-Za-z0-9-_]+):$").alias("rule"),
-        pick(r"^ +input: (.+)").alias("input_files"),
-        pick(r"^ +log: (.+)").alias("log_file"),
-        tight(pick(r"^ +wildcards: (.+)")).alias("wildcards"),
-        tight(pick(r"^ +resources: (.+)")).alias("resources"),
-        pick(r"^ +jobid: ([0-9]+)").alias("sm_job"),
-        pick(r"^ *Submitted job [0-9]+ with external jobid '([0-9]+)'").alias("clust_job"),
-        pick(r"^ +conda-env: (.+)").alias("conda_env"),
-        pick(r"^Finished job ([0-9]+)\.*$").alias("finished"),
-        F.max(F.col("l").rlike("^Error in rule .+:$")).alias("failed"),
+        F.max(F.when(~failing, F.col("heading"))).alias("rule"),
+        entry("input").alias("input_files"),
+        entry("log").alias("log_file"),
+        tight(entry("wildcards")).alias("wildcards"),
+        tight(entry("resources")).alias("resources"),
+        entry("jobid").alias("sm_job"),
+        F.max(part(SENT)).alias("clust_job"),
+        entry("conda-env").alias("conda_env"),
+        F.max(part(ENDED)).alias("finished"),
+        F.max(failing).alias("failed"),
     )
     ends = sections.select(by, F.col("section").alias("end_section"), F.coalesce("finished", F.when(F.col("failed"), F.col("sm_job"))).alias("sm_job"), F.when(F.col("failed"), "error").otherwise("finished").alias("pass_fail"), F.col("date").alias("date_end"), "conda_env").where("sm_job is not null and (pass_fail = 'error' or end_section is not null)")
     ends = ends.join(sections.select(by, F.col("section").alias("end_section"), "finished", "failed"), [by, "end_section"]).where("finished is not null or failed").drop("finished", "failed")

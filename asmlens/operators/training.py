@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import random_below, random_int
+from asmlens.operators.ordered import numbered
 
 MARGIN, LEAST_WINDOW = 50, 2000
 
@@ -76,9 +77,8 @@ def length_weight(length: str | Column = "length", factor: float = 0) -> Column:
 
 
 def batch_assign(df: DataFrame, batch_size: int, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """TRN6: batch numbers in order, the last batch partial; ``by`` numbers each shard on its own, which spreads the work."""
-    w = Window.partitionBy(*(by or [])).orderBy(*order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / batch_size).cast("long"))
+    """TRN6: batch numbers in order, the last batch partial; ``by`` numbers each shard on its own."""
+    return numbered(df, by or [], order, "_k").withColumn("batch", F.floor((F.col("_k") - 1) / batch_size).cast("long")).drop("_k")
 
 
 def random_labels(df: DataFrame, key: str = "contig", seed: int = 0) -> DataFrame:

@@ -24,7 +24,7 @@ VIEWS = {
         CAST(round(l_discount * 400) AS INT) AS mapq, CAST(-round(l_tax * 1000) AS INT) AS as_score,
         CAST(CAST(floor(l_extendedprice) AS BIGINT) % 700 + 50 AS INT) AS tlen
       FROM {lineitem}""",
-    # misassembly records of the contigs
+    # misassembly records of the contigs (the start of a stretch depends on the contig, its length on the nation)
     "mis": """
       SELECT s_suppkey AS contig, CAST(1 + (s_suppkey * 37) % 900 AS INT) AS "start", CAST(41 + (s_suppkey * 37) % 900 + s_nationkey AS INT) AS "end",
         CASE s_nationkey % 4 WHEN 0 THEN 'relocation' WHEN 1 THEN 'translocation' WHEN 2 THEN 'inversion' ELSE 'interspecies translocation' END AS type,
@@ -43,7 +43,8 @@ VIEWS = {
     # chunk scores in order
     "chunks": """
       SELECT user_id AS contig, ts, event_id, value / (value + 20.0) AS score, CAST(4000 + (user_id * 37) % 3000 AS INT) AS length,
-        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS chunk, CAST(user_id % 2 AS INT) AS label
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS chunk,
+        CAST(CASE WHEN user_id % 8 = 0 THEN 1 ELSE 0 END + CASE WHEN avg(value) OVER (PARTITION BY user_id) > 49 THEN 1 ELSE 0 END AS INT) % 2 AS label
       FROM {events}""",
     # alignment hits
     "paf": "SELECT l_orderkey AS query, CAST(l_quantity AS INT) AS hit_len, CAST(l_linenumber AS INT) AS nm, l_discount * 10 AS identity, l_tax * 12.5 AS query_cov, l_quantity / 50.0 AS target_cov FROM {lineitem}",
@@ -116,6 +117,10 @@ def duck(body: str, *views: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or local where that is not set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-shared-")
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spark-shared-")  # one machine
     return f"{top.rstrip('/')}/asmlens-{uuid.uuid4().hex}"

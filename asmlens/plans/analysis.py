@@ -7,23 +7,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asmlens.functions.columns import random_int
 from asmlens.operators import metrics as E
 from asmlens.operators import sampling as S
 from asmlens.operators import scoring as C
+from asmlens.operators import stats as N
 from asmlens.operators import training as R
+from asmlens.operators.pileup import KEYS
 from asmlens.plans.adapters import Tables, duck
+from asmlens.plans.features import POSITIONS, position_features
 from asmlens.plans.registry import query
 
 
-def evaluate(meta: DataFrame, features: DataFrame, model: Callable, columns: list[str], max_len: int = 20000, min_len: int = 1000, min_avg_coverage: float = 1.0, method: str = "max") -> DataFrame:
-    """Contig scores: metadata filter, chunks, chunk means of the features, model, one score a contig.
-
-    Positions meet chunks by range within their contig; steps are at least half a window, so a position is in two chunks at most.
+def evaluate(
+    meta: DataFrame,
+    features: DataFrame,
+    model: Callable,
+    columns: list[str],
+    normalizer: DataFrame | None = None,
+    max_len: int = 20000,
+    min_len: int = 1000,
+    min_avg_coverage: float = 1.0,
+    method: str = "max",
+    verify_percent: float | None = None,
+) -> DataFrame:
+    """Contig scores: metadata filter, z-scores, a matrix of positions a chunk, model, one score a contig.
+
+    ``normalizer`` is the row of stored statistics (``merge_stats``). ``model`` maps batches of chunks, whose columns
+    are arrays over positions, to the same rows with ``score``. With ``verify_percent`` the insert sizes of so many
+    percent of the contigs are checked first, and data that the gate rejects raise an error.
     """
-    chunks = C.evaluation_chunks(S.contig_meta_filter(meta, min_len, min_avg_coverage), max_len).select("contig", "chunk", "chunk_start", "chunk_end")
-    rows = features.select("contig", "position", *columns).join(chunks, "contig").where((F.col("position") >= F.col("chunk_start")) & (F.col("position") < F.col("chunk_end")))
-    means = rows.groupBy("contig", "chunk").agg(*(F.avg(c).alias(c) for c in columns))
-    return C.group_scores(C.score_chunks(means, model), ["contig"], method, ["chunk"])
+    if verify_percent is not None:
+        some = features.where(random_int("contig", 1) < int(verify_percent / 100 * (1 << 31)))
+        if (gate := N.insert_size_gate(some).first()).verdict == "reject":
+            raise ValueError(f"insert sizes lie outside the model's range: {gate.asDict()}")
+    keys = [k for k in KEYS if k in meta.columns and k in features.columns]
+    chunks = C.evaluation_chunks(S.contig_meta_filter(meta, min_len, min_avg_coverage), max_len).select(*keys, "chunk", "chunk_start", "chunk_end")
+    rows = features if normalizer is None else N.zscore(features, normalizer, tuple(columns))
+    matrices = C.chunk_matrices(rows, chunks, columns, max(250, max_len - 500))
+    return C.group_scores(C.score_chunks(matrices, model), keys, method, ["chunk"])
 
 
 def filter_contigs(contigs: DataFrame, predictions: DataFrame, score_cutoff: float = 0.8, **options) -> tuple[DataFrame, DataFrame]:
@@ -51,8 +73,8 @@ query(
     duck(f"SELECT contig, okey, pos, ln, mlen, cov FROM (SELECT *, sum(mlen) OVER (PARTITION BY contig ORDER BY {rand('okey', 3)}, pos, ln, mlen, tlen, mapq ROWS UNBOUNDED PRECEDING) / 1049.0 AS cov FROM aln WHERE tlen <= 600) WHERE cov < 5", "aln"),
     "cov",
 )(lambda t: S.cap_coverage(t.alignments(), t.contigs(), 5, 600, 3, ties=_TIES, read_length="mlen").select("contig", "okey", "pos", "ln", "mlen", "cov"))
-query("smp1_coverage_report", duck("SELECT contig, sum(mlen) / 1049.0 AS coverage FROM aln WHERE tlen <= 600 GROUP BY contig", "aln"), "coverage")(
-    lambda t: S.coverage_report(S.cap_coverage(t.alignments(), t.contigs(), 1e9, 600, 3, ties=_TIES, read_length="mlen"))
+query("smp1_coverage_report", duck(f"SELECT contig, max(cov) AS coverage FROM (SELECT *, sum(mlen) OVER (PARTITION BY contig ORDER BY {rand('okey', 3)}, pos, ln, mlen, tlen, mapq ROWS UNBOUNDED PRECEDING) / 1049.0 AS cov FROM aln WHERE tlen <= 600) WHERE cov < 8 GROUP BY contig", "aln"), "coverage")(
+    lambda t: S.coverage_report(S.cap_coverage(t.alignments(), t.contigs(), 8, 600, 3, ties=_TIES, read_length="mlen"))
 )
 query("smp2_contig_frac", duck(f"SELECT contig, length FROM meta WHERE {rand('contig', 5)} < {int(0.3 * 2147483648)}", "meta"))(lambda t: S.contig_frac(t.view("meta"), 0.3, seed=5).select("contig", "length"))
 query("smp3_sample_n_reads", duck(f"SELECT DISTINCT okey FROM (SELECT okey FROM (SELECT DISTINCT okey FROM aln) ORDER BY {rand('okey', 2)}, okey LIMIT 100)", "aln"))(
@@ -73,7 +95,7 @@ query("flt4_prediction_summary", duck('SELECT count(*) AS n, round(min(score::DO
     lambda t: S.prediction_summary(t.view("preds").withColumn("score", F.col("score").cast("double")))
 )
 query("flt5_score_cutoffs", duck("SELECT contig, score, 'score cutoff outside [0, 1]' AS warning FROM (SELECT contig, score * 2 AS score FROM preds) WHERE score > 1", "preds"), "score")(
-    lambda t: t.view("preds").select("contig", (F.col("score") * 2).alias("score")).where(~F.col("score").between(0, 1)).withColumn("warning", F.lit("score cutoff outside [0, 1]"))
+    lambda t: S.score_cutoff_check(t.view("preds").select("contig", (F.col("score") * 2).alias("score")), "score")
 )
 query("ren1_sanitize_name", "SELECT p_partkey, regexp_replace(p_name || ':' || p_type, '[^A-Za-z0-9_]+', '_', 'g') AS name FROM part")(lambda t: S.rename_sanitized(t["part"].select("p_partkey", F.concat("p_name", F.lit(":"), "p_type").alias("name")), "name"))
 query(
@@ -125,9 +147,15 @@ _LAYERS = [{"kernel": 10}, {"kernel": 5, "stride": 2}, {"kernel": 1, "stride": 2
 query("trn8_conv_output_length", duck("SELECT contig, 1 + (1 + ((1 + (length - 10)) - 5) // 2 - 5) // 2 AS unpadded, ceil(ceil((length - 9 - 4) / 2.0) / 2.0)::BIGINT AS padded FROM meta WHERE length > 100", "meta"))(
     lambda t: t.view("meta").where("length > 100").select("contig", R.conv_output_length("length", _LAYERS, False).cast("long").alias("unpadded"), R.conv_output_length("length", _LAYERS, True).cast("long").alias("padded"))
 )
-query("build_training_set", duck(f"SELECT contig, misassembly_cnt FROM (SELECT *, row_number() OVER (PARTITION BY misassembly_cnt ORDER BY {rand('contig', 0)}, contig) AS r, count(*) OVER (PARTITION BY misassembly_cnt) AS n FROM meta) WHERE misassembly_cnt = 1 OR r <= floor(n * 0.5)", "meta"))(
-    lambda t: build_training_set(t.breakpoints(), 0.5, 1500).select("contig", "misassembly_cnt")
-)
+query(
+    "build_training_set",
+    duck(f"""SELECT contig, misassembly_cnt, s::INT AS start_idx, CASE WHEN length > 1500 THEN least(s + 1500, length) ELSE length END::INT AS end_idx, least(1.0, pow(length / 4000.0, 2)) AS weight FROM (SELECT *, CASE
+      WHEN length > 1500 AND misassembly_cnt > 0 THEN {_LOW} + ({rand('contig')}) % greatest({_HIGH} - {_LOW}, 1)
+      WHEN length > 1500 THEN ({rand('contig')}) % greatest(length - 1500 + 1, 1)
+      WHEN misassembly_cnt > 0 THEN ({rand('contig')}) % greatest(least(11, greatest(1, lo - 50)), 1) ELSE ({rand('contig')}) % 11 END AS s
+      FROM (SELECT *, row_number() OVER (PARTITION BY misassembly_cnt ORDER BY {rand('contig', 0)}, contig) AS r, count(*) OVER (PARTITION BY misassembly_cnt) AS n FROM meta) WHERE misassembly_cnt = 1 OR r <= floor(n * 0.5))""", "meta"),
+    "weight",
+)(lambda t: build_training_set(t.breakpoints(), 0.5, 1500, weight_factor=4000).select("contig", "misassembly_cnt", "start_idx", "end_idx", "weight"))
 
 # --- chunks and scores
 
@@ -136,7 +164,14 @@ query(
     "chk2_sliding_chunks",
     duck("SELECT contig, chunk, s::INT AS chunk_start, least(length, s + 6000)::INT AS chunk_end FROM (SELECT contig, length, chunk, CASE WHEN length > 6000 AND length - chunk * 5500 < 5000 THEN length - 5000 ELSE chunk * 5500 END AS s FROM (SELECT contig, length, unnest(range(0, 1 + greatest(0, ceil((length - 6000) / 5500.0))::INT))::INT AS chunk FROM meta))", "meta"),
 )(lambda t: C.evaluation_chunks(t.view("meta"), 6000).select("contig", "chunk", "chunk_start", "chunk_end"))
-query("chk3_memory_batches")(lambda t: C.memory_batches(t.view("meta").select("contig", "file", C.chunk_count("length", 500, 300).alias("n_chunks")), 2_000_000, 20, 500, 4, "file", ["contig"]))
+query(
+    "chk3_memory_batches",
+    duck("""rows AS (SELECT contig, file, (1 + greatest(0, ceil((length - 500) / 300.0)))::INT AS n_chunks, row_number() OVER (PARTITION BY file ORDER BY contig) AS r FROM meta),
+      packed AS (SELECT file, contig, n_chunks, r, 0 AS batch, 1 AS members, n_chunks::BIGINT AS chunks FROM rows WHERE r = 1
+        UNION ALL SELECT n.file, n.contig, n.n_chunks, n.r, p.batch + f::INT, CASE WHEN f THEN 1 ELSE p.members + 1 END, CASE WHEN f THEN n.n_chunks ELSE p.chunks + n.n_chunks END
+          FROM (SELECT p.*, n.contig AS c2, n.n_chunks AS n2, p.members > 20 OR (p.chunks + n.n_chunks) * 13000 > 2000000 AS f FROM packed p JOIN rows n ON n.file = p.file AND n.r = p.r + 1) p JOIN rows n ON n.file = p.file AND n.r = p.r + 1)
+      SELECT contig, file, n_chunks, batch::BIGINT AS batch FROM packed""", "meta").replace("WITH meta", "WITH RECURSIVE meta", 1).replace(") rows AS", "), rows AS", 1),
+)(lambda t: C.memory_batches(t.view("meta").select("contig", "file", C.chunk_count("length", 500, 300).alias("n_chunks")), 2_000_000, 20, 500, 4, "file", ["contig"]))
 
 
 def _logit(t: Tables) -> DataFrame:
@@ -177,16 +212,25 @@ query("scr7_isotonic_calibration")(lambda t: C.isotonic_calibration(t.view("chun
 query("scr8_sample_for_embeddings", duck(f"SELECT contig FROM meta ORDER BY {rand('contig', 6)}, contig LIMIT 50", "meta"))(lambda t: C.sample_for_embeddings(t.view("meta").select("contig"), 50, seed=6))
 
 
-@query("evaluate_contigs", duck("SELECT contig, 1 / (1 + exp(-(0.01 * max(pos) - 1))) AS score FROM aln WHERE contig % 3 <> 0 GROUP BY contig HAVING false", "aln"), "score")
+_SCORED = """SELECT contig, max(score) AS score FROM (SELECT contig, chunk, 1 / (1 + exp(-(avg({z}) + {bias}))) AS score
+  FROM ({features}) f JOIN (SELECT chunk, chunk * {step} AS s, least(1049, chunk * {step} + {width}) AS e FROM (SELECT unnest(range(0, {n})) AS chunk)) ON position >= s AND position < e GROUP BY contig, chunk) GROUP BY contig"""
+_Z = f"(SELECT contig, position, coalesce((mean_mapq_Match - m) / sd, 0) AS zm, (coverage - cm) / csd AS zc FROM {POSITIONS} CROSS JOIN (SELECT avg(mean_mapq_Match) AS m, stddev_pop(mean_mapq_Match) AS sd, avg(coverage) AS cm, stddev_pop(coverage) AS csd FROM {POSITIONS}))"
+
+
+def _meta_1049(t: Tables) -> DataFrame:
+    return t.view("aln").select("contig").distinct().withColumns({"length": F.lit(1049), "avg_coverage": F.lit(2.0)})
+
+
+@query("evaluate_contigs", duck(_SCORED.format(z="0.5 * zm - 0.2 * zc", bias="0.1", features="SELECT * FROM " + _Z, step=250, width=600, n=3), "aln", "expanded"), "score")
 def _(t):
-    """The evaluation workflow on contigs that its filter leaves out: an empty, well-typed result."""
-    features = t.view("aln").select("contig", F.col("pos").alias("position"), "mapq")
-    meta = features.select("contig").distinct().withColumns({"length": F.lit(900), "avg_coverage": F.lit(2.0)})
-    return evaluate(meta, features, C.linear_logistic({"mapq": 0.01}), ["mapq"])
+    """The evaluation workflow: stored statistics, z-scores, several chunks a contig, a model over positions."""
+    features, columns = position_features(t), ["mean_mapq_Match", "coverage"]
+    normalizer = N.merge_stats(N.sufficient_stats(features, [], tuple(columns)), tuple(columns))
+    return evaluate(_meta_1049(t), features, C.mean_logistic({"mean_mapq_Match": 0.5, "coverage": -0.2}, 0.1), columns, normalizer, max_len=600, verify_percent=None)
 
 
-query("evaluate_scores", duck("SELECT contig, 1 / (1 + exp(-(0.01 * avg(mapq)))) AS score FROM aln GROUP BY contig", "aln"), "score")(
-    lambda t: evaluate(t.view("aln").select("contig").distinct().withColumns({"length": F.lit(1049), "avg_coverage": F.lit(2.0)}), t.view("aln").select("contig", F.col("pos").alias("position"), "mapq"), C.linear_logistic({"mapq": 0.01}), ["mapq"])
+query("evaluate_scores", duck(_SCORED.format(z="0.01 * coverage", bias="0", features=f"SELECT * FROM {POSITIONS}", step=19500, width=20000, n=1), "aln", "expanded"), "score")(
+    lambda t: evaluate(_meta_1049(t), position_features(t), C.mean_logistic({"coverage": 0.01}), ["coverage"])
 )
 
 # --- metrics

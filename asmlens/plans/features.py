@@ -199,35 +199,57 @@ query("mis9_max_types", duck("SELECT g, max(n)::INT AS max_types FROM (SELECT co
 # --- statistics
 
 _COLS = ("mean_mapq_Match", "stdev_mapq_Match", "coverage")
-_POSF = "(SELECT contig, position, count(*) AS coverage, avg(CASE WHEN base = ref_base THEN mapq END) AS mean_mapq_Match, stddev_samp(CASE WHEN base = ref_base THEN mapq END) AS stdev_mapq_Match, avg(CASE WHEN base = ref_base THEN tlen END) AS mean_insert_size_Match FROM expanded GROUP BY ALL)"
+POSITIONS = "(SELECT contig, position, count(*) AS coverage, avg(CASE WHEN base = ref_base THEN mapq END) AS mean_mapq_Match, stddev_samp(CASE WHEN base = ref_base THEN mapq END) AS stdev_mapq_Match, avg(CASE WHEN base = ref_base THEN tlen END) AS mean_insert_size_Match FROM expanded GROUP BY ALL)"
 
 
-def _features(t: Tables) -> DataFrame:
+def position_features(t: Tables) -> DataFrame:
     return P.pileup(_expanded(t))
 
 
 query(
     "nrm1_sufficient_stats",
-    duck("SELECT contig % 4 AS file, count(*) AS all_count, count(mean_mapq_Match) AS mean_cnt, count(stdev_mapq_Match) AS stdev_cnt, " + ", ".join(f"count({c}) AS {c}_n, sum({c})::DOUBLE AS {c}_sum, sum({c} * {c})::DOUBLE AS {c}_sum2" for c in _COLS) + f" FROM {_POSF} GROUP BY contig % 4", "aln", "expanded"),
+    duck("SELECT contig % 4 AS file, count(*) AS all_count, count(mean_mapq_Match) AS mean_cnt, count(stdev_mapq_Match) AS stdev_cnt, " + ", ".join(f"count({c}) AS {c}_n, sum({c})::DOUBLE AS {c}_sum, sum({c} * {c})::DOUBLE AS {c}_sum2" for c in _COLS) + f" FROM {POSITIONS} GROUP BY contig % 4", "aln", "expanded"),
     " ".join(f"{c}_sum {c}_sum2" for c in _COLS),
-)(lambda t: N.sufficient_stats(_features(t).withColumn("file", F.col("contig") % 4), ["file"], _COLS))
+)(lambda t: N.sufficient_stats(position_features(t).withColumn("file", F.col("contig") % 4), ["file"], _COLS))
 query(
     "nrm2_merge_stats",
-    duck("SELECT " + ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_stdev" for c in _COLS) + f" FROM {_POSF}", "aln", "expanded"),
+    duck("SELECT " + ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_stdev" for c in _COLS) + f" FROM {POSITIONS}", "aln", "expanded"),
     " ".join(f"{c}_mean {c}_stdev" for c in _COLS),
-)(lambda t: N.merge_stats(N.sufficient_stats(_features(t).withColumn("file", F.col("contig") % 4), ["file"], _COLS), _COLS))
+)(lambda t: N.merge_stats(N.sufficient_stats(position_features(t).withColumn("file", F.col("contig") % 4), ["file"], _COLS), _COLS))
 query(
     "nrm3_zscore",
-    duck(f"SELECT contig, position, coalesce((f.mean_mapq_Match - m) / s, 0) AS mean_mapq_Match, (coverage - cm) / cs AS coverage FROM {_POSF} f CROSS JOIN (SELECT avg(mean_mapq_Match) AS m, stddev_pop(mean_mapq_Match) AS s, avg(coverage) AS cm, stddev_pop(coverage) AS cs FROM {_POSF})", "aln", "expanded"),
+    duck(f"SELECT contig, position, coalesce((f.mean_mapq_Match - m) / s, 0) AS mean_mapq_Match, (coverage - cm) / cs AS coverage FROM {POSITIONS} f CROSS JOIN (SELECT avg(mean_mapq_Match) AS m, stddev_pop(mean_mapq_Match) AS s, avg(coverage) AS cm, stddev_pop(coverage) AS cs FROM {POSITIONS})", "aln", "expanded"),
     "mean_mapq_Match coverage",
-)(lambda t: (lambda f: N.zscore(f, N.merge_stats(N.sufficient_stats(f, [], _COLS), _COLS), ("mean_mapq_Match", "coverage")).select("contig", "position", "mean_mapq_Match", "coverage"))(_features(t)))
-query("nrm4_recompute_meta", duck(f"SELECT contig, count(*) AS length, round(avg(coverage), 5) AS avg_coverage FROM {_POSF} GROUP BY contig", "aln", "expanded"), "avg_coverage")(lambda t: N.recompute_meta(_features(t), []))
+)(lambda t: (lambda f: N.zscore(f, N.merge_stats(N.sufficient_stats(f, [], _COLS), _COLS), ("mean_mapq_Match", "coverage")).select("contig", "position", "mean_mapq_Match", "coverage"))(position_features(t)))
+query("nrm4_recompute_meta", duck(f"SELECT contig, count(*) AS length, round(avg(coverage), 5) AS avg_coverage FROM {POSITIONS} GROUP BY contig", "aln", "expanded"), "avg_coverage")(lambda t: N.recompute_meta(position_features(t), []))
 query(
     "nrm5_insert_size_gate",
-    duck(f"SELECT *, CASE WHEN q04 >= 117 AND q96 <= 493 THEN 'safe' WHEN q05 >= 117 AND q95 <= 493 THEN 'borderline' ELSE 'reject' END AS verdict FROM (SELECT {', '.join(f'quantile_cont(mean_insert_size_Match, {q}) AS q{n}' for q, n in ((.04, '04'), (.05, '05'), (.95, '95'), (.96, '96')))} FROM {_POSF})", "aln", "expanded"),
+    duck(f"SELECT *, CASE WHEN q04 >= 117 AND q96 <= 493 THEN 'safe' WHEN q05 >= 117 AND q95 <= 493 THEN 'borderline' ELSE 'reject' END AS verdict FROM (SELECT {', '.join(f'quantile_cont(mean_insert_size_Match, {q}) AS q{n}' for q, n in ((.04, '04'), (.05, '05'), (.95, '95'), (.96, '96')))} FROM {POSITIONS})", "aln", "expanded"),
     "q04 q05 q95 q96",
-)(lambda t: N.insert_size_gate(_features(t)))
-query("ag2_contig_means", duck(f"SELECT contig, avg(coverage) AS coverage, avg(mean_mapq_Match) AS mean_mapq_Match, max(position)::INT AS length FROM {_POSF} GROUP BY contig", "aln", "expanded"), "coverage mean_mapq_Match")(
-    lambda t: R.group_means(_features(t), ["contig"], ["coverage", "mean_mapq_Match"], "position")
+)(lambda t: N.insert_size_gate(position_features(t)))
+query("ag2_contig_means", duck(f"SELECT contig, avg(coverage) AS coverage, avg(mean_mapq_Match) AS mean_mapq_Match, max(position)::INT AS length FROM {POSITIONS} GROUP BY contig", "aln", "expanded"), "coverage mean_mapq_Match")(
+    lambda t: R.group_means(position_features(t), ["contig"], ["coverage", "mean_mapq_Match"], "position")
+)
+# every column of the workflow, its coverage cap included: alignments in hash order up to 20-fold
+_CAPPED = """capped AS (SELECT * FROM (SELECT *, sum(mlen) OVER (PARTITION BY contig ORDER BY ('0x' || substr(md5(okey || '#8192'), 1, 8))::BIGINT & 2147483647, pos, ln, mlen, tlen ROWS UNBOUNDED PRECEDING) / 1049.0 AS cov FROM aln WHERE tlen <= 30000) WHERE cov < 20),
+  laid AS (SELECT contig, flag, mapq, tlen, as_score, ln, pos + k AS position, substr('ACGT', CAST((okey + k) % 4 AS INT) + 1, 1) AS base, substr('ACGT', CAST((contig * 7 + (pos + k) * 3) % 4 AS INT) + 1, 1) AS ref_base FROM (SELECT *, unnest(range(0, mlen)) AS k FROM capped)),"""
+_SPINE = """spine AS (SELECT contig, position, substr('ACGT', CAST((contig * 7 + position * 3) % 4 AS INT) + 1, 1) AS ref_base,
+    list_transform(range(0, 6), lambda i: substr('ACGT', CAST((contig * 7 + (CASE WHEN position < 524 THEN position ELSE position - 5 END + i) * 3) % 4 AS INT) + 1, 1)) AS win
+    FROM (SELECT DISTINCT contig FROM aln) CROSS JOIN (SELECT unnest(range(0, 1049))::INT AS position)),"""
+_ALL_COUNTS = ("coverage", "num_query_A", "num_query_C", "num_query_G", "num_query_T", "num_discordant", "num_discordant_Match", "num_proper_Match", "num_proper_SNP", "num_orphans_Match", "num_SNPs")
+_ALL_STATS = tuple(f"{k}_{f}_Match" for f in ("insert_size", "mapq", "al_score") for k in ("min", "mean", "stdev", "max"))
+_TYPE_BITS = "CASE m.type WHEN 'relocation' THEN 1 WHEN 'translocation' THEN 2 WHEN 'inversion' THEN 4 WHEN 'interspecies translocation' THEN 8 END"
+_HAS = "len(list_filter(win, lambda x: x = '{b}'))"
+_EXTRACTED = duck(
+    f"""found AS (SELECT contig, position, count(*) AS coverage, {_BASES}, {_PAIR}, count_if(base <> ref_base AND ln % 3 <> 0) AS num_SNPs,
+      {_four("tlen", "insert_size_Match", _MATCH)}, {_four("mapq", "mapq_Match", _MATCH)}, {_four("greatest(-128, least(127, as_score))", "al_score_Match", _MATCH)} FROM laid GROUP BY contig, position),
+    labels AS (SELECT s.contig, s.position, string_agg(DISTINCT m.type, ',' ORDER BY m.type) AS by_pos, bit_or({_TYPE_BITS})::INT AS mask FROM spine s JOIN mis m ON m.contig = s.contig AND s.position + 1 BETWEEN m."start" AND m."end" GROUP BY ALL)
+    SELECT s.contig, s.position, s.ref_base, {", ".join(f"coalesce(f.{c}, 0)::BIGINT AS {c}" for c in _ALL_COUNTS)}, {", ".join(f"f.{c}" for c in _ALL_STATS)},
+      -list_sum(list_transform(list_filter([{", ".join(_HAS.format(b=b) for b in "ACGT")}], lambda n: n > 0), lambda n: n / 6.0 * log2(n / 6.0))) AS seq_window_entropy, ({_HAS.format(b="C")} + {_HAS.format(b="G")}) / 6.0 AS seq_window_perc_gc,
+      coalesce(l.by_pos, 'None') AS Extensive_misassembly_by_pos, coalesce(l.mask, 0)::INT AS mask, (s.contig IN (SELECT contig FROM mis))::INT AS Extensive_misassembly
+    FROM spine s LEFT JOIN found f USING (contig, position) LEFT JOIN labels l USING (contig, position)""",
+    "aln", "mis",
+).replace(") found AS", ") , " + _CAPPED + _SPINE + " found AS", 1)
+query("extract_features", _EXTRACTED, " ".join(c for c in (*_ALL_STATS, "seq_window_entropy", "seq_window_perc_gc") if not c.startswith(("min", "max"))))(
+    lambda t: (lambda df: df.withColumns({c: F.col(c).cast("long") for c in _ALL_COUNTS}))(extract_features(t.alignments(), t.contigs(), t.view("mis"), ties=("pos", "ln", "mlen", "tlen")))
 )
-query("extract_features")(lambda t: extract_features(t.alignments(), t.contigs(), t.view("mis"), ties=("pos", "ln", "mlen", "tlen")))

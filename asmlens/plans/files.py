@@ -54,10 +54,12 @@ def _(t):
     return R.read_alignments_text(t.spark, path).select("read_id", "flag", "contig", "pos", "mapq", "cigar", "tlen", "as_score", F.length("seq").alias("bases"))
 
 
-@query("src3_read_misassembly_report", duck("""SELECT contig::VARCHAR AS contig, type, "start", "end" + 300 AS "end", "end" AS break_start, "end" + 10 AS break_end FROM mis WHERE type <> 'inversion'""", "mis"))
+@query("src3_read_misassembly_report", duck("""SELECT contig::VARCHAR AS contig, type, CASE WHEN type = 'inversion' THEN "end" + 10 ELSE "start" END AS "start", "end" + 300 AS "end", "end" AS break_start, "end" + 10 AS break_end FROM mis""", "mis"))
 def _(t):
-    m = t.view("mis").where("type <> 'inversion'")
-    event = _lines("Extensive misassembly (", F.col("type"), ") between ", _c("start"), " ", _c("end"), " and ", (F.col("end") + 10).cast("string"), " ", (F.col("end") + 300).cast("string"))
+    m = t.view("mis")
+    near, far = (F.col("end") + 10).cast("string"), (F.col("end") + 300).cast("string")
+    second = F.when(F.col("type") == "inversion", F.concat_ws(" ", far, near)).otherwise(F.concat_ws(" ", near, far))  # an inversion has one interval reversed
+    event = _lines("Extensive misassembly (", F.col("type"), ") between ", _c("start"), " ", _c("end"), " and ", second)
     path = _text(t, m.select(F.concat_ws("\n", _c("contig"), event).alias("value")), "report.info")
     return R.read_misassembly_report(t.spark, path).select("contig", "type", "start", "end", "break_start", "break_end")
 
@@ -95,11 +97,11 @@ def _(t):
     return t.spark.read.schema("all_count long, mapq_sum double").json(path)
 
 
-@query("src6_discover_feature_files", "SELECT DISTINCT n_regionkey AS region FROM nation")
+@query("src6_discover_feature_files", "SELECT DISTINCT o_custkey % 50 AS part FROM orders")
 def _(t):
     root = f"{shared_folder(t.spark)}/features"
-    t["nation"].select("n_regionkey", F.col("n_name").alias("value")).repartition("n_regionkey").write.partitionBy("n_regionkey").text(root)
-    return R.discover_feature_files(t.spark, root, match="n_regionkey=", names="part-*").select(F.regexp_extract("path", "n_regionkey=([0-9]+)", 1).cast("int").alias("region")).distinct()
+    t["orders"].select((F.col("o_custkey") % 50).alias("group"), _c("o_orderkey").alias("value")).repartition("group").write.partitionBy("group").text(root)
+    return R.discover_feature_files(t.spark, root, match="group=", names="part-*").select(F.regexp_extract("path", "group=([0-9]+)", 1).cast("long").alias("part")).distinct()
 
 
 def _position_table(t: Tables) -> DataFrame:
@@ -184,11 +186,11 @@ _STAMP = "'[Mon Jan ' || (1 + o_orderkey % 9) || ' 00:00:' || lpad((o_orderkey %
 
 
 def _log_lines(t: Tables) -> DataFrame:
-    """One small log a customer group: each order starts a job, and ends it unless its status is P."""
+    """Logs of about 500 orders: each order starts a job, and ends it unless its status is P."""
     day = lambda plus: _lines("[Mon Jan ", (1 + F.col("o_orderkey") % 9).cast("string"), " 00:00:", F.lpad((F.col("o_orderkey") % 50 + plus).cast("string"), 2, "0"), " 2022]")
     start = F.concat_ws("\n", day(0), F.lit("rule map:"), _lines("    input: ", _c("o_custkey"), ".fa"), _lines("    jobid: ", _c("o_orderkey")), F.lit("    wildcards: a=1, b=2"), _lines("Submitted job 1 with external jobid '", _c("o_orderkey"), "'"))
     end = F.when(F.col("o_orderstatus") == "F", F.concat_ws("\n", day(5), _lines("Finished job ", _c("o_orderkey"), "."))).when(F.col("o_orderstatus") == "O", F.concat_ws("\n", day(5), F.lit("Error in rule map:"), _lines("    jobid: ", _c("o_orderkey"))))
-    return t["orders"].select((F.col("o_orderkey") % 20).alias("g"), F.concat_ws("\n", start, end).alias("value"))
+    return t["orders"].select(F.floor(F.col("o_orderkey") / 2000).alias("g"), F.concat_ws("\n", start, end).alias("value"))
 
 
 @query("src14_read_run_log", "SELECT count(*) * 6 + 2 * count_if(o_orderstatus = 'F') + 3 * count_if(o_orderstatus = 'O') AS n_lines FROM orders")
@@ -225,14 +227,14 @@ def _(t):
     return R.read_wig_targets(t.spark, path).select("contig", "pos", "value")
 
 
-@query("src17_read_path_list", "SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+@query("src17_read_path_list", "SELECT o_custkey % 20 AS part, count(*) AS n FROM orders GROUP BY 1")
 def _(t):
     folder = shared_folder(t.spark)
-    t["nation"].select("n_regionkey", F.col("n_name").alias("value")).write.partitionBy("n_regionkey").text(f"{folder}/names")
-    t["nation"].select(_lines("names/n_regionkey=", _c("n_regionkey")).alias("value")).distinct().coalesce(1).write.text(f"{folder}/list")
-    paths = [p.replace("/list/names", "/names") for p in R.read_path_list(t.spark, f"{folder}/list")]
-    found = t.spark.read.text([p if p.startswith("/") or "://" in p else p for p in paths]).select(F.regexp_extract("_metadata.file_path", "n_regionkey=([0-9]+)", 1).cast("int").alias("region"))
-    return found.groupBy("region").agg(F.count("*").alias("n"))
+    rows = t["orders"].select((F.col("o_custkey") % 20).alias("group"), _c("o_orderkey").alias("value"))
+    rows.write.partitionBy("group").text(f"{folder}/names")
+    rows.select(_lines("names/group=", _c("group")).alias("value")).distinct().write.text(f"{folder}/list")
+    found = t.spark.read.text(R.read_path_list(t.spark, f"{folder}/list")).select(F.regexp_extract("_metadata.file_path", "group=([0-9]+)", 1).cast("long").alias("part"))
+    return found.groupBy("part").agg(F.count("*").alias("n"))
 
 
 @query("snk7_write_feature_registry", "SELECT s_suppkey::VARCHAR || '/megahit/features.tsv.gz' AS feature_file, 'features.tsv.gz' AS file_name FROM supplier")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asmlens.operators import misassembly as M
 from asmlens.operators import relational as R
 from asmlens.operators import study as Y
 from asmlens.plans.adapters import Tables, duck
@@ -29,12 +30,12 @@ query("prj5_unite", "SELECT p_partkey, p_brand || '-' || p_type AS label FROM pa
 query("prj6_separate", "SELECT url_id, string_split(url, '/')[3] AS host, string_split(url, '/')[4] AS folder FROM (SELECT page_id AS url_id, url FROM pages)")(
     lambda t: R.separate(t["pages"].select(F.col("page_id").alias("url_id"), "url"), "url", ["a", "b", "host", "folder"]).select("url_id", "host", "folder")
 )
-query("fil1_ranges", duck("SELECT accession, contigs, completeness FROM genomes WHERE contigs <= 40 AND completeness >= 1000 AND completeness <= 1500", "genomes"), "completeness")(
-    lambda t: R.within(_genomes(t).select("accession", "contigs", "completeness"), {"contigs": (None, 40), "completeness": (1000, 1500)})
+query("fil1_ranges", duck("SELECT accession, contigs, completeness FROM genomes WHERE contigs <= 40 AND completeness >= 920 AND completeness <= 980", "genomes"), "completeness")(
+    lambda t: R.within(_genomes(t).select("accession", "contigs", "completeness"), {"contigs": (None, 40), "completeness": (920, 980)})
 )
 query("fil2_in_set", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")(lambda t: R.in_set(t["orders"], "o_orderpriority", ["1-URGENT", "2-HIGH"]).select("o_orderkey"))
 query("fil2_not_in_set", "SELECT o_orderkey FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH')")(lambda t: R.in_set(t["orders"], "o_orderpriority", ["1-URGENT", "2-HIGH"], True).select("o_orderkey"))
-query("fil3_matching", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[A-Z]+ [A-M]')")(lambda t: R.matching(t["part"].select("p_partkey", "p_type"), "p_type", "^[A-Z]+ [A-M]"))
+query("fil3_matching", "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '^[L-P][A-Z]+M$')")(lambda t: R.matching(t["part"].select("p_partkey", "p_type"), "p_type", "^[L-P][A-Z]+M$"))
 query("fil4_filled", "SELECT event_id FROM events WHERE value IS NOT NULL AND props IS NOT NULL AND props <> ''")(lambda t: R.filled(R.filled(t["events"], "value"), "props").select("event_id"))
 query("fil5_size_class", "SELECT doc_id, CASE WHEN n_chars <= 50 THEN 'empty' WHEN n_chars < 1000 THEN 'small' ELSE 'ok' END AS size_class FROM documents")(lambda t: R.size_class(t["documents"].select("doc_id", "n_chars"), "n_chars").select("doc_id", "size_class"))
 query("fil6_near_duplicate_hits", duck("SELECT query, hit_len FROM paf WHERE identity >= 0.8 AND query_cov >= 0.5 AND target_cov >= 0.5", "paf"))(lambda t: R.near_duplicate_hits(t.view("paf").withColumn("query_cov", F.when(F.col("query_cov") >= 0.5, 1.0).otherwise(0.0)).withColumn("target_cov", F.when(F.col("target_cov") >= 0.5, 1.0).otherwise(0.0)), 0.8, 0.95).select("query", "hit_len"))
@@ -137,6 +138,9 @@ query("wn6_random_cap", f"SELECT o_orderkey, o_custkey FROM orders QUALIFY row_n
 )
 query("wn7_top_k", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 20")(lambda t: R.top_k(t["part"].select("p_partkey", "p_size"), [F.desc("p_size"), F.asc("p_partkey")], 20))
 query("wn8_attempts", 'SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey)::INT AS attempt FROM orders')(lambda t: R.running_index(t["orders"], ["o_orderpriority", "o_custkey"], ["o_orderkey"], "attempt").select("o_orderkey", "attempt"))
+query("wn9_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' OR value > 90 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS context FROM events", "context")(
+    lambda t: M.carry_forward(t["events"], F.when((F.col("event_type") == "purchase") | (F.col("value") > 90), F.col("value")), ["user_id"], "event_id", "context", block=1000).select("event_id", "context")
+)
 query("wn10_abundance_rank", 'SELECT c_custkey, 100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey) AS percent, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)::INT AS rank FROM customer WHERE c_acctbal > 0', "percent")(
     lambda t: R.abundance_rank(t["customer"], "c_nationkey", "c_acctbal").select("c_custkey", "percent", "rank")
 )
@@ -146,10 +150,14 @@ query("wn12_percent_of_total", "SELECT o_orderpriority, o_orderstatus, 100 * v /
 )
 query("sr1_sort_head", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey DESC LIMIT 30")(lambda t: R.top_k(t["orders"].select("o_orderkey", "o_custkey"), [F.asc("o_custkey"), F.desc("o_orderkey")], 30))
 
+query("sr2_head", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100", "l_extendedprice")(
+    lambda t: R.top_k(t["lineitem"].select("l_orderkey", "l_linenumber", "l_extendedprice"), [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 100)
+)
+
 # --- sets and shapes
 
-query("st1_tagged_union", "SELECT n_name AS name, n_regionkey AS region, 'nation' AS dataset FROM nation UNION ALL SELECT r_name, NULL, 'region' FROM region")(
-    lambda t: R.tagged_union({"nation": t["nation"].select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), "region": t["region"].select(F.col("r_name").alias("name"))})
+query("st1_tagged_union", "SELECT c_custkey AS id, c_nationkey AS nation, 'customer' AS dataset FROM customer UNION ALL SELECT o_orderkey, NULL, 'orders' FROM orders")(
+    lambda t: R.tagged_union({"customer": t["customer"].select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation")), "orders": t["orders"].select(F.col("o_orderkey").alias("id"))})
 )
 query("st2_overlap_report", "SELECT count_if(a AND b) AS shared, count_if(a AND NOT b) AS only_left, count_if(b AND NOT a) AS only_right, count(*) AS total FROM (SELECT k, max(s = 1) AS a, max(s = 2) AS b FROM (SELECT l_suppkey AS k, 1 AS s FROM lineitem UNION ALL SELECT o_custkey, 2 FROM orders) GROUP BY k)")(
     lambda t: R.overlap_report(t["lineitem"].select(F.col("l_suppkey").alias("k")), t["orders"].select(F.col("o_custkey").alias("k")), ["k"])
@@ -172,13 +180,19 @@ query(
     duck("SELECT level, taxon, a, b, 100 * least(a, b) / ((a + b) / 2) AS percent_shared FROM (SELECT level, taxon, count_if(dataset = 0)::DOUBLE AS a, count_if(dataset = 1)::DOUBLE AS b FROM (SELECT dataset, 'genus' AS level, genus AS taxon FROM genomes UNION ALL SELECT dataset, 'species', species FROM genomes) GROUP BY ALL) WHERE a + b > 0", "genomes"),
     "percent_shared",
 )(lambda t: R.percent_shared(_genomes(t), "dataset", (0, 1), ["genus", "species"]))
-query("rs4_row_per_item", "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS item FROM nation")(lambda t: R.row_per_item(t["nation"].select("n_nationkey", F.col("n_name").alias("item")), "item", "A"))
+query("rs4_row_per_item", "SELECT p_partkey, unnest(string_split(p_name, 'a')) AS item FROM part")(lambda t: R.row_per_item(t["part"].select("p_partkey", F.col("p_name").alias("item")), "item", "a"))
 
 # --- study set-up
 
 query("cmp1_sim_grid", "SELECT p_brand, n_regionkey::VARCHAR AS region, regexp_replace(p_brand || '_' || n_regionkey, '[:,]+', '-', 'g') AS run FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT n_regionkey FROM nation)")(
     lambda t: R.grid(t["part"].select("p_brand").distinct(), t["nation"].select(F.col("n_regionkey").cast("string").alias("region")).distinct()).withColumn("run", F.regexp_replace(F.concat_ws("_", "p_brand", "region"), "[:,]+", "-"))
 )
+query("cmp2_input_type", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'real' WHEN o_orderstatus = 'F' THEN 'provided' ELSE 'simulation' END AS kind FROM orders")(
+    lambda t: t["orders"].select("o_orderkey", Y.input_type(F.array(F.lit("Taxon"), F.when(F.col("o_orderkey") % 3 == 0, "Read1").otherwise("Fasta"), F.when(F.col("o_orderkey") % 3 == 0, "READ2").otherwise("x"), F.when(F.col("o_orderstatus") == "F", "Bam").otherwise("y"))).alias("kind"))
+)
+query("cmp6_registry_rows", "SELECT o_custkey || '/megahit/' || o_orderkey || '.tsv.gz' AS feature_file, o_orderkey || '.tsv.gz' AS file_name FROM orders")(
+    lambda t: Y.registry_rows(t["orders"].select(F.concat("o_custkey", F.lit("/megahit/"), "o_orderkey", F.lit(".tsv.gz")).alias("path"))).select("feature_file", "file_name")
+)
 query("cmp3_even_abundance", "SELECT community, taxon, 100 / count(*) OVER (PARTITION BY community) AS perc_rel_abund, row_number() OVER (PARTITION BY community ORDER BY taxon)::INT AS rank FROM (SELECT p_brand AS community, p_partkey AS taxon FROM part)", "perc_rel_abund")(
     lambda t: Y.even_abundance(t["part"].select(F.col("p_brand").alias("community"), F.col("p_partkey").alias("taxon")))
 )

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,9 +17,16 @@ def _lines(spark: SparkSession, paths: Paths, **options) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, paths: Paths) -> DataFrame:
-    """Rows (file, line_no, line) of whole files: order within a file is that of its lines."""
-    whole = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Rows (file, line_no, line), lines of a file counted from 0; large plain files are read in blocks.
+
+    Within a block of a file, ids rise by one a line; counts of blocks give each block its first number.
+    """
+    at = F.col("_metadata")
+    raw = spark.read.text(paths).select(at["file_path"].alias("file"), at["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    blocks = raw.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    blocks = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return raw.join(blocks, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def read_fasta(spark: SparkSession, paths: Paths, name: str = "word") -> DataFrame:
@@ -152,21 +156,14 @@ def read_input_map(spark: SparkSession, path: Paths) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: Paths) -> DataFrame:
-    """SRC11: rows (file, read_id, seq, qual): four lines a record, one task a file (a quality line may begin with @)."""
-    import bz2
-    import gzip
-
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, data in zip(pdf["path"], pdf["content"]):
-                opened = gzip.decompress(data) if path.endswith(".gz") else bz2.decompress(data) if path.endswith(".bz2") else data
-                lines = opened.decode().splitlines()
-                for at in range(0, len(lines) - 3, 400_000):
-                    part = lines[at : at + 400_000]
-                    n = len(part) // 4 * 4
-                    yield pd.DataFrame({"file": path, "read_id": [x[1:].split()[0] for x in part[0:n:4]], "seq": part[1:n:4], "qual": part[3:n:4]})
+    """SRC11: rows (file, read_id, seq, qual): four lines a record, by number, as a quality line may begin with @.
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(records, "file string, read_id string, seq string, qual string")
+    Plain files are read in blocks, and the lines of a record meet by its number; a record cut short at the end is left out.
+    """
+    lines = _numbered(spark, paths).select("file", F.floor(F.col("line_no") / 4).alias("record"), (F.col("line_no") % 4).alias("k"), "line")
+    part = lambda k: F.max(F.when(F.col("k") == k, F.col("line")))
+    records = lines.groupBy("file", "record").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")).where("qual is not null")
+    return records.select("file", F.regexp_extract("head", r"^@(\S*)", 1).alias("read_id"), "seq", "qual")
 
 
 def read_genome_metadata(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
@@ -223,7 +220,7 @@ def read_path_list(spark: SparkSession, path: str) -> list[str]:
     first = head.first()
     if first is None or first.value.startswith(">"):
         return [path]
-    folder = path.rsplit("/", 1)[0] if "/" in path else "."
+    folder = path.rstrip("/").rsplit("/", 1)[0] if "/" in path.rstrip("/") else "."
     return [p if p.startswith("/") or "://" in p else f"{folder}/{p}" for p in (r.value.strip() for r in head.collect())]
 
 

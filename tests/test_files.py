@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from asmlens.operators import study as Y
 from asmlens.sources import readers as R
@@ -92,5 +93,24 @@ def test_wig_and_input_map(spark, tmp_path):
         R.read_input_map(spark, put(tmp_path, "m.tsv", "Taxon\tFasta\n1\t2\n"))
 
 
-def test_input_type():
-    assert [Y.input_type(c) for c in (["Taxon", "Fasta"], ["BAM"], ["Read1", "read2"])] == ["simulation", "provided", "real"]
+def test_input_type(spark):
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate((["Taxon", "Fasta"], ["BAM"], ["Read1", "read2"]))], "k int, names array<string>")
+    assert [r.t for r in rows.orderBy("k").select(Y.input_type(F.col("names")).alias("t")).collect()] == ["simulation", "provided", "real"]
+
+
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    lines = [f"line {k}" + "x" * (k % 90) for k in range(4000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.txt").write_text("one\n\nthree")
+    (tmp_path / "r.fq").write_text("".join(f"@r{k} more\nACGT\n+\n@III\n" for k in range(3000)) + "@cut\nAC\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = R._numbered(spark, str(tmp_path / "*.txt")).collect()
+        got = {r.line_no: r.line for r in rows if r.file.endswith("a.txt")}
+        assert [got[k] for k in range(len(got))] == lines
+        assert sorted((r.line_no, r.line) for r in rows if r.file.endswith("b.txt")) == [(0, "one"), (1, ""), (2, "three")]
+        reads = R.read_fastq(spark, str(tmp_path / "r.fq")).collect()
+        assert sorted(r.read_id for r in reads) == sorted(f"r{k}" for k in range(3000)) and {(r.seq, r.qual) for r in reads} == {("ACGT", "@III")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
