@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []  # folders of written tables that nobody has dropped yet
+_of_stages: list[str] = []  # those of them that pipeline stages have made
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that setting
-    is missing (unit tests on one machine) a local folder is set.
+    The cluster names it in ``spark.checkpoint.dir``. Where that setting is missing a local
+    folder is set on one machine, and anything else is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -26,7 +33,46 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made.remove(path)
+    if path in _of_stages:
+        _of_stages.remove(path)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for t in tables:
+        if getattr(t, "written_to", None) in _made:
+            _delete(t.sparkSession, t.written_to)
+
+
+def stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline stage: it deletes what earlier stages wrote for their own use, unless ``docs`` still reads it.
+
+    A stage's result is written before the next stage begins, so its tables are of no use from then on.
+    """
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, *args, **options) -> DataFrame:
+        if _of_stages:
+            used = docs.inputFiles()
+            for path in list(_of_stages):
+                if not any(path.rsplit("/", 1)[1] in file for file in used):
+                    _delete(spark, path)
+        before = set(_made)
+        out = function(spark, docs, *args, **options)
+        _of_stages.extend(p for p in _made if p not in before)
+        return out
+
+    return run
 
 
 def fresh(df: DataFrame, name: str) -> str:

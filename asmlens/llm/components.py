@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asmlens.llm._spark import written
+from asmlens.llm._spark import dropped, written
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         open_ = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root")).where("child > 1 or (child > 0 and root > 0)")
         if open_.isEmpty():
             break
-        stars = written(_contract(stars), "stars")
+        old, stars = stars, written(_contract(stars), "stars")
+        dropped(old)
     else:
         raise RuntimeError(f"components not settled after {most_rounds} rounds")
     members = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -35,7 +35,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asmlens.llm._spark import fresh, written
+from asmlens.llm._spark import dropped, fresh, stage, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -199,6 +199,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     last = F.when(F.col("open") & (F.col("copy") > F.col("whole")), F.coalesce("bound", F.lit(-1).cast("long")))
     plan = dealt.groupBy("k", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard", last.alias("last")))).alias("drawn"))  # at most most + 1 elements
     plan = written(blocks.select("k", "block", "source_size", "target").join(plan, ["k", "block"], "left"), "mix-plan")
+    dropped(narrow, blocks)
 
     size_, u_, k_, blocks_, source_, block_ = (fresh(docs, n) for n in ("mix_size", "mix_u", "mix_k", "mix_blocks", "mix_source", "mix_block"))
     rows = docs.withColumns({size_: size, u_: u})
@@ -227,6 +228,7 @@ def op7_mixing_tree(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["size"] * F.size(m["draws"])).alias("taken"))
 
 
+@stage
 def mixed_rows(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: each row as often as the mix draws it, shard by shard."""
     names = docs.columns

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asmlens.llm import _text as X
+from asmlens.llm._spark import stage
 
 MARK = "▁"
 SLICE = 1 << 17  # bytes of text that are worked on at once
@@ -244,6 +245,7 @@ def op5_sentencepiece_offsets(spark, sf_dir: str) -> DataFrame:
     return encode(docs, default_model(), outputs=("n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes")).drop("text")
 
 
+@stage
 def tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last pipeline stage: each row's id, source, number of tokens and ids."""
     return encode(docs.select("doc_id", "source", "text"), default_model(), outputs=("n_tokens", "ids")).drop("text")

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from asmlens.llm._spark import fresh, written
+from asmlens.llm._spark import dropped, fresh, written
 from asmlens.llm.mixing import uniform
 
 WIDTH, LIMIT, STEP, SMALL = 60, 1 << 20, 8, 100_000
@@ -75,7 +75,9 @@ def directory(sized: DataFrame, limit: int) -> list[tuple[int, DataFrame]]:
     one = upper[0]
     for more in upper[1:]:
         one = one.unionByName(more)
-    return [(fine, written(one, "directory")), *((bits, found.where("depth is not null")) for bits, found in rounds if bits > fine)]
+    whole = written(one, "directory")
+    dropped(histogram, *(found for bits, found in rounds if bits <= fine))
+    return [(fine, whole), *((bits, found.where("depth is not null")) for bits, found in rounds if bits > fine)]
 
 
 def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT, into: str = "shard") -> DataFrame:

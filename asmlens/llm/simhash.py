@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from asmlens.llm import _text as X
 from asmlens.llm import similar
-from asmlens.llm._spark import fresh, written
+from asmlens.llm._spark import dropped, fresh, stage, written
 from asmlens.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
@@ -213,6 +213,7 @@ def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@stage
 def keep_one(spark, docs: DataFrame, sf_dir: str, words: int = similar.WORDS, least: float = similar.LEAST) -> DataFrame:
     """Pipeline stage: one document of each set of near copies stays, the one with the least id.
 
@@ -223,6 +224,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str, words: int = similar.WORDS, le
     rows = docs.select("doc_id", "text")
     stamped = written(similar._stamped(rows, words), "fingerprints")
     classes = written(stamped.groupBy("tid", *similar.LANE_NAMES).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")).alias("r")), "classes")
+    dropped(stamped)
     joined = similar.similar_components(classes, similar.keyed(rows, "text", "tid").select("tid", "text"), words, least)
     named_classes = classes.join(joined, F.col("tid") == F.col("node"), "left").select(F.coalesce("component", "tid").alias("component"), F.struct("r.no_id", "r.doc_id", "tid").alias("r"))
     first = named_classes.groupBy("component").agg(F.min("r").alias("r"))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.llm import _text as X
-from asmlens.llm._spark import fresh, written
+from asmlens.llm._spark import fresh, stage, written
 
 LEAST, GRAM, HOT = 200, 32, 20_000
 PLACE = np.uint64((1 << 24) - 1)
@@ -390,6 +390,7 @@ def op4_suffix_lpf(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@stage
 def cut_later_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: passages that occur earlier (in order of id) are cut from the texts; every row stays."""
     names = docs.columns

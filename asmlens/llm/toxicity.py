@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from asmlens.llm import _text as X
-from asmlens.llm._spark import written
+from asmlens.llm._spark import dropped, written
 
 MOST_ROWS = 20_000
 LEAST_TEXTS, LEAST_Z = 5, 3.5
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             telling[k] = picked["word"].to_numpy(bool) & (t >= 2) & (rate(t, n, sums.get((o, True), 0), sums.get((o, False), 0)) >= GRADE_RATIO)
         words = np.bincount(row, weights=count * telling[half[row], feature], minlength=len(rows))
         given = np.where(given > 0, 1 + np.searchsorted(GRADE_EDGES, words, side="left"), 0)
+    dropped(sample)
     w, cut = fit_ordinal(len(rows), row, feature, np.log1p(count), given, len(keys))
     return OrdinalModel(keys, w, cut)
 
