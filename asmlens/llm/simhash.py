@@ -1,16 +1,17 @@
 """SimHash near-duplicates by pivot distance tables.
 
 Fingerprints are compared once each, however many documents have them. The
-pivot table holds the Hamming distances of every distinct fingerprint to many
-reference fingerprints. References come in pairs: the second equals the first
-within one group of bits and is its complement outside, so the sum of both
-distances depends on that group only. Two fingerprints that differ in at most
-``radius`` bits agree on the sums of at least ``GROUPS - radius`` groups; they
-meet in the bucket of those sums. Within a bucket, sorted by the first
-coordinate, a pair is discarded as soon as any coordinate differs by more than
-``radius``; survivors are verified on the fingerprints. Buckets emit a star of
-links, not all pairs. Oversized buckets are dealt again by the sums of
-sub-groups of the bits they don't fix, so none is capped.
+pivot table is computed once: for every distinct fingerprint the Hamming distances
+to many reference fingerprints. References come in pairs: the second equals the
+first within one small group of bits and is its complement outside, so the sum of
+both distances depends on that group only. Two fingerprints that differ in at most
+``radius`` bits agree on the sums of all but ``radius`` of the groups; they meet
+in the bucket of the sums that they share. Within a bucket, sorted by the first
+coordinate, pairs whose coordinates differ by more than ``radius`` are discarded,
+one coordinate of the table after the other; survivors are verified on the
+fingerprints. Buckets emit a star of links, not all pairs. Buckets go by large
+groups of bits first; oversized ones are dealt again by the small groups, so none
+is capped.
 
 Cases: texts without words (null, empty) have the zero fingerprint and are
 linked like any other. Rows that repeat share a fingerprint. A null id never
@@ -36,19 +37,28 @@ from asmlens.llm._spark import dropped, fresh, stage, written
 from asmlens.llm.components import connected_components
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
-GROUPS, REFERENCES = 5, 12
+GROUPS, PAIRS, CARRIED = 5, 6, 8
 SPLIT_ABOVE = 1000
+FULL = (1 << 64) - 1
 
-_EDGES = [round(64 * k / GROUPS) for k in range(GROUPS + 1)]
+#: Bits of the ten small groups; a large group is two of them.
+_EDGES = [round(64 * k / (2 * GROUPS)) for k in range(2 * GROUPS + 1)]
 MASKS = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(_EDGES, _EDGES[1:])]
-FULL = (1 << 64) - 1
 
 
-def _references(n: int, stream: int) -> list[int]:
-    return [int(v) for v in X.mix(np.arange(1, n + 1, dtype=np.uint64) + np.uint64(stream * 1000))]
+def _references() -> np.ndarray:
+    """For each small group ``PAIRS`` references and their twins."""
+    first = X.mix(np.arange(1, len(MASKS) * PAIRS + 1, dtype=np.uint64) * np.uint64(1000)).reshape(len(MASKS), PAIRS)
+    twin = first ^ np.array([FULL ^ m for m in MASKS], np.uint64)[:, None]
+    return np.stack([first, twin], 2)
+
 
+REFERENCES = _references()
 
-PIVOTS = [_references(REFERENCES, g) for g in range(GROUPS)]
+
+def pivot_distances(fp: np.ndarray) -> np.ndarray:
+    """Rows of the pivot table: a byte for each reference, in the order group, pair, reference and twin."""
+    return np.stack([np.bitwise_count(fp ^ r) for r in REFERENCES.ravel()], 1).astype(np.uint8)
 
 
 def fingerprint(text: bytes) -> int:
@@ -89,52 +99,62 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataF
     return docs.mapInArrow(stamp, docs.select("*", F.lit(0).cast("long").alias(into)).schema)
 
 
-def _group_hash(fp: np.ndarray, mask: int, pivots: list[int]) -> np.ndarray:
-    """A group's pivot coordinates, hashed: distance to each reference plus distance to its twin."""
-    out = np.zeros(len(fp), np.uint64)
-    for p in pivots:
-        twin = p ^ (FULL ^ mask)
-        out = X.mix(out + np.bitwise_count(fp ^ np.uint64(p)) + np.bitwise_count(fp ^ np.uint64(twin)) + np.uint64(1))
-    return out
+TABLE = "fp long, distances binary, salt long"
 
 
-def _dealer(masks: list[int], pivots: list[list[int]]):
-    """Rows (fp, salt) to rows (key, fp): a bucket key for every choice of groups that a close pair can agree on."""
+def _tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (fp) to rows of ``TABLE``."""
+    for batch in batches:
+        rows = pivot_distances(np.asarray(batch.column(0)).view(np.uint64))
+        cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), cells, pa.array(np.zeros(len(rows), np.int64))], names=["fp", "distances", "salt"])
+
+
+def _dealer(small: bool):
+    """Rows of ``TABLE`` to rows (key, fp, near): a bucket key for every choice of groups that a close pair can agree on.
+
+    ``near`` are the first ``CARRIED`` coordinates that the bucket compares, a byte each.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, salt = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1)).view(np.uint64)
-            hashes = [_group_hash(fp, m, p) for m, p in zip(masks, pivots)]
-            for n, chosen in enumerate(combinations(range(len(masks)), len(masks) - RADIUS)):
+            fp, salt = batch.column(0), np.asarray(batch.column(2)).view(np.uint64)
+            table = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(fp), len(MASKS), PAIRS, 2)
+            near = np.ascontiguousarray(table[:, :CARRIED, 0, 0]).view(np.int64).ravel()
+            sums = table.sum(3, dtype=np.uint64)
+            hashes = np.zeros((len(fp), len(MASKS)), np.uint64)
+            for k in range(PAIRS):
+                hashes = X.mix(hashes + sums[:, :, k] + np.uint64(1))
+            if not small:
+                hashes = X.mix(hashes[:, ::2] + X.mix(hashes[:, 1::2]))
+            for n, chosen in enumerate(combinations(range(hashes.shape[1]), hashes.shape[1] - RADIUS)):
                 key = X.mix(salt + np.uint64(n + 1))
                 for g in chosen:
-                    key = X.mix(key + hashes[g])
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], names=["key", "fp"])
+                    key = X.mix(key + hashes[:, g])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), fp, pa.array(near)], names=["key", "fp", "near"])
 
     return deal
 
 
-def _pairs(bucket: np.ndarray, fp: np.ndarray, radius: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(bucket: np.ndarray, fp: np.ndarray, near: np.ndarray, radius: int, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of verified pairs within buckets."""
-    table = [np.bitwise_count(fp ^ np.uint64(p)).astype(np.int64) for p in PIVOTS[0][:1]]
-    order = np.lexsort((table[0], bucket))
-    bucket, fp, first = bucket[order], fp[order], table[0][order]
+    table = near.view(np.int8).reshape(-1, CARRIED)
+    order = np.lexsort((table[:, 0], bucket))
+    bucket, fp, table = bucket[order], fp[order], table[order]
     _, rank = np.unique(bucket, return_inverse=True)
-    line = rank * 128 + first
+    line = rank * 128 + table[:, 0]
     reach = np.searchsorted(line, line + radius, side="right") - np.arange(len(line)) - 1
     steps = np.concatenate([[0], np.cumsum(reach)])
-    pivots = [np.uint64(p) for group in PIVOTS for p in group][1:9]
     at = 0
     while at < len(line):
         stop = max(at + 1, int(np.searchsorted(steps, steps[at] + chunk, side="right")) - 1)
         left = np.repeat(np.arange(at, stop), reach[at:stop])
         right = left + 1 + np.arange(len(left)) - np.repeat(steps[at:stop] - steps[at], reach[at:stop])
-        for p in pivots:  # discard by the largest coordinate difference, one coordinate after the other
-            a, b = np.bitwise_count(fp[left] ^ p).astype(np.int8), np.bitwise_count(fp[right] ^ p).astype(np.int8)
-            near = np.abs(a - b) <= radius
-            left, right = left[near], right[near]
-        near = np.bitwise_count(fp[left] ^ fp[right]) <= radius
-        yield order[left[near]], order[right[near]]
+        for k in range(1, CARRIED):  # discard by the largest coordinate difference, one coordinate after the other
+            close = np.abs(table[left, k] - table[right, k]) <= radius
+            left, right = left[close], right[close]
+        close = np.bitwise_count(fp[left] ^ fp[right]) <= radius
+        yield order[left[close]], order[right[close]]
         at = stop
 
 
@@ -156,11 +176,11 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) sorted by key; a bucket may go on in the next batch."""
-    kept_key, kept_fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Rows (key, fp, near) sorted by key; a bucket may go on in the next batch."""
+    kept = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
 
-    def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        found = list(_pairs(key, fp, RADIUS)) if len(key) > 1 else []
+    def linked(key: np.ndarray, fp: np.ndarray, near: np.ndarray) -> pa.RecordBatch:
+        found = list(_pairs(key, fp, near, RADIUS)) if len(key) > 1 else []
         a = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
         b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
         ends, at = np.unique(fp, return_inverse=True)
@@ -169,29 +189,26 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(ends[child].view(np.int64)), pa.array(ends[label[child]].view(np.int64))], names=["a", "b"])
 
     for batch in batches:
-        key = np.concatenate([kept_key, np.asarray(batch.column(0))])
-        fp = np.concatenate([kept_fp, np.asarray(batch.column(1)).view(np.uint64)])
-        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        new = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))]
+        kept = [np.concatenate(x) for x in zip(kept, new)]
+        last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
         if last:
-            yield linked(key[:last], fp[:last])
-        kept_key, kept_fp = key[last:], fp[last:]
-    yield linked(kept_key, kept_fp)
+            yield linked(*(x[:last] for x in kept))
+        kept = [x[last:] for x in kept]
+    yield linked(*kept)
 
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
     """Rows (a, b) of close fingerprints that connect all of them as all close pairs would."""
-    keyed = distinct.select(F.col(fp).alias("fp"), F.lit(0).cast("long").alias("salt")).mapInArrow(_dealer(MASKS, PIVOTS), "key long, fp long")
+    dealt = "key long, fp long, near long"
+    table = written(distinct.select(F.col(fp).alias("fp")).mapInArrow(_tabulate, TABLE), "pivot-table")
+    keyed = table.mapInArrow(_dealer(False), dealt)
     hot = keyed.groupBy("key").count().where(F.col("count") > SPLIT_ABOVE).select("key")
-    fine_masks, fine_pivots = [], []
-    for g, mask in enumerate(MASKS):  # halves of each group: a bucket leaves two groups open
-        bits = [k for k in range(64) if mask >> k & 1]
-        for part in np.array_split(bits, 2):
-            fine_masks.append(sum(1 << int(k) for k in part))
-            fine_pivots.append(_references(REFERENCES, 100 + 2 * g + len(fine_masks)))
-    # ten half-groups, eight of which agree: of the four open ones at least two do
-    again = keyed.join(hot, "key", "left_semi").select("fp", F.col("key").alias("salt")).mapInArrow(_dealer(fine_masks, fine_pivots), "key long, fp long")
-    dealt = keyed.join(hot, "key", "left_anti").select("key", "fp").unionByName(again)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
+    # of the small groups that a bucket leaves open at least all but RADIUS agree
+    open_ = keyed.join(hot, "key", "left_semi").select("fp", F.col("key").alias("salt"))
+    again = open_.join(table.drop("salt"), "fp").select("fp", "distances", "salt").mapInArrow(_dealer(True), dealt)
+    dealt_out = keyed.join(hot, "key", "left_anti").select("key", "fp", "near").unionByName(again)
+    return dealt_out.repartition("key").sortWithinPartitions("key").mapInArrow(_link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -139,3 +139,17 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("(id * 37) % 200 as a", "((id * 37) % 200 + 1) % 200 as b").where("a <> 199")
     assert {r.component for r in connected_components(edges).collect()} == {0}
     assert connected_components(edges.where("a < 0")).count() == 0
+
+
+def test_pivot_table():
+    """A pair's coordinates differ by at most its distance, and sums of twins depend on their own group of bits only."""
+    rng = np.random.default_rng(7)
+    fp = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    table = S.pivot_distances(fp).astype(int)
+    flat = S.REFERENCES.ravel()
+    assert table[3, 17] == (int(fp[3]) ^ int(flat[17])).bit_count()
+    apart = np.array([[(int(a) ^ int(b)).bit_count() for b in fp] for a in fp])
+    assert (np.abs(table[:, None] - table[None]).max(2) <= apart).all()
+    other = fp ^ np.uint64(S.FULL ^ S.MASKS[4])  # all bits outside the fifth group turned
+    sums = lambda x: S.pivot_distances(x).reshape(len(x), len(S.MASKS), S.PAIRS, 2).sum(3)
+    assert (sums(fp)[:, 4] == sums(other)[:, 4]).all() and (sums(fp)[:, 3] != sums(other)[:, 3]).any()
