@@ -12,7 +12,8 @@ Cases: null text counts as empty, a null role as the empty role. Roles outside
 the machine are formatted like any other and make the conversation invalid, as
 does a turn out of order. Turns with the same number are ordered by role, then
 text; rows that repeat are turns of their own. Null ids form one conversation.
-An empty table gives an empty table. Other columns are not read.
+Texts of any length are formatted whole. An empty table gives an empty table.
+Other columns, also such with the names of the outputs, are not read.
 """
 
 from __future__ import annotations

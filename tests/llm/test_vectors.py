@@ -41,3 +41,30 @@ def test_bad_vectors_and_ties(spark):
     assert all(links[k] == [(0, k)] for k in (1, 2, 3, 4, 5, 6, 9))
     assert links[7] == [(3, 7)] * 2 and links[8] == [(3, 7)] and links[None] == [(3, 7)]
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_double_precision_and_extreme_lengths(spark):
+    rows = [(1, [1e300, 2e300]), (2, [1e300, 2e300]), (3, [1e-60, 2e-60]), (4, [-1.0, 0.5]), (5, [1e-300, 2e-300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4)}
+    # two vectors that are equal as floats but lie on both sides of the threshold as doubles
+    c = 0.95
+    s = float(np.sqrt(1 - c * c))
+    near, far = [c + 1e-9, s], [c - 1e-9, s]
+    got = {r.vec_id: r.n_links for r in V.near_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (1, near)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 1, 1: 1}
+    got = {r.vec_id: r.n_links for r in V.near_vectors(spark.createDataFrame([(0, [1.0, 0.0]), (2, far)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: 0, 2: 0}
+
+
+def test_cells_place_and_reach(monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.standard_normal((400, 6)) * 0.2
+    cells = V.Cells.fit(points, 20)
+    home = cells.home(points)
+    assert len(set(home.tolist())) >= 16 and np.bincount(home).max() <= 20
+    met = {(int(w), c) for who, c in cells.visits(points, 0.04) for w in who}
+    apart = ((points[:, None] - points[None]) ** 2).sum(2)
+    for a, b in zip(*np.nonzero((apart <= 0.04) & (home[:, None] != home[None]))):
+        assert (int(a), int(home[b])) in met
+    assert all(home[w] != c for w, c in met)
