@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import random_int
+from asmlens.operators.ordered import numbered
 
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
 
@@ -265,9 +266,8 @@ def running_index(df: DataFrame, by: list[str], order: list[str], into: str = "i
 
 
 def random_per_group(df: DataFrame, by: list[str], n: int | Column, key: str, seed: int = 0) -> DataFrame:
-    """WN4: n random rows of each group."""
-    w = Window.partitionBy(*by).orderBy("_h", key)
-    out = df.withColumn("_h", random_int(key, seed)).withColumn("_r", F.row_number().over(w))
+    """WN4: n random rows of each group, numbered by ranges of their hash."""
+    out = numbered(df.withColumn("_h", random_int(key, seed)), by, ["_h", key], "_r")
     return out.where(F.col("_r") <= n).drop("_h", "_r")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import basename, strip_ansi
+from asmlens.operators.ordered import running_sums
 from asmlens.operators.relational import grid, keep_first
 
 
@@ -65,11 +66,10 @@ def summarize_run_log(lines: DataFrame, line: str = "line", number: str = "line_
 
     Sections begin at date lines; a section is a job, an error or an end.
     """
-    w = Window.partitionBy(by).orderBy(number)
     rows = lines.select(by, number, strip_ansi(line).alias("l"))
     part = lambda pattern, k=1: F.when(F.col("l").rlike(pattern), F.regexp_extract("l", pattern, k))
     rows = rows.withColumns({"date": part(TIME), "key": part(ENTRY), "entry": part(ENTRY, 2), "heading": part(HEADING)})
-    rows = rows.withColumn("section", F.count("date").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = running_sums(rows.withColumn("begins", F.col("date").isNotNull().cast("int")), [by], number, {"section": "begins"})
     entry = lambda key: F.max(F.when(F.col("key") == key, F.col("entry")))
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     failing = F.col("heading").isNotNull() & F.col("l").startswith("Error")

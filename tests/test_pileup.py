@@ -5,6 +5,7 @@ from asmlens.operators import pileup as P
 from asmlens.operators import sequence as Q
 
 ALN = "read_id string, flag int, contig string, pos int, mapq int, cigar string, tlen int, seq string, qual string, as_score int"
+# Two read pairs whose features are known.
 PAIR = [
     ("r001", 163, "Contig2", 0, 6, "5M", 425, "AAAAA", "JGCG8", 0),
     ("r002", 163, "Contig2", 0, 7, "5M", 425, "AGGGG", "JGCG8", -28),
