@@ -61,7 +61,7 @@ class RangeHash:
         return mix(raw + (np.asarray(end) - np.asarray(start)).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def texts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array, limit: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of whole texts: first row, byte offsets of the texts (n + 1), bytes. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
