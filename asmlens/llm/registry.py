@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from asmlens.llm import licenses, sharding
+from asmlens.llm.bpe import op13_bpe_merge_queue
 from asmlens.llm.chat import op8_chat_formatting
 from asmlens.llm.licenses import op9_license_digests
 from asmlens.llm.mixing import op7_mixing_tree
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_digests": op9_license_digests,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op13_bpe_merge_queue": op13_bpe_merge_queue,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -17,6 +17,7 @@ COLUMNS = {
     "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9": "doc_id text_license",
     "op10": "doc_id shard",
+    "op13": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
