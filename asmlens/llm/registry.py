@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from asmlens.llm import licenses, sharding
+from asmlens.llm import licenses, sharding, trie
 from asmlens.llm.bpe import op13_bpe_merge_queue
 from asmlens.llm.chat import op8_chat_formatting
 from asmlens.llm.licenses import op9_license_digests
@@ -13,6 +13,7 @@ from asmlens.llm.sharding import op10_extendible_sharding
 from asmlens.llm.simhash import op2_simhash_pivots
 from asmlens.llm.suffix import op4_suffix_lpf
 from asmlens.llm.toxicity import op3_toxicity_ordinal
+from asmlens.llm.trie import op11_prefix_trie
 from asmlens.llm.vectors import op6_subspace_pigeonhole
 
 QUERIES = {
@@ -26,10 +27,12 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_license_digests": op9_license_digests,
     "op10_extendible_sharding": op10_extendible_sharding,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_bpe_merge_queue": op13_bpe_merge_queue,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_license_digests": licenses.ORACLE,
     "op10_extendible_sharding": sharding.ORACLE,
+    "op11_prefix_trie": trie.ORACLE,
 }
