@@ -89,11 +89,11 @@ def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] - sums[offsets[:-1]]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the first word's index of each text (n + 1)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the first word's index of each text (n + 1). ``between``: the bytes that separate words."""
     n = len(data)
     gap = np.ones(n + 2, bool)
-    gap[1:-1] = SPACE[data]
+    gap[1:-1] = between[data]
     solid = ~gap[1:-1]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from asmlens.llm import licenses, sharding, trie
+from asmlens.llm import licenses, ranked, sharding, trie
 from asmlens.llm.bpe import op13_bpe_merge_queue
 from asmlens.llm.chat import op8_chat_formatting
 from asmlens.llm.licenses import op9_license_digests
 from asmlens.llm.mixing import op7_mixing_tree
 from asmlens.llm.pieces import op5_sentencepiece_offsets
 from asmlens.llm.quality import op1_quality_rules
+from asmlens.llm.ranked import op12_length_strata
 from asmlens.llm.sharding import op10_extendible_sharding
 from asmlens.llm.simhash import op2_simhash_pivots
 from asmlens.llm.suffix import op4_suffix_lpf
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_license_digests": op9_license_digests,
     "op10_extendible_sharding": op10_extendible_sharding,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_length_strata": op12_length_strata,
     "op13_bpe_merge_queue": op13_bpe_merge_queue,
 }
 
@@ -35,4 +37,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_license_digests": licenses.ORACLE,
     "op10_extendible_sharding": sharding.ORACLE,
     "op11_prefix_trie": trie.ORACLE,
+    "op12_length_strata": ranked.ORACLE,
 }

@@ -271,17 +271,17 @@ def op11_prefix_trie(spark, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB SQL for the query's rows; the list of two lambdas is CRC-32 bit by bit.
-ORACLE = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS at, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
+ORACLE = """WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS h,
     strlen(coalesce(text, '')) AS n_bytes FROM conversations WHERE conv_id IS NOT NULL),
   ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS head FROM (SELECT DISTINCT conv_id FROM t)),
-  rebuilt AS (SELECT t.* FROM t JOIN ids USING (conv_id) WHERE at >= head UNION ALL SELECT i.conv_id, t.at, t.h, t.n_bytes FROM ids i JOIN t ON t.conv_id = i.base WHERE t.at < i.head),
-  numbered AS (SELECT *, row_number() OVER w AS depth, sum(n_bytes) OVER w AS upto, string_agg(h, '' ORDER BY at) OVER w AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY at)),
+  rebuilt AS (SELECT t.* FROM t JOIN ids USING (conv_id) WHERE place >= head UNION ALL SELECT i.conv_id, t.place, t.h, t.n_bytes FROM ids i JOIN t ON t.conv_id = i.base WHERE t.place < i.head),
+  numbered AS (SELECT *, row_number() OVER w AS depth, sum(n_bytes) OVER w AS upto, string_agg(h, '' ORDER BY place) OVER w AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place)),
   keyed AS (SELECT conv_id, depth, n_bytes, sha256(path) AS key, coalesce(lag(sha256(path)) OVER (PARTITION BY conv_id ORDER BY depth), '') AS parent FROM numbered UNION ALL SELECT conv_id, 0, 0, '', NULL FROM ids),
-  last AS (SELECT conv_id, max(depth) AS depth, arg_max(key, depth) AS key FROM keyed GROUP BY conv_id),
+  ending AS (SELECT conv_id, max(depth) AS depth, arg_max(key, depth) AS key FROM keyed GROUP BY conv_id),
   node AS (SELECT key, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(n_bytes) AS n_bytes FROM keyed GROUP BY key, depth),
   kids AS (SELECT parent AS key, count(*) AS n_children FROM node WHERE parent IS NOT NULL GROUP BY parent),
   below AS (SELECT a.key, count_if(k.key IS NULL) AS n_leaves, sum((v.n - 1) * v.n_bytes) AS saved FROM node v LEFT JOIN kids k ON k.key = v.key JOIN keyed a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY a.key),
-  ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM last GROUP BY key)
+  ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM ending GROUP BY key)
 SELECT v.conv_id, v.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n_children, 0) AS n_children, b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
 FROM node v LEFT JOIN node p ON p.key = v.parent LEFT JOIN kids k ON k.key = v.key JOIN below b ON b.key = v.key LEFT JOIN ends e ON e.key = v.key"""

@@ -18,6 +18,7 @@ COLUMNS = {
     "op9": "doc_id text_license",
     "op10": "doc_id shard",
     "op11": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12": "item_id rank doc_id score",
     "op13": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
