@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from asmlens.operators.ordered import running_sums
+from asmlens.operators.ordered import exact_quantiles, running_sums, with_group_values
 
 
 def recall_by_class(preds: DataFrame, threshold: float = 0.5, by: list[str] | None = None) -> DataFrame:
@@ -23,7 +23,7 @@ def score_steps(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
     by = by or []
     counts = preds.groupBy(*by, "score").agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum(1 - F.col("label").cast("long")).alias("n"))
     totals = counts.groupBy(*(F.col(b).alias(f"_{b}") for b in by)).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    steps = running_sums(counts, by, "score", {"tp": "p", "fp": "n"}, descending=True)
+    steps = running_sums(counts, by, ["-score"], {"tp": "p", "fp": "n"})
     same = [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by] or F.lit(True)
     return steps.join(F.broadcast(totals) if not by else totals, same).select(*by, "score", "p", "n", "tp", "fp", "pos", "neg")
 
@@ -68,7 +68,7 @@ def confusion_counts(preds: DataFrame, by: list[str], threshold: float | None =
     """EVL5: tp, tn, fp, fn by group; the threshold is fixed or a quantile of the group's scores."""
     rows = preds
     if quantile is not None:
-        rows = rows.join(preds.groupBy(*by).agg(F.percentile("score", F.lit(quantile)).alias("cut")), by)
+        rows = with_group_values(rows, exact_quantiles(preds, "score", [quantile], by, "cut").withColumn("cut", F.col("cut")[0]), by)
     else:
         rows = rows.withColumn("cut", F.lit(threshold))
     one, hit = F.col("label") == 1, F.col("score") >= F.col("cut")
@@ -115,7 +115,7 @@ def rank_sum_test(df: DataFrame, group: str, first: str, value: str = "value", b
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count("*").alias("c"), F.count_if(F.col(group) == first).alias("c1"))
-    ranked = running_sums(counts, by, value, {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
+    ranked = running_sums(counts, by, [value], {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
     c = F.col("c").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("c").alias("n"), F.sum("c1").alias("n1"), F.sum(F.col("rank") * F.col("c1")).alias("r1"), F.sum(c * c * c - c).alias("ties"))
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import random_int
-from asmlens.operators.ordered import numbered
+from asmlens.operators.ordered import exact_quantiles, numbered, quantile_sketches, ranked, sketch_quantiles, with_group_values
 
 RANKS = ("domain", "phylum", "class", "order", "family", "genus", "species")
 
@@ -172,15 +172,15 @@ def depth_summary(df: DataFrame, by: list[str], column: str = "depth") -> DataFr
 def five_numbers(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """AG7: quartiles, ends, mean, sd and standard error."""
     x = F.col(column)
-    q = F.percentile(x, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))).alias("q")
-    out = df.groupBy(*(by or [])).agg(q, F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("stderr"))
+    out = df.groupBy(*(by or [])).agg(F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), (F.stddev_samp(x) / F.sqrt(F.count(x))).alias("stderr"))
+    out = with_group_values(out, exact_quantiles(df, column, [0.0, 0.25, 0.5, 0.75, 1.0], by), by or [])
     return out.select(*(by or []), *(F.col("q")[k].alias(n) for k, n in enumerate(("min", "q1", "median", "q3", "max"))), "mean", "sd", "stderr")
 
 
 def quantiles(df: DataFrame, column: str, q: list[float], by: list[str] | None = None, approximate: bool = False) -> DataFrame:
-    """AG8."""
-    found = F.percentile_approx(column, q, 10000) if approximate else F.percentile(column, F.array(*map(F.lit, q)))
-    return df.groupBy(*(by or [])).agg(found.alias("q")).select(*(by or []), F.posexplode("q").alias("k", "value"))
+    """AG8: exact, or from a sketch of a few kilobytes a group (see ``quantile_sketches``)."""
+    found = sketch_quantiles(quantile_sketches(df, column, by), q) if approximate else exact_quantiles(df, column, q, by)
+    return found.select(*(by or []), F.posexplode("q").alias("k", "value"))
 
 
 def frequency_table(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -254,21 +254,21 @@ def with_group_size(df: DataFrame, by: list[str], distinct: str | None = None) -
     return df.join(df.groupBy(*by).agg(F.count("*").alias("group_size"), *more), by)
 
 
-def two_ranks(df: DataFrame, by: list[str], first: Column, second: Column) -> DataFrame:
-    """WN2: dense ranks by two orders."""
-    w = Window.partitionBy(*by)
-    return df.withColumns({"rank_1": F.dense_rank().over(w.orderBy(first)), "rank_2": F.dense_rank().over(w.orderBy(second))})
+def two_ranks(df: DataFrame, by: list[str], first: str, second: str) -> DataFrame:
+    """WN2: dense ranks by two columns; a minus in front of a name makes its order descend."""
+    return ranked(ranked(df, by, first, "rank_1", dense=True), by, second, "rank_2", dense=True)
 
 
 def running_index(df: DataFrame, by: list[str], order: list[str], into: str = "index") -> DataFrame:
-    """WN3 and WN8: 1, 2, 3, … within each group."""
-    return df.withColumn(into, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """WN3 and WN8: 1, 2, 3, … within each group; ranges number a large one in many tasks."""
+    return numbered(df, by, order, into)
 
 
-def random_per_group(df: DataFrame, by: list[str], n: int | Column, key: str, seed: int = 0) -> DataFrame:
-    """WN4: n random rows of each group, numbered by ranges of their hash."""
-    out = numbered(df.withColumn("_h", random_int(key, seed)), by, ["_h", key], "_r")
-    return out.where(F.col("_r") <= n).drop("_h", "_r")
+def random_per_group(df: DataFrame, by: list[str], n: int, key: str, seed: int = 0, keep: Column | None = None) -> DataFrame:
+    """WN4: n random rows of each group, or the first ``keep`` of them. Each task sends at most n rows a group."""
+    turn = F.row_number().over(Window.partitionBy(*by).orderBy("_h", key))
+    out = df.withColumn("_h", random_int(key, seed)).withColumn("_r", turn).where(F.col("_r") <= n)
+    return (out if keep is None else out.where(F.col("_r") <= keep)).drop("_h", "_r")
 
 
 def random_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
@@ -278,7 +278,7 @@ def random_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 def random_cap_per_group(df: DataFrame, group: str, key: str, most: int = 50, seed: int = 0) -> DataFrame:
     """WN6: each group keeps a random number, from 1 to ``most``, of random rows."""
-    return random_per_group(df, [group], 1 + F.pmod(random_int(group, seed + 1), F.lit(most)), key, seed)
+    return random_per_group(df, [group], most, key, seed, 1 + F.pmod(random_int(group, seed + 1), F.lit(most)))
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
@@ -288,14 +288,14 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 
 def abundance_rank(df: DataFrame, sample: str, value: str) -> DataFrame:
     """WN10 and WN12: percent of the sample's total and rank with gaps, positive values only."""
-    w = Window.partitionBy(sample)
-    rows = df.where(F.col(value) > 0).withColumn("percent", 100 * F.col(value) / F.sum(value).over(w))
-    return rows.withColumn("rank", F.rank().over(w.orderBy(F.desc(value))))
+    rows = df.where(F.col(value) > 0)
+    rows = with_group_values(rows, rows.groupBy(sample).agg(F.sum(value).alias("_total")), [sample])
+    return ranked(rows.withColumn("percent", 100 * F.col(value) / F.col("_total")).drop("_total"), [sample], f"-{value}", "rank")
 
 
 def first_n_of_group(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """WN11."""
-    return running_index(df, by, order, "_r").where(F.col("_r") <= n).drop("_r")
+    """WN11: each task sends at most n rows a group."""
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
 
 
 # --- set operations and reshaping

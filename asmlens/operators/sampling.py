@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import path_part, random_int, sanitize
-from asmlens.operators.ordered import numbered
+from asmlens.operators.ordered import exact_quantiles, numbered
 
 
 BIN_READS = 1000
@@ -72,8 +72,7 @@ def contig_meta_summary(meta: DataFrame, min_len: int = 1000, min_avg_coverage:
         F.count_if(bad).alias("misassembled_all"),
         F.count_if(bad & kept).alias("misassembled_kept"),
         F.sum(F.when(kept, F.col("length"))).alias("total_length"),
-        F.percentile(F.when(kept, F.col("length")), F.lit(0.5)).alias("median_length"),
-    )
+    ).join(F.broadcast(exact_quantiles(meta.where(kept), "length", [0.5]).select(F.col("q")[0].alias("median_length"))), F.lit(True), "left")  # one row each
 
 
 def filter_contigs_by_score(contigs: DataFrame, predictions: DataFrame, score_cutoff: float = 0.8, min_length: int = 0, max_length: int | None = None, error_on_missing: bool = False) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import count_to, random_int
+from asmlens.operators.ordered import exact_quantiles, with_group_values
 
 TAIL = 5000
 
@@ -145,7 +146,8 @@ def group_scores(chunks: DataFrame, by: list[str], method: str | Callable[[Colum
 def chunk_score_profile(chunks: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """SCR4."""
     s, tenths = F.col(score), [k / 10 for k in range(1, 10)]
-    out = chunks.groupBy(*by).agg(F.min(s).alias("min"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.max(s).alias("max"), F.percentile(s, F.array(*map(F.lit, tenths))).alias("p"))
+    out = chunks.groupBy(*by).agg(F.min(s).alias("min"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.max(s).alias("max"))
+    out = with_group_values(out, exact_quantiles(chunks, score, tenths, by, "p"), by)
     return out.select(*by, "min", "mean", "std", "max", *(F.col("p")[k].alias(f"p{10 * (k + 1)}") for k in range(9)))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import chunk_starts
+from asmlens.operators.ordered import exact_quantiles
 from asmlens.operators.pileup import base_class
 
 
@@ -59,15 +60,13 @@ def seq_stats(seqs: DataFrame, by: list[str], seq: str = "seq", qual: str | None
         F.min("n").alias("min_len"),
         F.avg("n").alias("avg_len"),
         F.max("n").alias("max_len"),
-        F.expr("percentile(n, 0.25)").alias("q1"),
-        F.expr("percentile(n, 0.5)").alias("q2"),
-        F.expr("percentile(n, 0.75)").alias("q3"),
         (100 * F.sum("gc") / F.nullif(F.sum("n"), F.lit(0))).alias("gc_percent"),
     ]
     if qual:
         above = lambda least: F.sum(F.size(F.filter(F.split("q", ""), lambda c: (F.length(c) > 0) & (F.ascii(c) - 33 >= least))))
         columns += [(100 * above(k) / F.nullif(F.sum(F.length("q")), F.lit(0))).alias(f"q{k}_percent") for k in (20, 30)]
-    return rows.groupBy(*by).agg(*columns).join(n50(rows, by, "n"), by)
+    quarters = exact_quantiles(rows, "n", [0.25, 0.5, 0.75], by).select(*by, *(F.col("q")[k].alias(f"q{k + 1}") for k in range(3)))
+    return rows.groupBy(*by).agg(*columns).join(quarters, by).join(n50(rows, by, "n"), by)
 
 
 def n50(rows: DataFrame, by: list[str], length: str = "length") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asmlens.operators.ordered import exact_quantiles, with_group_values
+
 # The families of statistics and their parts.
 FAMILIES, PARTS = ("insert_size", "mapq", "al_score"), ("min", "mean", "stdev", "max")
 MATCH_STATS = tuple(f"{p}_{f}_Match" for f in FAMILIES for p in PARTS)
@@ -63,7 +65,7 @@ def recompute_meta(features: DataFrame, by: list[str]) -> DataFrame:
 
 def insert_size_gate(features: DataFrame, column: str = "mean_insert_size_Match", bounds: tuple[float, float] = INSERT_BOUNDS) -> DataFrame:
     """NRM5: 4, 5, 95 and 96 % quantiles against the bounds: safe, borderline or reject."""
-    q = features.agg(F.expr(f"percentile({column}, array(0.04, 0.05, 0.95, 0.96))").alias("q"))
+    q = exact_quantiles(features, column, [0.04, 0.05, 0.95, 0.96])
     lo, hi = bounds
     inner = (F.col("q")[1] >= lo) & (F.col("q")[2] <= hi)
     outer = (F.col("q")[0] >= lo) & (F.col("q")[3] <= hi)

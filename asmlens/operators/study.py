@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import basename, strip_ansi
-from asmlens.operators.ordered import running_sums
+from asmlens.operators.ordered import numbered, running_sums, with_group_values
 from asmlens.operators.relational import grid, keep_first
 
 
@@ -25,8 +25,9 @@ def input_type(columns: Column) -> Column:
 
 def even_abundance(taxa: DataFrame, by: str = "community", taxon: str = "taxon") -> DataFrame:
     """CMP3: 100 / n to each taxon, ranked by name."""
-    w = Window.partitionBy(by)
-    return taxa.select(by, taxon).withColumn("perc_rel_abund", 100 / F.count("*").over(w)).withColumn("rank", F.row_number().over(w.orderBy(taxon)))
+    rows = taxa.select(by, taxon)
+    rows = with_group_values(rows, rows.groupBy(by).agg((100 / F.count("*")).alias("perc_rel_abund")), [by])
+    return numbered(rows, [by], [taxon], "rank")
 
 
 def genomes_in_community(genomes: DataFrame, abundance: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def summarize_run_log(lines: DataFrame, line: str = "line", number: str = "line_
     rows = lines.select(by, number, strip_ansi(line).alias("l"))
     part = lambda pattern, k=1: F.when(F.col("l").rlike(pattern), F.regexp_extract("l", pattern, k))
     rows = rows.withColumns({"date": part(TIME), "key": part(ENTRY), "entry": part(ENTRY, 2), "heading": part(HEADING)})
-    rows = running_sums(rows.withColumn("begins", F.col("date").isNotNull().cast("int")), [by], number, {"section": "begins"})
+    rows = running_sums(rows.withColumn("begins", F.col("date").isNotNull().cast("int")), [by], [number], {"section": "begins"})
     entry = lambda key: F.max(F.when(F.col("key") == key, F.col("entry")))
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     failing = F.col("heading").isNotNull() & F.col("l").startswith("Error")

@@ -127,21 +127,21 @@ query(
 query("wn1_group_size", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand) AS group_size, d AS group_distinct FROM part JOIN (SELECT p_brand AS b, count(DISTINCT p_type) AS d FROM part GROUP BY 1) ON b = p_brand")(
     lambda t: R.with_group_size(t["part"], ["p_brand"], "p_type").select("p_partkey", "group_size", "group_distinct")
 )
-query("wn2_two_ranks", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC)::INT AS rank_1, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type)::INT AS rank_2 FROM part")(
-    lambda t: R.two_ranks(t["part"], ["p_brand"], F.desc("p_size"), F.asc("p_type")).select("p_partkey", "rank_1", "rank_2")
+query("wn2_two_ranks", "SELECT p_partkey, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size DESC) AS rank_1, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_type) AS rank_2 FROM part")(
+    lambda t: R.two_ranks(t["part"], ["p_brand"], "-p_size", "p_type").select("p_partkey", "rank_1", "rank_2")
 )
-query("wn3_running_index", 'SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)::INT AS "index" FROM orders')(lambda t: R.running_index(t["orders"], ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "index"))
+query("wn3_running_index", 'SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS "index" FROM orders')(lambda t: R.running_index(t["orders"], ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_orderkey", "index"))
 query("wn4_random_per_group", f"SELECT p_partkey, p_brand FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY {rand('p_partkey', 1)}, p_partkey) <= 3")(lambda t: R.random_per_group(t["part"].select("p_partkey", "p_brand"), ["p_brand"], 3, "p_partkey", 1))
 query("wn5_random_rows", f"SELECT p_partkey FROM part ORDER BY {rand('p_partkey', 2)}, p_partkey LIMIT 25")(lambda t: R.random_rows(t["part"].select("p_partkey"), 25, "p_partkey", 2))
 query("wn6_random_cap", f"SELECT o_orderkey, o_custkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {rand('o_orderkey', 3)}, o_orderkey) <= 1 + ({rand('o_custkey', 4)}) % 10")(
     lambda t: R.random_cap_per_group(t["orders"].select("o_orderkey", "o_custkey"), "o_custkey", "o_orderkey", 10, 3)
 )
 query("wn7_top_k", "SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey LIMIT 20")(lambda t: R.top_k(t["part"].select("p_partkey", "p_size"), [F.desc("p_size"), F.asc("p_partkey")], 20))
-query("wn8_attempts", 'SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey)::INT AS attempt FROM orders')(lambda t: R.running_index(t["orders"], ["o_orderpriority", "o_custkey"], ["o_orderkey"], "attempt").select("o_orderkey", "attempt"))
+query("wn8_attempts", 'SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority, o_custkey ORDER BY o_orderkey) AS attempt FROM orders')(lambda t: R.running_index(t["orders"], ["o_orderpriority", "o_custkey"], ["o_orderkey"], "attempt").select("o_orderkey", "attempt"))
 query("wn9_carry_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' OR value > 90 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS context FROM events", "context")(
     lambda t: M.carry_forward(t["events"], F.when((F.col("event_type") == "purchase") | (F.col("value") > 90), F.col("value")), ["user_id"], "event_id", "context", block=1000).select("event_id", "context")
 )
-query("wn10_abundance_rank", 'SELECT c_custkey, 100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey) AS percent, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC)::INT AS rank FROM customer WHERE c_acctbal > 0', "percent")(
+query("wn10_abundance_rank", 'SELECT c_custkey, 100 * c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey) AS percent, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rank FROM customer WHERE c_acctbal > 0', "percent")(
     lambda t: R.abundance_rank(t["customer"], "c_nationkey", "c_acctbal").select("c_custkey", "percent", "rank")
 )
 query("wn11_first_n_of_group", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2")(lambda t: R.first_n_of_group(t["orders"].select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], 2).select("o_orderkey"))
@@ -193,7 +193,7 @@ query("cmp2_input_type", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '
 query("cmp6_registry_rows", "SELECT o_custkey || '/megahit/' || o_orderkey || '.tsv.gz' AS feature_file, o_orderkey || '.tsv.gz' AS file_name FROM orders")(
     lambda t: Y.registry_rows(t["orders"].select(F.concat("o_custkey", F.lit("/megahit/"), "o_orderkey", F.lit(".tsv.gz")).alias("path"))).select("feature_file", "file_name")
 )
-query("cmp3_even_abundance", "SELECT community, taxon, 100 / count(*) OVER (PARTITION BY community) AS perc_rel_abund, row_number() OVER (PARTITION BY community ORDER BY taxon)::INT AS rank FROM (SELECT p_brand AS community, p_partkey AS taxon FROM part)", "perc_rel_abund")(
+query("cmp3_even_abundance", "SELECT community, taxon, 100 / count(*) OVER (PARTITION BY community) AS perc_rel_abund, row_number() OVER (PARTITION BY community ORDER BY taxon) AS rank FROM (SELECT p_brand AS community, p_partkey AS taxon FROM part)", "perc_rel_abund")(
     lambda t: Y.even_abundance(t["part"].select(F.col("p_brand").alias("community"), F.col("p_partkey").alias("taxon")))
 )
 query("cmp4_genomes_in_community", "SELECT taxon, min(p_name) AS fasta, any_value(a) AS perc_rel_abund FROM (SELECT p_type AS taxon, p_name FROM part) JOIN (SELECT p_type AS taxon, sum(p_size) - 200 AS a FROM part GROUP BY 1) USING (taxon) WHERE a > 0 GROUP BY taxon".replace("any_value(a)", "any_value(a)::BIGINT"))(
