@@ -73,14 +73,18 @@ def chunk_matrices(features: DataFrame, chunks: DataFrame, columns: list[str], s
     return out.select(*keys, "chunk", F.size("_rows").alias("mask_len"), *(F.col("_rows").getField(c).cast("array<double>").alias(c) for c in columns))
 
 
-def mean_logistic(weights: dict[str, float], bias: float = 0.0) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A model over matrices of positions: the logistic of a weighted sum, averaged over the positions of a chunk."""
+def mean_logistic(weights: dict[str, float], bias: float = 0.0, embed: bool = False) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A model over matrices of positions: the logistic of a weighted sum, averaged over the positions of a chunk.
+
+    With ``embed`` the weighted means of the columns are the chunk's embedding.
+    """
     import numpy as np
 
     def model(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            z = sum((pdf[c].map(lambda x: float(np.mean(np.asarray(x, float)))) * w for c, w in weights.items()), bias)
-            yield pdf.assign(score=1 / (1 + np.exp(-z)))
+            parts = [pdf[c].map(lambda x: float(np.mean(np.asarray(x, float)))) * w for c, w in weights.items()]
+            more = {"embedding": [list(v) for v in zip(*parts)]} if embed else {}
+            yield pdf.assign(score=1 / (1 + np.exp(-sum(parts, bias))), **more)
 
     return model
 
@@ -97,9 +101,16 @@ def linear_logistic(weights: dict[str, float], bias: float = 0.0) -> Callable[[I
     return model
 
 
-def score_chunks(chunks: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
-    """SCR1: ``model`` maps batches of rows to the same rows with ``score``; Arrow batches bound the memory."""
-    return chunks.mapInPandas(model, chunks.withColumn("score", F.lit(0.0)).schema)
+def score_chunks(chunks: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], embeddings: bool = False) -> DataFrame:
+    """SCR1: ``model`` maps batches of rows to the same rows with ``score``, and ``embedding`` if asked; Arrow batches bound the memory."""
+    names = [*chunks.columns, "score", *(["embedding"] if embeddings else [])]
+    extra = chunks.withColumn("score", F.lit(0.0)).withColumn("embedding", F.array(F.lit(0.0))).select(*names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in model(batches):
+            yield pdf[names]
+
+    return chunks.mapInPandas(run, extra.schema)
 
 
 def fit_scorer(train: DataFrame, evaluation: DataFrame, columns: list[str], label: str = "label", weight: str | None = None, candidates: list | None = None):
@@ -158,10 +169,12 @@ def first_chunk_rule(chunks: DataFrame, low: int = 5000, high: int = 6000) -> Da
 
 def group_embeddings(chunks: DataFrame, by: list[str], vector: str = "embedding", decimals: int = 6) -> DataFrame:
     """SCR6: element-wise mean, joined by ``|``."""
-    parts = chunks.select(*by, F.posexplode(vector).alias("i", "x")).groupBy(*by, "i").agg(F.avg("x").alias("m"))
-    listed = F.array_sort(F.collect_list(F.struct("i", "m")))
-    text = F.array_join(F.transform(listed, lambda v: F.format_string(f"%.{decimals}f", v["m"])), "|")
-    return parts.groupBy(*by).agg(text.alias("embedding"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    rows = chunks.where(F.col(vector).isNotNull()).select(*by, array_to_vector(F.col(vector)).alias("_vector"))
+    mean = rows.groupBy(*by).agg(Summarizer.mean(F.col("_vector")).alias("_mean")).withColumn("_mean", vector_to_array("_mean"))
+    return mean.select(*by, F.array_join(F.transform("_mean", lambda v: F.format_string(f"%.{decimals}f", v)), "|").alias("embedding"))
 
 
 def isotonic_calibration(chunks: DataFrame, key: str = "contig", label: str = "label", score: str = "score", most_length: int = 20000, seed: int = 0) -> DataFrame:
@@ -175,6 +188,8 @@ def isotonic_calibration(chunks: DataFrame, key: str = "contig", label: str = "l
     return group_scores(rest, [key, label], "noisy_or", score="calibrated")
 
 
-def sample_for_embeddings(contigs: DataFrame, n: int, key: str = "contig", seed: int = 0) -> DataFrame:
+def sample_for_embeddings(contigs: DataFrame, n: int, key: str | list[str] = "contig", seed: int = 0) -> DataFrame:
     """SCR8: n contigs in hash order."""
-    return contigs.orderBy(random_int(key, seed), key).limit(n)
+    keys = [key] if isinstance(key, str) else key
+    whole = F.concat_ws("/", *(F.col(k).cast("string") for k in keys))
+    return contigs.orderBy(random_int(whole, seed), *keys).limit(n)

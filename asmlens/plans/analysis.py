@@ -14,9 +14,10 @@ from asmlens.operators import scoring as C
 from asmlens.operators import stats as N
 from asmlens.operators import training as R
 from asmlens.operators.pileup import KEYS
-from asmlens.plans.adapters import Tables, duck
+from asmlens.plans.adapters import Tables, duck, shared_folder
 from asmlens.plans.features import POSITIONS, position_features
 from asmlens.plans.registry import query
+from asmlens.plans.training import train
 
 
 def evaluate(
@@ -30,22 +31,40 @@ def evaluate(
     min_avg_coverage: float = 1.0,
     method: str = "max",
     verify_percent: float | None = None,
+    embeddings: int | None = None,
+    eval_ids: DataFrame | None = None,
+    seed: int = 0,
 ) -> DataFrame:
     """Contig scores: metadata filter, z-scores, a matrix of positions a chunk, model, one score a contig.
 
     ``normalizer`` is the row of stored statistics (``merge_stats``). ``model`` maps batches of chunks, whose columns
     are arrays over positions, to the same rows with ``score``. With ``verify_percent`` the insert sizes of so many
     percent of the contigs are checked first, and data that the gate rejects raise an error.
+
+    ``eval_ids`` restricts the contigs to a list. ``embeddings`` takes that many random contigs instead, of a model that
+    also returns an ``embedding`` a chunk: each contig then has the mean of its chunks' vectors, joined by ``|``, beside its
+    score and the least, mean, deviation and greatest of its chunks' scores.
     """
     if verify_percent is not None:
         some = features.where(random_int("contig", 1) < int(verify_percent / 100 * (1 << 31)))
         if (gate := N.insert_size_gate(some).first()).verdict == "reject":
             raise ValueError(f"insert sizes lie outside the model's range: {gate.asDict()}")
     keys = [k for k in KEYS if k in meta.columns and k in features.columns]
-    chunks = C.evaluation_chunks(S.contig_meta_filter(meta, min_len, min_avg_coverage), max_len).select(*keys, "chunk", "chunk_start", "chunk_end")
+    chosen = S.contig_meta_filter(meta, min_len, min_avg_coverage)
+    if eval_ids is not None:
+        chosen = chosen.join(eval_ids.select(*keys).distinct(), keys, "left_semi")
+    elif embeddings is not None:
+        chosen = C.sample_for_embeddings(chosen, embeddings, keys, seed)
+    chunks = C.evaluation_chunks(chosen, max_len).select(*keys, "chunk", "chunk_start", "chunk_end")
     rows = features if normalizer is None else N.zscore(features, normalizer, tuple(columns))
     matrices = C.chunk_matrices(rows, chunks, columns, max(250, max_len - 500))
-    return C.group_scores(C.score_chunks(matrices, model), keys, method, ["chunk"])
+    scored = C.score_chunks(matrices, model, embeddings is not None)
+    out = C.group_scores(scored, keys, method, ["chunk"])
+    if embeddings is None:
+        return out
+    s = F.col("score")
+    spread = scored.groupBy(*keys).agg(F.min(s).alias("min"), F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.max(s).alias("max"))
+    return out.join(spread, keys).join(C.group_embeddings(scored, keys), keys)
 
 
 def filter_contigs(contigs: DataFrame, predictions: DataFrame, score_cutoff: float = 0.8, **options) -> tuple[DataFrame, DataFrame]:
@@ -142,7 +161,7 @@ query("trn4_slice_features", "SELECT vec_id, 10 AS mask_len, list_sum(list_slice
 )
 query("trn5_length_weight", duck("SELECT contig, least(1.0, pow(length / 4000.0, 2)) AS weight FROM meta", "meta"), "weight")(lambda t: t.view("meta").select("contig", R.length_weight("length", 4000).alias("weight")))
 query("trn6_batch_assign", duck("SELECT contig, CAST((row_number() OVER (PARTITION BY file ORDER BY length, contig) - 1) // 7 AS BIGINT) AS batch FROM meta", "meta"))(lambda t: R.batch_assign(t.view("meta"), 7, ["length", "contig"], ["file"]).select("contig", "batch"))
-query("trn7_random_labels", duck(f"SELECT contig, CAST(floor(({rand('contig', 9)}) / 65536) AS BIGINT) % 2 AS label FROM meta", "meta").replace("% 2 AS label", "% 2 AS label"))(lambda t: R.random_labels(t.view("meta").select("contig"), seed=9).withColumn("label", F.col("label").cast("long")))
+query("trn7_random_labels", duck(f"SELECT contig, CAST(floor(({rand('contig', 9)}) / 65536) AS BIGINT) % 2 AS label FROM meta", "meta"))(lambda t: R.random_labels(t.view("meta").select("contig"), seed=9).withColumn("label", F.col("label").cast("long")))
 _LAYERS = [{"kernel": 10}, {"kernel": 5, "stride": 2}, {"kernel": 1, "stride": 2}, {"kernel": 5, "stride": 2, "padding": "same"}]
 query("trn8_conv_output_length", duck("SELECT contig, 1 + (1 + ((1 + (length - 10)) - 5) // 2 - 5) // 2 AS unpadded, ceil(ceil((length - 9 - 4) / 2.0) / 2.0)::BIGINT AS padded FROM meta WHERE length > 100", "meta"))(
     lambda t: t.view("meta").where("length > 100").select("contig", R.conv_output_length("length", _LAYERS, False).cast("long").alias("unpadded"), R.conv_output_length("length", _LAYERS, True).cast("long").alias("padded"))
@@ -229,6 +248,37 @@ def _(t):
     return evaluate(_meta_1049(t), features, C.mean_logistic({"mean_mapq_Match": 0.5, "coverage": -0.2}, 0.1), columns, normalizer, max_len=600, verify_percent=None)
 
 
+_SOME = f"(SELECT contig FROM (SELECT DISTINCT contig FROM aln) ORDER BY {rand('contig', 4)}, contig LIMIT 20)"
+_CHUNK_MEANS = f"""SELECT contig, chunk, avg(0.5 * zm) AS a, avg(-0.2 * zc) AS b FROM {_Z} f JOIN (SELECT chunk, chunk * 250 AS s, least(1049, chunk * 250 + 600) AS e FROM (SELECT unnest(range(0, 3)) AS chunk)) ON position >= s AND position < e
+  WHERE contig IN {_SOME} GROUP BY contig, chunk"""
+
+
+@query(
+    "evaluate_embeddings",
+    duck(f"""SELECT contig, max(score) AS score, min(score) AS "min", avg(score) AS mean, stddev_pop(score) AS std, max(score) AS "max", printf('%.6f|%.6f', avg(a), avg(b)) AS embedding
+      FROM (SELECT contig, a, b, 1 / (1 + exp(-(a + b + 0.1))) AS score FROM ({_CHUNK_MEANS})) GROUP BY contig""", "aln", "expanded"),
+    "score min mean std max",
+)
+def _(t):
+    """Evaluation of some contigs with their embeddings, under fixed weights."""
+    features, columns = position_features(t), ["mean_mapq_Match", "coverage"]
+    normalizer = N.merge_stats(N.sufficient_stats(features, [], tuple(columns)), tuple(columns))
+    model = C.mean_logistic({"mean_mapq_Match": 0.5, "coverage": -0.2}, 0.1, embed=True)
+    return evaluate(_meta_1049(t), features, model, columns, normalizer, max_len=600, embeddings=20, seed=4)
+
+
+@query("train_epochs")
+def _(t):
+    """Training on the pileup of all contigs, labelled by the records."""
+    columns, folder = ["coverage", "mean_mapq_Match", "stdev_mapq_Match", "mean_insert_size_Match"], shared_folder(t.spark)
+    position_features(t).select("contig", "position", *columns).write.parquet(folder)
+    features = t.spark.read.parquet(folder)
+    normalizer = N.merge_stats(N.sufficient_stats(features, [], tuple(columns)), tuple(columns))
+    points = t.view("mis").groupBy("contig").agg(F.collect_list(F.struct(F.col("start").alias("lo"), F.col("end").alias("hi"))).alias("breakpoints"))
+    meta = _meta_1049(t).join(points, "contig", "left").withColumn("misassembly_cnt", F.when(F.col("breakpoints").isNull(), 0).otherwise(F.size("breakpoints")))
+    return train(meta, N.zscore(features, normalizer, tuple(columns)), columns, n_epochs=4, max_len=600, translations=2, max_translation=20, eval_percent=30)[1]
+
+
 query("evaluate_scores", duck(_SCORED.format(z="0.01 * coverage", bias="0", features=f"SELECT * FROM {POSITIONS}", step=19500, width=20000, n=1), "aln", "expanded"), "score")(
     lambda t: evaluate(_meta_1049(t), position_features(t), C.mean_logistic({"coverage": 0.01}), ["coverage"])
 )
