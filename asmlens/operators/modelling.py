@@ -116,9 +116,9 @@ def vector_scale(vectors: DataFrame, vector: str = "vector") -> tuple[np.ndarray
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    row = vectors.select(Summarizer.metrics("mean", "std").summary(array_to_vector(F.col(vector))).alias("s")).first()
-    if row is None or row.s is None or not len(row.s["mean"].toArray()):
+    if vectors.isEmpty():
         raise ValueError("no rows to train on")
+    row = vectors.select(Summarizer.metrics("mean", "std").summary(array_to_vector(F.col(vector))).alias("s")).first()
     mean, scale = row.s["mean"].toArray(), row.s["std"].toArray()
     # the last bits of a sum depend on the order of its parts; rounded, a rerun starts alike
     return np.round(mean, 9), np.round(np.where(scale > 1e-9, scale, 1.0), 9)
