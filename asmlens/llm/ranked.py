@@ -222,6 +222,8 @@ def _visit(index: DataFrame, visits: DataFrame, queries: dict[int, tuple[np.ndar
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), item)), pa.array(docs), pa.array(scores)], names=["item_id", "doc_id", "score"])
 
     lists = visits.groupBy("m").agg(F.collect_list(F.struct("item_id", "least")).alias("visits"))  # at most the items of a group
+    # written, so that Spark knows its size and sends it to the index where it is small
+    lists = written(lists, "visits")
     return index.join(lists, "m").select("m", "docs", "terms", "tfs", "ends", "members", "visits").mapInArrow(search, HIT)
 
 
