@@ -6,6 +6,8 @@ made range by range, so that no task orders all of them.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +47,18 @@ def average_precision(preds: DataFrame, by: list[str] | None = None) -> DataFram
     return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(part).alias("average_precision"))
 
 
-def pr_area(preds: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """EVL3's area by trapezoids (the curve starts at precision 1)."""
+def pr_area(preds: DataFrame, by: list[str] | None = None, interpolate: bool = False) -> DataFrame:
+    """EVL3's area: by trapezoids (the curve starts at precision 1), or interpolated.
+
+    Interpolated, false positives grow in proportion to the true ones between two points, so precision follows a
+    curve; its integral over a step of true positives has a closed form. Up to the first point precision is constant.
+    """
+    if interpolate:
+        d, low, c = F.col("p").cast("double"), (F.col("tp") - F.col("p")).cast("double"), (F.col("tp") - F.col("p") + F.col("fp") - F.col("n")).cast("double")
+        slope = 1 + F.col("n") / F.nullif(d, F.lit(0.0))
+        curve = d / slope + (low - c / slope) / slope * F.log(1 + slope * d / F.nullif(c, F.lit(0.0)))
+        step = F.when(d == 0, 0.0).when(c == 0, d / slope).otherwise(curve) / F.nullif(F.col("pos"), F.lit(0))
+        return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(step).alias("pr_area"))
     before = F.coalesce(_ratio(F.col("tp") - F.col("p"), F.col("tp") - F.col("p") + F.col("fp") - F.col("n")), F.lit(1.0))
     part = _ratio("p", "pos") * (_ratio("tp", F.col("tp") + F.col("fp")) + before) / 2
     return score_steps(preds, by).groupBy(*(by or [])).agg(F.sum(part).alias("pr_area"))
@@ -108,11 +120,30 @@ def normal_tail(z: Column) -> Column:
     return F.exp(-z * z / 2) / 2.5066282746310002 * poly
 
 
-def rank_sum_test(df: DataFrame, group: str, first: str, value: str = "value", by: list[str] | None = None) -> DataFrame:
-    """EVL10: W of the rows of group ``first`` against the others, mid-ranks, tie-corrected normal p, continuity corrected.
+def exact_rank_sum_p(w: float, n1: int, n2: int) -> float:
+    """Two-sided p of W (untied) by the number of ways to reach each sum: choosing one more row multiplies the ways by a polynomial."""
+    ways = np.zeros(n1 * n2 + 1)
+    ways[0] = 1.0
+    for k in range(1, n1 + 1):  # ways times (1 - x^(n2 + k)) / (1 - x^k)
+        ways[n2 + k :] -= ways[: len(ways) - n2 - k].copy()
+        for low in range(k):
+            ways[low::k] = np.cumsum(ways[low::k])
+    share = ways / ways.sum()
+    tail = share[: int(w) + 1].sum() if w <= n1 * n2 / 2 else share[int(w) :].sum()
+    return float(min(1.0, 2 * tail))
+
+
+def rank_sum_test(df: DataFrame, group: str, first: str, value: str = "value", by: list[str] | None = None, exact_below: int = 50) -> DataFrame:
+    """EVL10: W of the rows of group ``first`` against the others, and a two-sided p: exact for fewer than ``exact_below``
+    rows on both sides without ties, else by mid-ranks, tie-corrected and continuity-corrected normal.
 
     Values are counted first; ranks are running sums over the distinct values.
     """
+
+    @F.pandas_udf("double")
+    def exact(w: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        return pd.Series([exact_rank_sum_p(*row) for row in zip(w, n1, n2)], dtype="float64")
+
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count("*").alias("c"), F.count_if(F.col(group) == first).alias("c1"))
     ranked = running_sums(counts, by, [value], {"upto": "c"}).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
@@ -121,10 +152,13 @@ def rank_sum_test(df: DataFrame, group: str, first: str, value: str = "value", b
     n, n1 = F.col("n").cast("double"), F.col("n1").cast("double")
     n2 = n - n1
     stat = F.col("r1") - n1 * (n1 + 1) / 2
-    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / F.nullif(n * (n - 1), F.lit(0.0))))
     diff = stat - n1 * n2 / 2
-    z = (diff - F.signum(diff) * 0.5) / sigma
-    return sums.select(*by, stat.alias("w"), z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))).alias("p_value"))
+    z = (diff - F.signum(diff) * 0.5) / F.nullif(sigma, F.lit(0.0))  # null where all values are equal
+    rows = sums.select(*by, stat.alias("w"), z.alias("z"), F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))).alias("p_value"), n1.cast("int").alias("n1"), n2.cast("int").alias("n2"), "ties")
+    small = (F.col("ties") == 0) & F.col("n1").between(1, exact_below - 1) & F.col("n2").between(1, exact_below - 1)
+    side = lambda c: F.when(small, F.col(c)).otherwise(1)  # noqa: E731  (the function sees sizes below the bound only)
+    return rows.withColumn("_exact", exact(F.when(small, F.col("w")).otherwise(0.0), side("n1"), side("n2"))).select(*by, "w", "z", F.when(small, F.col("_exact")).otherwise(F.col("p_value")).alias("p_value"))
 
 
 def best_epoch(epochs: DataFrame, by: list[str], epoch: str = "epoch", ap: str = "ap", rate: float = 1e-3, drop: float = 0.8, after: int = 10) -> DataFrame:

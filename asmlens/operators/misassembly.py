@@ -67,20 +67,45 @@ def _keys(*tables: DataFrame) -> list[str]:
     return [k for k in KEYS if all(k in t.columns for t in tables)]
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence((start / width).cast("int"), (end / width).cast("int")))
+FINER, MOST_LEVELS = 4, 12  # how much wider the bins of the next level are, and how many levels there are
+
+
+def binned(intervals: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """``intervals`` with ``_level`` and ``_bin``: an interval lies at the first level whose bins are as wide as it, in one bin or two."""
+    size = F.col(end) - F.col(start) + 1
+    level = F.lit(MOST_LEVELS - 1)
+    for k in reversed(range(MOST_LEVELS - 1)):
+        level = F.when(size <= width * FINER**k, k).otherwise(level)
+    rows = intervals.withColumn("_level", level)
+    wide = F.element_at(F.array(*(F.lit(width * FINER**k).cast("long") for k in range(MOST_LEVELS))), F.col("_level") + 1)
+    first, last = (F.floor(F.col(c) / wide) for c in (start, end))
+    return rows.withColumn("_bin", F.explode(F.sequence(first, last)))
+
+
+def levels_of(intervals: DataFrame) -> list[int]:
+    """The levels that some interval lies at."""
+    return sorted(r._level for r in intervals.select("_level").distinct().collect())  # at most MOST_LEVELS
+
+
+def looked_up(points: DataFrame, at: Column, levels: list[int], width: int) -> DataFrame:
+    """``points`` with the ``_level`` and ``_bin`` of ``at``, a row for each of ``levels``."""
+    places = [F.struct(F.lit(k).alias("_level"), F.floor(at / (width * FINER**k)).alias("_bin")) for k in levels or [0]]
+    if len(places) == 1:
+        return points.withColumn("_place", places[0]).select("*", "_place.*").drop("_place")
+    return points.withColumn("_place", F.explode(F.array(*places))).select("*", "_place.*").drop("_place")
 
 
 def interval_join(positions: DataFrame, records: DataFrame, bin_width: int = 1000) -> DataFrame:
     """JN7: positions (0-based) with every record (1-based, inclusive) of their contig that covers them; keys are those of the positions.
 
-    A range join by bins: an interval goes to each bin it touches, so a long contig spreads over its bins.
+    A range join by bins of several widths: an interval of any length is a row or two, and a position looks it up at each
+    level in use. Records of a long contig spread over its bins.
     """
     keys = _keys(positions, records)
     more = [c for c in records.columns if c not in keys]
-    spans = records.where(F.col("start") <= F.col("end")).select(*keys, *more, _bins(F.col("start"), F.col("end"), bin_width).alias("_bin"))
-    rows = positions.withColumn("_bin", ((F.col("position") + 1) / bin_width).cast("int"))
-    return rows.join(spans, [*keys, "_bin"]).where((F.col("position") + 1).between(F.col("start"), F.col("end"))).drop("_bin")
+    spans = binned(records.where(F.col("start") <= F.col("end")).select(*keys, *more), "start", "end", bin_width)
+    rows = looked_up(positions, F.col("position") + 1, levels_of(spans), bin_width)
+    return rows.join(spans, [*keys, "_level", "_bin"]).where((F.col("position") + 1).between(F.col("start"), F.col("end"))).drop("_level", "_bin")
 
 
 def label_stretches(records: DataFrame, bin_width: int = 1000) -> DataFrame:
@@ -96,8 +121,8 @@ def label_stretches(records: DataFrame, bin_width: int = 1000) -> DataFrame:
     merged = rows.groupBy(*keys, "type", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
     cuts = merged.select(*keys, F.explode(F.array("start", F.col("end") + 1)).alias("low")).distinct()
     cuts = cuts.withColumn("high", F.lead("low").over(Window.partitionBy(*keys).orderBy("low")) - 1).where("high is not null")
-    spans = merged.select(*keys, "type", "start", "end", _bins(F.col("start"), F.col("end"), bin_width).alias("_bin"))
-    covered = cuts.withColumn("_bin", (F.col("low") / bin_width).cast("int")).join(spans, [*keys, "_bin"]).where(F.col("low").between(F.col("start"), F.col("end")))
+    spans = binned(merged.select(*keys, "type", "start", "end"), "start", "end", bin_width)
+    covered = looked_up(cuts, F.col("low"), levels_of(spans), bin_width).join(spans, [*keys, "_level", "_bin"]).where(F.col("low").between(F.col("start"), F.col("end")))
     return covered.groupBy(*keys, "low", "high").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("by_pos"), F.bit_or(type_bit()).alias("mask"))
 
 
@@ -106,14 +131,19 @@ def label_positions(positions: DataFrame, records: DataFrame, bin_width: int = 1
 
     Adds by_pos (types joined by commas, ``None`` if none), mask (bits) and misassembled (whether the contig has any
     record). Records become disjoint stretches first, so a position meets one at most and the positions are not
-    grouped; Spark broadcasts the stretches if they are small, and else deals both sides by bin.
+    grouped; Spark broadcasts the stretches if they are small, and else deals both sides by bin. Stretches lie at levels
+    by their length, as in ``interval_join``; the positions meet the stretches of each level in use once.
     """
     keys = _keys(positions, records)
     spans = label_stretches(records.select(*keys, "type", "start", "end"), bin_width)
-    spans = spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "low", "high", "by_pos", "mask", _bins(F.col("low"), F.col("high"), bin_width).alias("_bin"))
+    spans = binned(spans.select(*(F.col(k).alias(f"_{k}") for k in keys), "low", "high", "by_pos", "mask"), "low", "high", bin_width)
     at = F.col("position") + 1
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    out = positions.join(spans, [*same, (at / bin_width).cast("int") == F.col("_bin"), at.between(F.col("low"), F.col("high"))], "left").drop(*(f"_{k}" for k in keys), "_bin", "low", "high")
+    out, levels = positions, levels_of(spans) or [0]
+    for k in levels:
+        here = spans.where(F.col("_level") == k).withColumnsRenamed({"by_pos": f"_by_pos_{k}", "mask": f"_mask_{k}"})
+        out = out.join(here, [*same, F.floor(at / (bin_width * FINER**k)) == F.col("_bin"), at.between(F.col("low"), F.col("high"))], "left").drop(*(f"_{k}" for k in keys), "_level", "_bin", "low", "high")
+    out = out.withColumns({"by_pos": F.coalesce(*(f"_by_pos_{k}" for k in levels)), "mask": F.coalesce(*(f"_mask_{k}" for k in levels))}).drop(*(f"_{name}_{k}" for name in ("by_pos", "mask") for k in levels))
     flags = records.select(*keys).distinct().withColumn("misassembled", F.lit(1))
     out = out.join(flags, keys, "left")
     return out.withColumns({"by_pos": F.coalesce("by_pos", F.lit("None")), "mask": F.coalesce("mask", F.lit(0)), "misassembled": F.coalesce("misassembled", F.lit(0))})

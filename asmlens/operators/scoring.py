@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import count_to, random_int
-from asmlens.operators.ordered import exact_quantiles, with_group_values
+from asmlens.functions.storage import shared_folder
+from asmlens.operators.ordered import exact_quantiles, running_sums, with_group_values
 
 TAIL = 5000
 
@@ -34,12 +35,56 @@ def evaluation_chunks(meta: DataFrame, max_len: int = 20000) -> DataFrame:
     return sliding_chunks(meta, max_len, max(250, max_len - 500))
 
 
-def memory_batches(meta: DataFrame, total_bytes: int, batch_size: int, window: int, n_features: int, shard: str, order: list[str]) -> DataFrame:
+def memory_batches(meta: DataFrame, total_bytes: int, batch_size: int, window: int, n_features: int, shard: str, order: list[str], stream: int = 1 << 20) -> DataFrame:
     """CHK3: ordered greedy packing within each shard (its metadata only); needs column ``n_chunks``.
 
-    Rows are sorted within partitions and streamed: a shard of any length needs the memory of one batch of rows.
+    Shards of up to ``stream`` rows are sorted within partitions and packed as a stream. In a longer one every row finds
+    the row that a batch begun there leaves to the next batch, and cuts are followed from the first row in doubling steps,
+    so that many tasks pack one shard. Both ways give the same batches.
     """
+    counts = meta.groupBy(shard).agg((F.count("*") > stream).alias("_long"))
     row_bytes = window * (10 + 4 * n_features)
+    dealt = with_group_values(meta, counts, [shard])
+    short = _packed_stream(dealt.where("not _long").drop("_long"), total_bytes, batch_size, row_bytes, shard, order)
+    if counts.where("_long").isEmpty():
+        return short
+    return short.unionByName(_packed_by_cuts(dealt.where("_long").drop("_long"), total_bytes // row_bytes, batch_size, shard, order))
+
+
+def _packed_by_cuts(meta: DataFrame, most_chunks: int, batch_size: int, shard: str, order: list[str]) -> DataFrame:
+    """``memory_batches`` of long shards."""
+    spark, folder, steps = meta.sparkSession, shared_folder(meta.sparkSession), iter(range(10_000))
+
+    def kept(df: DataFrame) -> DataFrame:
+        path = f"{folder}/{next(steps)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    same = lambda a, b: F.col(f"{a}.{shard}").eqNullSafe(F.col(f"{b}.{shard}"))
+    rows = running_sums(meta.withColumn("_one", F.lit(1).cast("long")), [shard], order, {"_place": "_one", "_upto": "n_chunks"})
+    rows = kept(rows.drop("_one"))
+    # the chunks before a batch and those it may hold: the first row whose sum goes beyond begins the next batch
+    ends = rows.select(shard, F.col("_upto").alias("_sum"), F.lit(0).alias("_asks"), F.lit(1).alias("_row"), F.lit(None).cast("long").alias("_place"))
+    asks = rows.select(shard, (F.col("_upto") - F.col("n_chunks") + most_chunks).alias("_sum"), F.lit(1).alias("_asks"), F.lit(0).alias("_row"), "_place")
+    found = running_sums(ends.unionByName(asks), [shard], ["_sum", "_asks"], {"_within": "_row"}).where("_asks = 1")
+    cut = F.least(F.greatest(F.col("_within"), F.col("_place")) + 1, F.col("_place") + batch_size + 1)
+    last = rows.groupBy(shard).agg(F.max("_place").alias("_last"))
+    jump = kept(with_group_values(found.select(shard, "_place", cut.alias("_next")), last, [shard]).where("_next <= _last").select(shard, "_place", "_next"))
+    starts = kept(last.select(shard, F.lit(1).cast("long").alias("_place")))
+    while True:  # after k rounds the first 2^k starts of each shard are known, and jumps pass over 2^k batches
+        more = kept(starts.alias("s").join(jump.alias("j"), same("s", "j") & (F.col("s._place") == F.col("j._place"))).select(F.col(f"s.{shard}").alias(shard), F.col("j._next").alias("_place")))
+        if more.isEmpty():
+            break
+        starts = starts.unionByName(more)
+        jump = kept(jump.alias("a").join(jump.alias("b"), same("a", "b") & (F.col("a._next") == F.col("b._place"))).select(F.col(f"a.{shard}").alias(shard), F.col("a._place").alias("_place"), F.col("b._next").alias("_next")))
+    marked = starts.select(F.col(shard).alias("_shard"), F.col("_place").alias("_start"))
+    rows = rows.join(marked, F.col(shard).eqNullSafe(F.col("_shard")) & (F.col("_place") == F.col("_start")), "left").withColumn("_begins", F.col("_start").isNotNull().cast("long"))
+    numbered = running_sums(rows.drop("_shard", "_start"), [shard], ["_place"], {"_batch": "_begins"})
+    return numbered.withColumn("batch", F.col("_batch") - 1).drop("_place", "_upto", "_begins", "_batch")
+
+
+def _packed_stream(meta: DataFrame, total_bytes: int, batch_size: int, row_bytes: int, shard: str, order: list[str]) -> DataFrame:
+    """``memory_batches`` of shards that one task can pack."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, started, batch, contigs, chunks = None, False, 0, 0, 0

@@ -6,9 +6,6 @@ so a query and its twin start from the same rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,13 +111,3 @@ def duck(body: str, *views: str) -> str:
     names = {t: t for t in TABLES}
     texts = [f"{v} AS ({VIEWS[v].format(**names) if v in VIEWS else {'seqs': SEQS, 'expanded': EXPANDED}[v]})" for v in views]
     return ("WITH " + ", ".join(texts) + " " if texts else "") + body
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="spark-shared-")  # one machine
-    return f"{top.rstrip('/')}/asmlens-{uuid.uuid4().hex}"

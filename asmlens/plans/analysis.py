@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import random_int
+from asmlens.functions.storage import shared_folder
 from asmlens.operators import metrics as E
 from asmlens.operators import sampling as S
 from asmlens.operators import scoring as C
 from asmlens.operators import stats as N
 from asmlens.operators import training as R
 from asmlens.operators.pileup import KEYS
-from asmlens.plans.adapters import Tables, duck, shared_folder
+from asmlens.plans.adapters import Tables, duck
 from asmlens.plans.features import POSITIONS, position_features
 from asmlens.plans.registry import query
 from asmlens.plans.training import train
@@ -303,6 +304,13 @@ query("evl3_pr_curve", duck(f"SELECT score AS threshold, tp / pos AS recall, tp
 query("evl3_pr_area_by_group", duck(f'SELECT grp, sum((r - coalesce(lag_r, 0)) * (pr + coalesce(lag_pr, 1)) / 2) AS pr_area FROM (SELECT grp, r, pr, lag(r) OVER v AS lag_r, lag(pr) OVER v AS lag_pr FROM (SELECT grp, score, tp / nullif(pos, 0) AS r, tp / (tp + fp) AS pr FROM {steps("grp")}) WINDOW v AS (PARTITION BY grp ORDER BY score DESC)) GROUP BY grp', "preds"), "pr_area")(
     lambda t: E.pr_area(t.view("preds"), ["grp"])
 )
+_LOGGED = "d / s + (tp0 - (tp0 + fp0) / s) / s * ln(1 + s * d / nullif(tp0 + fp0, 0))"
+query(
+    "evl3_pr_area_interpolated",
+    duck(f"""SELECT grp, sum(CASE WHEN d = 0 THEN 0 WHEN tp0 + fp0 = 0 THEN d / s ELSE {_LOGGED} END / nullif(pos, 0)) AS pr_area FROM (SELECT *, 1 + (fp - fp0) / nullif(d, 0) AS s FROM (SELECT *, tp - tp0 AS d FROM (
+      SELECT grp, tp, fp, pos, coalesce(lag(tp) OVER v, 0) AS tp0, coalesce(lag(fp) OVER v, 0) AS fp0 FROM {steps("grp")} WINDOW v AS (PARTITION BY grp ORDER BY score DESC)))) GROUP BY grp""", "preds"),
+    "pr_area",
+)(lambda t: E.pr_area(t.view("preds"), ["grp"], interpolate=True))
 query("evl4_roc_curve", duck(f"SELECT score AS threshold, fp / neg AS fpr, tp / pos AS tpr FROM {steps()}", "preds"), "threshold fpr tpr")(lambda t: E.roc_curve(t.view("preds")))
 query("evl4_roc_auc", duck("SELECT (sum(r) FILTER (label = 1) - count_if(label = 1) * (count_if(label = 1) + 1) / 2) / (count_if(label = 1) * count_if(label = 0)) AS roc_auc FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM preds)", "preds"), "roc_auc")(
     lambda t: E.roc_auc(t.view("preds"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from asmlens.functions.storage import shared_folder
 from asmlens.operators import pileup as P
 from asmlens.operators import stats as N
 from asmlens.operators import study as Y
-from asmlens.plans.adapters import Tables, duck, shared_folder
+from asmlens.plans.adapters import Tables, duck
 from asmlens.plans.registry import query
 from asmlens.sources import readers as R
 from asmlens.sources import writers as W
@@ -251,6 +252,6 @@ def _(t):
     stats = N.sufficient_stats(t.view("aln"), ["contig"], ("mapq",))
     stats.repartition(4, "contig").write.parquet(f"{folder}/stats")
     stream = t.spark.readStream.schema(stats.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/stats")
-    name = "incremental_" + folder.rsplit("-", 1)[1]
-    I.incremental_stats(stream, ("mapq",), name, f"{folder}/checkpoint").awaitTermination()
-    return t.spark.table(name).select("all_count", "mapq_sum", "mapq_sum2")
+    I.incremental_stats(stream, ("mapq",), f"{folder}/sums", f"{folder}/checkpoint", "contig").awaitTermination()
+    sums = I.file_sums(t.spark, ("mapq",), f"{folder}/sums", "contig", "bigint")
+    return I.running_sums(sums, ("mapq",)).select("all_count", "mapq_sum", "mapq_sum2")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from asmlens.functions.storage import shared_folder
 from asmlens.operators import metrics as E
 from asmlens.operators import scoring as C
 from asmlens.operators import training as R
 from asmlens.operators.modelling import Scorer, fit_pass, pooled, vector_scale
 from asmlens.operators.pileup import KEYS
-from asmlens.plans.adapters import shared_folder
 
 EPOCH = "epoch int, rate double, ap double, recall_1 double, recall_0 double, mean_score double, rows long, best boolean"
 

@@ -39,11 +39,13 @@ def read_fasta(spark: SparkSession, paths: Paths, name: str = "word") -> DataFra
 
 
 def read_alignments_text(spark: SparkSession, paths: Paths) -> DataFrame:
-    """SRC2: SAM text to alignments; header lines dropped, optional tags as a map. Positions become 0-based."""
+    """SRC2: SAM text to alignments; header lines dropped, all optional tags as a map, the last of a tag that repeats. Positions become 0-based."""
     rows = _lines(spark, paths).where(~F.col("value").startswith("@") & (F.trim("value") != "")).withColumn("f", F.split("value", "\t"))
     field = lambda k: F.try_element_at("f", F.lit(k + 1))
     tag = lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.regexp_replace(t, "^..:.:?", "").alias("value"))
-    tags = F.map_from_entries(F.array_distinct(F.transform(F.filter(F.slice("f", 12, 1000), lambda t: t.rlike("^[A-Za-z][A-Za-z0-9]:")), tag)))
+    found = F.transform(F.filter("f", lambda t, k: (k > 10) & t.rlike("^[A-Za-z][A-Za-z0-9]:")), tag)
+    names = F.array_distinct(F.transform(found, lambda e: e["key"]))
+    tags = F.map_from_entries(F.transform(names, lambda name: F.element_at(F.filter(found, lambda e: e["key"] == name), -1)))
     rows = rows.withColumn("tags", F.when(F.size("f") > 11, tags).otherwise(F.create_map().cast("map<string,string>")))
     ints = {"flag": 1, "mapq": 4, "tlen": 8}
     return rows.select(

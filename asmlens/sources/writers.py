@@ -27,6 +27,18 @@ def write_position_features(features: DataFrame, path: str, as_text: bool = Fals
     features.select(*names).withColumns(short).write.options(sep="\t", header=True, compression="gzip", nullValue="NA").csv(path)
 
 
+def write_clustered(df: DataFrame, table: str, by: list[str], order: list[str], buckets: int) -> None:
+    """A table of the catalogue, dealt by ``by`` into ``buckets`` files that are sorted by ``by`` and ``order``.
+
+    Tables written alike join by those columns, and aggregate by them, without an exchange (a join by more columns too
+    where ``spark.sql.requireAllClusterKeysForCoPartition`` is off); row groups carry their least and
+    greatest values, so a filter on a contig or a stretch of positions skips the others. Where one contig may hold much of
+    the table, put a block of positions into ``by``: a bucket is one task.
+    """
+    dealt = df.repartition(buckets, *by)  # one file a bucket
+    dealt.write.bucketBy(buckets, *by).sortBy(*by, *order).saveAsTable(table)
+
+
 def contig_arrays(features: DataFrame, columns: list[str], by: tuple[str, ...] = ("contig",)) -> DataFrame:
     """SNK2: one row a contig, one array a feature in order of position, and its length."""
     rows = F.array_sort(F.collect_list(F.struct("position", *(F.col(c).alias(f"c{k}") for k, c in enumerate(columns)))))
