@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -9,8 +10,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[str] = []  # folders of written tables that nobody has dropped yet
-_of_stages: list[str] = []  # those of them that pipeline stages have made
+_made: dict[str, tuple] = {}  # folders of written tables: their application, and a weak reference to their list of files
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +29,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, and later reads prune columns."""
+    """``df`` as a table in the shared folder: cuts the lineage, and later reads prune columns.
+
+    The table lives as long as some DataFrame reads it (see ``swept``).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
+    files = out._jdf.queryExecution().analyzed().collectLeaves().head().relation().location()
+    _made[path] = spark.sparkContext.applicationId, spark._jvm.java.lang.ref.WeakReference(files)
     out.written_to = path
     return out
 
@@ -42,9 +46,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    _made.remove(path)
-    if path in _of_stages:
-        _of_stages.remove(path)
+    _made.pop(path, None)
 
 
 def dropped(*tables: DataFrame) -> None:
@@ -54,23 +56,28 @@ def dropped(*tables: DataFrame) -> None:
             _delete(t.sparkSession, t.written_to)
 
 
-def stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A pipeline stage: it deletes what earlier stages wrote for their own use, unless ``docs`` still reads it.
+def swept(spark: SparkSession) -> None:
+    """Deletes the tables of ``written`` that no DataFrame reads any more.
 
-    A stage's result is written before the next stage begins, so its tables are of no use from then on.
+    Every DataFrame that reads a table, derived ones too, holds the table's list of files; once
+    the JVM has let go of that list, nothing can read the table.
     """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    for path, (application, files) in list(_made.items()):
+        if application != spark.sparkContext.applicationId:
+            _made.pop(path)  # of a session that has ended
+        elif files.get() is None:
+            _delete(spark, path)
+
+
+def stage(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A pipeline stage, which begins by deleting tables that earlier ones left and nothing reads."""
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, *args, **options) -> DataFrame:
-        if _of_stages:
-            used = docs.inputFiles()
-            for path in list(_of_stages):
-                if not any(path.rsplit("/", 1)[1] in file for file in used):
-                    _delete(spark, path)
-        before = set(_made)
-        out = function(spark, docs, *args, **options)
-        _of_stages.extend(p for p in _made if p not in before)
-        return out
+        swept(spark)
+        return function(spark, docs, *args, **options)
 
     return run
 

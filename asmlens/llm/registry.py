@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from asmlens.llm import licenses, ranked, sharding, trie
+from asmlens.llm._spark import swept
 from asmlens.llm.bpe import op13_bpe_merge_queue
 from asmlens.llm.chat import op8_chat_formatting
 from asmlens.llm.licenses import op9_license_digests
@@ -17,7 +23,19 @@ from asmlens.llm.toxicity import op3_toxicity_ordinal
 from asmlens.llm.trie import op11_prefix_trie
 from asmlens.llm.vectors import op6_subspace_pigeonhole
 
-QUERIES = {
+
+def _tidied(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that first deletes what earlier ones left and nothing reads."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        swept(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = {
     "op1_quality_rules": op1_quality_rules,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_toxicity_ordinal": op3_toxicity_ordinal,
@@ -32,6 +50,7 @@ QUERIES = {
     "op12_length_strata": op12_length_strata,
     "op13_bpe_merge_queue": op13_bpe_merge_queue,
 }
+QUERIES = {name: _tidied(query) for name, query in _ALL.items()}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_license_digests": licenses.ORACLE,

@@ -188,14 +188,17 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         child = np.flatnonzero(label != np.arange(len(ends)))
         return pa.RecordBatch.from_arrays([pa.array(ends[child].view(np.int64)), pa.array(ends[label[child]].view(np.int64))], names=["a", "b"])
 
+    parts = [kept]  # of the last bucket, joined once it ends
     for batch in batches:
         new = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).view(np.uint64), np.asarray(batch.column(2))]
-        kept = [np.concatenate(x) for x in zip(kept, new)]
-        last = int(np.searchsorted(kept[0], kept[0][-1])) if len(kept[0]) else 0
-        if last:
-            yield linked(*(x[:last] for x in kept))
-        kept = [x[last:] for x in kept]
-    yield linked(*kept)
+        if not batch.num_rows:
+            continue
+        last = int(np.searchsorted(new[0], new[0][-1]))
+        if last or (len(parts[-1][0]) and parts[-1][0][-1] != new[0][0]):
+            yield linked(*(np.concatenate(x) for x in zip(*parts, [x[:last] for x in new])))
+            parts = []
+        parts.append([x[last:] for x in new])
+    yield linked(*(np.concatenate(x) for x in zip(*parts)))
 
 
 def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:

@@ -296,7 +296,7 @@ def _compare(cosine: float, chunk: int = 1 << 20):
 def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one a vector."""
     e = F.col("e")
-    kind = "double" if vectors.schema[embedding].dataType.elementType.simpleString() == "double" else "float"
+    kind = "float" if vectors.schema[embedding].dataType.elementType.simpleString() == "float" else "double"
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).cast(f"array<{kind}>").alias("e"))
     good = e.isNotNull() & F.forall(e, finite) & F.exists(e, lambda v: v != 0)
@@ -324,7 +324,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     classes = classes.join(named, "component").select("node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
     result = rows.select("vec_id", "node").join(classes, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return result.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return result.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
 
 def op6_subspace_pigeonhole(spark, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ def test_bad_vectors_and_ties(spark):
     for r in got:
         links.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
     assert all(links[k] == [(0, k)] for k in (1, 2, 3, 4, 5, 6, 9))
+    assert [r.kept for r in got if r.vec_id is None] == [False] and all(r.kept == (r.vec_id == r.component_id) for r in got)
     assert links[7] == [(3, 7)] * 2 and links[8] == [(3, 7)] and links[None] == [(3, 7)]
     assert V.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
