@@ -182,18 +182,19 @@ def breakpoint_histograms(breaks: DataFrame) -> DataFrame:
 def select_breakpoint_chunk(contigs: DataFrame, chunk: int = 500, margin: int = 50, seed: int = 0) -> DataFrame:
     """MIS7: a chunk for each breakpoint, which lies at a random offset between the margins; one chunk of a clean contig.
 
-    ``contigs``: contig, length, breakpoints array of (lo, hi). Adds ord, chunk_start, chunk_end, lo and hi from the chunk's start.
+    ``contigs``: sample?, contig, length, breakpoints array of (lo, hi). Adds ord, chunk_start, chunk_end, lo and hi from the chunk's start.
     """
-    rows = contigs.select("contig", "length", F.posexplode_outer("breakpoints").alias("ord", "b"))
+    keys = _keys(contigs)
+    rows = contigs.select(*keys, "length", F.posexplode_outer("breakpoints").alias("ord", "b"))
     ord_ = F.coalesce("ord", F.lit(0))
-    key = F.concat_ws("/", F.col("contig").cast("string"), ord_.cast("string"))
+    key = F.concat_ws("/", *(F.col(k).cast("string") for k in keys), ord_.cast("string"))
     mid = F.floor((F.col("b.lo") + F.col("b.hi")) / 2)
     offset = margin + random_below(F.lit(chunk - 2 * margin + 1), key, seed)
     start = F.least(F.greatest(F.lit(0), mid - offset), F.col("b.lo"))
     start = F.when(F.col("b").isNull(), random_below(F.col("length") - chunk + 1, key, seed)).otherwise(F.least(start, F.col("length") - chunk))
     rows = rows.withColumn("ord", ord_).withColumn("chunk_start", F.when(F.col("length") <= chunk, 0).otherwise(start).cast("int"))
     rows = rows.withColumn("chunk_end", F.least("length", F.col("chunk_start") + chunk).cast("int"))
-    return rows.select("contig", "ord", "chunk_start", "chunk_end", (F.col("b.lo") - F.col("chunk_start")).alias("lo"), (F.col("b.hi") - F.col("chunk_start")).alias("hi"))
+    return rows.select(*keys, "ord", "chunk_start", "chunk_end", (F.col("b.lo") - F.col("chunk_start")).alias("lo"), (F.col("b.hi") - F.col("chunk_start")).alias("hi"))
 
 
 def misassembly_type_counts(df: DataFrame, by: list[str], types: str = "by_pos") -> DataFrame:

@@ -11,12 +11,12 @@ An order is a list of column names; a minus in front makes one descending.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS = 1 << 18  # rows a range should have
-SAMPLE = 4096  # keys in the first sample: enough for an eighth as many ranges
+SAMPLE = 4096  # keys in the sample at least; sixteen for each range
 
 
 def _parsed(order: list[str]) -> list[tuple[str, bool]]:
@@ -29,14 +29,17 @@ def _sorted(order: list[str]) -> list[Column]:
 
 
 def range_edges(df: DataFrame, keys: list[str]) -> list[T.Row]:
-    """Upper ends of ranges of about ``ROWS`` rows in ascending order of ``keys``, the last one's aside; few enough for a literal."""
-    seen = Observation()
+    """Upper ends of ranges of about ``ROWS`` rows in ascending order of ``keys``, the last one's aside; few enough for a literal.
+
+    One row tells the number of rows, and a sample in proportion to the ranges where they lie; a table of one range has no sample.
+    (An ``Observation`` would tell both in one pass, but a session that has one can't serialise Spark ML's fitted models.)
+    """
     rows = df.select(*keys)
-    # one pass: each task sends at most SAMPLE keys, and the count comes with them
-    found = rows.observe(seen, F.count(F.lit(1)).alias("n")).orderBy(F.rand(1)).limit(SAMPLE).orderBy(*keys).collect()
-    ranges = -(-seen.get["n"] // ROWS)
-    if ranges > SAMPLE // 8:  # a larger sample, in proportion to the ranges
-        found = rows.sample(min(1.0, 16 * ranges / seen.get["n"]), 1).orderBy(*keys).collect()
+    n = rows.count()
+    ranges = -(-n // ROWS)
+    if ranges < 2:
+        return []
+    found = rows.sample(min(1.0, max(SAMPLE, 16 * ranges) / n), 1).orderBy(*keys).collect()
     places = [len(found) * k // ranges for k in range(1, ranges)]
     return [found[p - 1] for p in dict.fromkeys(places) if p > 0]
 

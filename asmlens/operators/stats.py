@@ -53,9 +53,9 @@ def zscore(features: DataFrame, normalizer: DataFrame, columns: tuple[str, ...],
     A deviation of at most 0.001 centres without scaling; missing values become 0.
     """
     known = [c for c in columns if f"{c}_mean" in normalizer.columns]
-    row = normalizer.select(*(f"{c}_{k}" for c in known for k in ("mean", "stdev"))).first()  # one row
-    lit = lambda v: F.lit(None if v is None else float(v)).cast("double")
-    return features.withColumns({c: zscore_column(F.col(c).cast("double"), lit(row[f"{c}_mean"]), lit(row[f"{c}_stdev"]), fill_low_stdev) for c in known if row[f"{c}_mean"] is not None})
+    rows = with_group_values(features, normalizer.select(*(F.col(f"{c}_{k}").alias(f"_{c}_{k}") for c in known for k in ("mean", "stdev"))), [])
+    scored = {c: F.when(F.col(f"_{c}_mean").isNull(), F.col(c).cast("double")).otherwise(zscore_column(F.col(c).cast("double"), F.col(f"_{c}_mean"), F.col(f"_{c}_stdev"), fill_low_stdev)) for c in known}
+    return rows.withColumns(scored).select(*features.columns)
 
 
 def recompute_meta(features: DataFrame, by: list[str]) -> DataFrame:

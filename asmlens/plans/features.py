@@ -28,6 +28,20 @@ def extract_features(alignments: DataFrame, contigs: DataFrame, records: DataFra
     return out
 
 
+def breakpoint_chunks(features: DataFrame, contigs: DataFrame, records: DataFrame, chunk_size: int = 500, margin: int = 50, seed: int = 8192) -> DataFrame:
+    """The rows of ``features`` in one chunk around each breakpoint, and in a random one of each clean contig.
+
+    ``records`` have break_start and break_end. Adds ord, chunk_start, chunk_end, lo and hi (from the chunk's start); position counts
+    from the chunk's start too. Chunks meet positions by the interval join, so they need no order.
+    """
+    keys = [k for k in P.KEYS if k in contigs.columns]
+    points = records.groupBy(*[k for k in keys if k in records.columns]).agg(F.array_sort(F.collect_list(F.struct(F.col("break_start").alias("lo"), F.col("break_end").alias("hi")))).alias("breakpoints"))
+    chunks = M.select_breakpoint_chunk(contigs.select(*keys, "length").join(points, [k for k in keys if k in records.columns], "left"), chunk_size, margin, seed)
+    spans = chunks.withColumns({"start": F.col("chunk_start") + 1, "end": F.col("chunk_end")})
+    rows = M.interval_join(features, spans)
+    return rows.drop("start", "end").withColumn("position", F.col("position") - F.col("chunk_start"))
+
+
 def recompute_meta(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Contig metadata and sufficient statistics of a position table."""
     return N.recompute_meta(features, []), N.sufficient_stats(features, [])
@@ -188,7 +202,6 @@ query(
     duck(f"""SELECT contig, 0 AS ord, s AS chunk_start, least(length, s + 500)::INT AS chunk_end, CASE WHEN misassembly_cnt > 0 THEN lo - s END::INT AS lo, CASE WHEN misassembly_cnt > 0 THEN hi - s END::INT AS hi FROM (
       SELECT *, CASE WHEN length <= 500 THEN 0 WHEN misassembly_cnt > 0 THEN least(least(greatest(0, (lo + hi) // 2 - (50 + ({_R0}) % 401)), lo), length - 500) ELSE ({_R0}) % greatest(length - 499, 1) END::INT AS s FROM meta)""", "meta"),
 )(lambda t: M.select_breakpoint_chunk(t.breakpoints()))
-_POSLAB = """SELECT contig, 'relocation inconsistency = ' || contig || ',' || 'inversion' AS by_pos, contig % 3 AS g FROM mis"""
 query("mis8_type_counts", duck("SELECT g, type, count(DISTINCT contig) AS n FROM (SELECT contig, contig % 3 AS g, unnest(['relocation', type]) AS type FROM mis) GROUP BY ALL", "mis"))(
     lambda t: M.misassembly_type_counts(t.view("mis").select("contig", (F.col("contig") % 3).alias("g"), F.concat(F.lit("relocation inconsistency = 5,"), F.col("type")).alias("by_pos")), ["g"])
 )

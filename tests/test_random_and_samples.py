@@ -151,7 +151,7 @@ def test_running_sums_over_ranges(spark):
     rows = [(int(rng.integers(0, 3)), float(rng.integers(0, 40)), k) for k in range(500)]
     df = spark.createDataFrame(rows, "g int, x double, v long").groupBy("g", "x").agg(F.sum("v").alias("v"))
     for down in (False, True):
-        for r in O.running_sums(df, ["g"], "x", {"s": "v"}, descending=down).collect():
+        for r in O.running_sums(df, ["g"], ["-x" if down else "x"], {"s": "v"}).collect():
             assert r.s == sum(v for g, x, v in rows if g == r.g and (x >= r.x if down else x <= r.x))
     names = spark.createDataFrame([(f"n{k % 5}", f"name {k * 7919 % 1000:04d}x") for k in range(400)], "g string, name string")
     got = O.numbered(names, ["g"], ["name"], "k").collect()
