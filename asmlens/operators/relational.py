@@ -6,6 +6,8 @@ Catalyst chooses joins and exchanges. Random choices depend on keys and seeds.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,8 +106,11 @@ def join_on(left: DataFrame, right: DataFrame, keys: dict[str, str] | list[str],
     return left.join(right, keys, how)
 
 
-def grid(*tables: DataFrame) -> DataFrame:
-    """JN8: all combinations of small value tables."""
+def grid(*tables: DataFrame, most_rows: int = 100_000_000) -> DataFrame:
+    """JN8: all combinations of value tables, whose number is checked first: more than ``most_rows`` raise an error."""
+    n = math.prod(t.count() for t in tables)
+    if n > most_rows:
+        raise ValueError(f"{n} combinations are more than {most_rows}")
     out = tables[0]
     for t in tables[1:]:
         out = out.crossJoin(t)

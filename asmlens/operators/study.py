@@ -10,9 +10,10 @@ from asmlens.operators.ordered import numbered, running_sums, with_group_values
 from asmlens.operators.relational import grid, keep_first
 
 
-def sim_grid(spark: SparkSession, lists: dict[str, list]) -> DataFrame:
-    """CMP1: all combinations of parameter lists, with a name in which ``:`` and ``,`` are ``-``."""
-    tables = [spark.createDataFrame([(str(v),) for v in values], f"`{name}` string") for name, values in lists.items()]
+def sim_grid(spark: SparkSession, lists: dict[str, list | DataFrame]) -> DataFrame:
+    """CMP1: all combinations of parameter lists (or of tables with one column), with a name in which ``:`` and ``,`` are ``-``."""
+    make = lambda name, values: values.toDF(name) if isinstance(values, DataFrame) else spark.createDataFrame([(str(v),) for v in values], f"`{name}` string")
+    tables = [make(name, values) for name, values in lists.items()]
     return grid(*tables).withColumn("run", F.regexp_replace(F.concat_ws("_", *lists), "[:,]+", "-"))
 
 

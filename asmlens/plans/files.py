@@ -194,9 +194,18 @@ def _log_lines(t: Tables) -> DataFrame:
     return t["orders"].select(F.floor(F.col("o_orderkey") / 2000).alias("g"), F.concat_ws("\n", start, end).alias("value"))
 
 
-@query("src14_read_run_log", "SELECT count(*) * 6 + 2 * count_if(o_orderstatus = 'F') + 3 * count_if(o_orderstatus = 'O') AS n_lines FROM orders")
+_DAY = "'[Mon Jan ' || (1 + o_orderkey % 9) || ' 00:00:' || lpad((o_orderkey % 50 + {plus})::VARCHAR, 2, '0') || ' 2022]'"
+
+
+@query(
+    "src14_read_run_log",
+    f"""SELECT line, count(*) AS n FROM (SELECT unnest([{_DAY.format(plus=0)}, 'rule map:', '    input: ' || o_custkey || '.fa', '    jobid: ' || o_orderkey, '    wildcards: a=1, b=2', 'Submitted job 1 with external jobid ' || chr(39) || o_orderkey || chr(39)]
+      || CASE o_orderstatus WHEN 'F' THEN [{_DAY.format(plus=5)}, 'Finished job ' || o_orderkey || '.'] WHEN 'O' THEN [{_DAY.format(plus=5)}, 'Error in rule map:', '    jobid: ' || o_orderkey] ELSE [] END) AS line FROM orders) GROUP BY line""",
+)
 def _(t):
-    return R.read_run_log(t.spark, _text(t, _log_lines(t).select("value"), "run.log")).where("line <> ''").agg(F.count("*").alias("n_lines"))
+    """Every line of a log with colours, as often as it occurs."""
+    coloured = _log_lines(t).select(F.regexp_replace("value", "(?m)^(rule|Error)", "\x1b[31m$1\x1b[0m").alias("value"))
+    return R.read_run_log(t.spark, _text(t, coloured, "run.log")).where("line <> ''").groupBy("line").agg(F.count("*").alias("n"))
 
 
 @query("src14_read_accounting", duck("SELECT run_id::VARCHAR AS clust_job, round(s, 1) AS wall_s FROM runs", "runs"), "wall_s")

@@ -185,7 +185,7 @@ query("rs4_row_per_item", "SELECT p_partkey, unnest(string_split(p_name, 'a')) A
 # --- study set-up
 
 query("cmp1_sim_grid", "SELECT p_brand, n_regionkey::VARCHAR AS region, regexp_replace(p_brand || '_' || n_regionkey, '[:,]+', '-', 'g') AS run FROM (SELECT DISTINCT p_brand FROM part), (SELECT DISTINCT n_regionkey FROM nation)")(
-    lambda t: R.grid(t["part"].select("p_brand").distinct(), t["nation"].select(F.col("n_regionkey").cast("string").alias("region")).distinct()).withColumn("run", F.regexp_replace(F.concat_ws("_", "p_brand", "region"), "[:,]+", "-"))
+    lambda t: Y.sim_grid(t.spark, {"p_brand": t["part"].select("p_brand").distinct(), "region": t["nation"].select(F.col("n_regionkey").cast("string")).distinct()})
 )
 query("cmp2_input_type", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'real' WHEN o_orderstatus = 'F' THEN 'provided' ELSE 'simulation' END AS kind FROM orders")(
     lambda t: t["orders"].select("o_orderkey", Y.input_type(F.array(F.lit("Taxon"), F.when(F.col("o_orderkey") % 3 == 0, "Read1").otherwise("Fasta"), F.when(F.col("o_orderkey") % 3 == 0, "READ2").otherwise("x"), F.when(F.col("o_orderstatus") == "F", "Bam").otherwise("y"))).alias("kind"))
