@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -153,3 +154,30 @@ def test_pivot_table():
     other = fp ^ np.uint64(S.FULL ^ S.MASKS[4])  # all bits outside the fifth group turned
     sums = lambda x: S.pivot_distances(x).reshape(len(x), len(S.MASKS), S.PAIRS, 2).sum(3)
     assert (sums(fp)[:, 4] == sums(other)[:, 4]).all() and (sums(fp)[:, 3] != sums(other)[:, 3]).any()
+
+
+def test_bits_and_bands_grow_with_the_texts():
+    few, many = S.similar.samples(10_000), S.similar.samples(1 << 30)
+    assert (len(few), len(few[0])) == (S.similar.BANDS, S.similar.TAKEN) and len(many[0]) == S.similar.TAKEN + 7
+    meet = lambda bands: 1 - (1 - S.similar.AGREE ** len(bands[0])) ** len(bands)
+    assert meet(many) >= meet(few) > 0.995
+    assert all(len(set(b.tolist())) == len(b) for b in many) and (1 << 30) >> len(many[0]) <= S.similar.SPLIT_ABOVE
+
+
+@pytest.mark.parametrize("few", [1 << 23, 16])
+def test_near_copies_are_found_with_more_bits(spark, documents, monkeypatch, few):
+    monkeypatch.setattr(S.similar, "FEW", few)
+    dice = random.Random(few)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for k in range(150):
+        base = dice.choices(words, k=120)
+        twin = list(base)
+        for at in dice.sample(range(120), 2):
+            twin[at] = dice.choice(words)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(twin))]
+    same = {k: S.similar.jaccard(rows[2 * k][1].encode(), rows[2 * k + 1][1].encode()) >= 0.8 for k in range(150)}
+    kept = {r.doc_id for r in S.keep_one(spark, documents(rows), "").select("doc_id").collect()}
+    assert all(2 * k in kept for k in range(150)) and sum(same.values()) > 100
+    assert sum(2 * k + 1 not in kept for k in range(150) if same[k]) >= 0.99 * sum(same.values())
+    assert all(2 * k + 1 in kept for k in range(150) if not same[k])
