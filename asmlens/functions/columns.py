@@ -51,8 +51,8 @@ def sanitize(name) -> Column:
     return F.regexp_replace(_column(name), "[^A-Za-z0-9_]+", "_")
 
 
-# A control sequence as ECMA-48 defines it: its introducer, parameter bytes (column 3), intermediate bytes (column 2), a final byte (columns 4 to 7).
-CONTROL_SEQUENCE = r"(?:\x{1b}\x{5b}|\x{9b})[\x{30}-\x{3f}]*[\x{20}-\x{2f}]*[\x{40}-\x{7e}]"
+# Fixed value: a control sequence of ECMA-48, that is its introducer, parameters, intermediates and a final character.
+CONTROL_SEQUENCE = "(?:\x1b\\[|\x9b)[0-?]*[ -/]*[@-~]"
 
 
 def strip_ansi(line) -> Column:

@@ -27,19 +27,22 @@ def test_two_reads(spark):
     got = table(spark, PAIR, contigs(spark, ("Contig2", "A" * 500)))
     assert len(got) == 500
     zero = got[0]
+    # both first reads match: proper pairs count as matches, no mismatch
     assert (zero.coverage, zero.num_proper_Match, zero.num_proper_SNP, zero.num_SNPs) == (2, 2, 0, 0)
     assert (zero.num_query_A, zero.num_query_C, zero.num_query_G, zero.num_query_T) == (2, 0, 0, 0)
+    # statistics over matching reads; the deviation of equal values is 0
     assert (zero.min_al_score_Match, zero.mean_al_score_Match, zero.max_al_score_Match) == (-28, -14, 0)
     assert (zero.min_mapq_Match, zero.mean_mapq_Match, zero.max_mapq_Match) == (6, 6.5, 7)
     assert (zero.min_insert_size_Match, zero.max_insert_size_Match, zero.stdev_insert_size_Match) == (425, 425, 0)
-    for p in range(1, 5):
+    for p in range(1, 5):  # one read matches and one doesn't: a deviation of one value is missing
         r = got[p]
         assert (r.coverage, r.num_proper_Match, r.num_proper_SNP, r.num_SNPs, r.num_query_A, r.num_query_G) == (2, 1, 1, 1, 1, 1)
         assert (r.mean_mapq_Match, r.mean_al_score_Match, r.stdev_insert_size_Match) == (6, 0, None)
-    for p in range(420, 425):
+    for p in range(420, 425):  # no read matches: statistics are missing
         r = got[p]
         assert (r.coverage, r.num_proper_Match, r.num_proper_SNP, r.num_SNPs, r.num_query_C, r.num_query_T) == (2, 0, 2, 2, 1, 1)
         assert r.mean_mapq_Match is None
+    # where nothing aligns counts are 0, statistics missing, and the base is the contig's
     assert got[200].coverage == 0 and got[200].num_SNPs == 0 and got[200].min_mapq_Match is None and got[200].ref_base == "A"
 
 
