@@ -161,3 +161,22 @@ def test_a_very_long_text(documents):
 def test_empty_table(spark, documents):
     empty = documents([(1, "a")]).where("doc_id < 0")
     assert Q.quality(empty).count() == 0 and Q.keep_good(spark, empty, "").count() == 0
+
+
+def test_ngrams_beyond_the_collected_ones_count_in_full(spark, documents, monkeypatch):
+    """Scores don't depend on how many n-grams are collected, also of texts that the models are not of."""
+    rng = np.random.default_rng(8)
+    own = documents([(k, t) for k, t in enumerate([prose(rng, 80) for _ in range(30)] + ["", None])] + [(40, "a b c"), (41, "a b c")])
+    own = own.unionByName(documents([(100 + k, prose(rng, 80, "éèç🙂日本")) for k in range(20)], lang="fr")).withColumn("text_key", F.lit("clash"))
+    strange = own.unionByName(documents([(200, prose(rng, 60, "xyz#é")), (201, "never seen before: 日本")]).withColumn("text_key", F.lit(None).cast("string")))
+    whole, part = Q.fit_models(own, least_texts=5), Q.fit_models(own, least_texts=5, most=40)
+    for docs in (own, strange):
+        want, got = ({(r.doc_id, r.text_key): r.quality for r in Q.report(docs, models).collect()} for models in (whole, part))
+        assert want.keys() == got.keys() and len(got) == docs.count()
+        for k, q in want.items():
+            assert (q.log_perplexity is None) == (got[k].log_perplexity is None), k
+            assert q.log_perplexity is None or abs(q.log_perplexity - got[k].log_perplexity) < 1e-5, k
+    assert all(sum(len(m.grams[o]) for m in part.models.values()) <= 40 for o in (1, 2, 3, 4)) and 40 < sum(len(m.grams[4]) for m in whole.models.values())
+    kept = {r.doc_id for r in Q.keep_good(spark, own, "").collect()}
+    monkeypatch.setattr(Q, "fit_models", lambda docs, text, lang: part)
+    assert kept and {r.doc_id for r in Q.keep_good(spark, own, "").collect()} == kept
