@@ -237,8 +237,9 @@ def op2_simhash_pivots(spark, sf_dir: str) -> DataFrame:
 def keep_one(spark, docs: DataFrame, sf_dir: str, words: int = similar.WORDS, least: float = similar.LEAST) -> DataFrame:
     """Pipeline stage: one document of each set of near copies stays, the one with the least id.
 
-    Near copies share ``least`` of their shingles of ``words`` words. The
-    constants above bind the contract query only.
+    Near copies share ``least`` of their shingles of ``words`` words. They are
+    found by a pivot table of wider fingerprints (``similar``); the constants
+    above bind the contract query only.
     """
     tid, key, no_id = (fresh(docs, n) for n in ("text_key", "doc_key", "no_id"))
     rows = docs.select("doc_id", "text")

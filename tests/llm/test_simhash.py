@@ -181,3 +181,30 @@ def test_near_copies_are_found_with_more_bits(spark, documents, monkeypatch, few
     assert all(2 * k in kept for k in range(150)) and sum(same.values()) > 100
     assert sum(2 * k + 1 not in kept for k in range(150) if same[k]) >= 0.99 * sum(same.values())
     assert all(2 * k + 1 in kept for k in range(150) if not same[k])
+
+
+def test_pivot_table_of_the_stage():
+    """Sums of twins depend on their group only, coordinates never exceed the distance, and pairs found through them are all pairs."""
+    rng, m = np.random.default_rng(9), S.similar
+    fp = rng.integers(0, 2**64, (120, m.LANES), dtype=np.uint64)
+    for k in range(60):  # copies with up to 70 bits turned, also beyond the reach
+        bits = np.zeros(64 * m.LANES, bool)
+        bits[rng.choice(64 * m.LANES, int(rng.integers(0, 71)), replace=False)] = True
+        fp[60 + k] = fp[k] ^ np.packbits(bits, bitorder="little").view(np.uint64)
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    near = m.coordinates(fp)
+    differ = np.bitwise_count(near[:, None] ^ near[None]).sum(2)
+    assert (differ <= apart).all() and (differ[apart > 100] > m.REACH).mean() > 0.99
+    bands = m.samples(100)
+    refs = m.references(bands, len(bands[0]) - 4, 2)
+    assert m.pivot_distances(fp, refs[5])[7, 3, 1] == sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[7], refs[5, 3, 1]))
+    outside = np.ones(64 * m.LANES, bool)
+    outside[bands[5]] = False
+    turned = fp ^ np.packbits(outside, bitorder="little").view(np.uint64)
+    assert (m.bucket_keys(fp, refs[5], 5) == m.bucket_keys(turned, refs[5], 5)).all()
+    bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+    for band, sample in enumerate(bands):  # all that agree on a sample meet
+        keys, agree = m.bucket_keys(fp, refs[band], band), (bits[:, None, sample] == bits[None][:, :, sample]).all(2)
+        assert (keys[:, None] == keys[None])[agree].all()
+    found = {(min(x, y), max(x, y)): d for a, b, c in m._near(np.zeros(120, np.int64), fp, near) for x, y, d in zip(a.tolist(), b.tolist(), c.tolist())}
+    assert found == {(i, j): apart[i, j] for i in range(120) for j in range(i + 1, 120) if apart[i, j] <= m.REACH} and len(found) > 30
