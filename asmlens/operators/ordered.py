@@ -94,7 +94,8 @@ def numbered(df: DataFrame, by: list[str], order: list[str], into: str) -> DataF
 def ranked(df: DataFrame, by: list[str], order: str, into: str, dense: bool = False) -> DataFrame:
     """Adds the rank by one column within ``by``: equal values share one; with gaps after them, or dense.
 
-    Values are counted first, so a value that a hot group repeats is one row of the running sums.
+    Values are counted first, so a value that a hot group repeats is one row of the running sums. Rows meet their rank
+    by value, so values must be equal whenever ``df`` is computed: write sums of doubles before they are ranked.
     """
     name = order.removeprefix("-")
     counts = df.groupBy(*by, name).agg(F.count("*").alias("_c")).withColumn("_one", F.lit(1))

@@ -291,11 +291,19 @@ def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
-def abundance_rank(df: DataFrame, sample: str, value: str) -> DataFrame:
-    """WN10 and WN12: percent of the sample's total and rank with gaps, positive values only."""
+def percent_of_total(df: DataFrame, sample: str, value: str) -> DataFrame:
+    """WN12: percent of the sample's total, positive values only.
+
+    Rows meet their total by the sample alone, never by the value: a sum of doubles that is computed twice may differ in its last bit.
+    """
     rows = df.where(F.col(value) > 0)
     rows = with_group_values(rows, rows.groupBy(sample).agg(F.sum(value).alias("_total")), [sample])
-    return ranked(rows.withColumn("percent", 100 * F.col(value) / F.col("_total")).drop("_total"), [sample], f"-{value}", "rank")
+    return rows.withColumn("percent", 100 * F.col(value) / F.col("_total")).drop("_total")
+
+
+def abundance_rank(df: DataFrame, sample: str, value: str) -> DataFrame:
+    """WN10: percent of the sample's total and rank with gaps, positive values only. Values must be stored ones (see ``ranked``)."""
+    return ranked(percent_of_total(df, sample, value), [sample], f"-{value}", "rank")
 
 
 def first_n_of_group(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:

@@ -146,7 +146,7 @@ query("wn10_abundance_rank", 'SELECT c_custkey, 100 * c_acctbal / sum(c_acctbal)
 )
 query("wn11_first_n_of_group", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2")(lambda t: R.first_n_of_group(t["orders"].select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"], 2).select("o_orderkey"))
 query("wn12_percent_of_total", "SELECT o_orderpriority, o_orderstatus, 100 * v / sum(v) OVER (PARTITION BY o_orderpriority) AS percent FROM (SELECT o_orderpriority, o_orderstatus, sum(o_totalprice) AS v FROM orders GROUP BY ALL)", "percent")(
-    lambda t: R.abundance_rank(t["orders"].groupBy("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("v")), "o_orderpriority", "v").select("o_orderpriority", "o_orderstatus", "percent")
+    lambda t: R.percent_of_total(t["orders"].groupBy("o_orderpriority", "o_orderstatus").agg(F.sum("o_totalprice").alias("v")), "o_orderpriority", "v").select("o_orderpriority", "o_orderstatus", "percent")
 )
 query("sr1_sort_head", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_custkey, o_orderkey DESC LIMIT 30")(lambda t: R.top_k(t["orders"].select("o_orderkey", "o_custkey"), [F.asc("o_custkey"), F.desc("o_orderkey")], 30))
 

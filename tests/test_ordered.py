@@ -10,6 +10,7 @@ from asmlens.operators import ordered as O
 from asmlens.operators import relational as R
 from asmlens.operators import study as Y
 from asmlens.operators import training as L
+from asmlens.plans.catalogue import ENTRIES
 
 
 @pytest.fixture
@@ -129,3 +130,16 @@ def test_more_ranges_than_the_first_sample_allows(spark, monkeypatch):
     df = spark.range(3000).select((F.col("id") * 37 % 3001).alias("x"))
     assert len(O.range_edges(df, ["x"])) > 100
     assert {r.x: r.n for r in O.numbered(df, [], ["x"], "n").collect()} == {x: k + 1 for k, x in enumerate(sorted(37 * k % 3001 for k in range(3000)))}
+
+
+def test_percent_of_total_keeps_sums_that_differ_when_computed_again(spark):
+    """Sums of doubles differ in their last bits from one evaluation to the next; no row may be lost for that."""
+    shaken = F.udf(lambda v: v + random.random() * 1e-9, "double").asNondeterministic()
+    rows = [(p, s, float(v)) for p in "abc" for s in "FOP" for v in range(1, 4)]
+    orders = spark.createDataFrame(rows, "o_orderpriority string, o_orderstatus string, v double").withColumn("o_totalprice", shaken("v")).drop("v")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = ENTRIES["wn12_percent_of_total"].build({"orders": orders}).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert len(got) == 9 and all(abs(r.percent - 100 / 3) < 1e-6 for r in got)
