@@ -149,6 +149,20 @@ def label_positions(positions: DataFrame, records: DataFrame, bin_width: int = 1
     return out.withColumns({"by_pos": F.coalesce("by_pos", F.lit("None")), "mask": F.coalesce("mask", F.lit(0)), "misassembled": F.coalesce("misassembled", F.lit(0))})
 
 
+def contig_label_stretches(contigs: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``label_positions`` adds, before positions are laid out; ``contigs`` have their keys and ``length``.
+
+    Stretches (keys of the contigs, start: from 0, n, label, mask) within their contig, ``label`` being a hash of by_pos so
+    that it adds up by hash; and the distinct (label, by_pos).
+    """
+    keys = _keys(contigs, records)
+    spans = label_stretches(records.select(*keys, "type", "start", "end")).select(*(F.col(k).alias(f"_{k}") for k in keys), "low", "high", "by_pos", "mask").withColumn("label", F.xxhash64("by_pos"))
+    rows = contigs.select(*_keys(contigs), "length").join(spans, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    start = F.greatest(F.col("low") - 1, F.lit(0))
+    rows = rows.select(*_keys(contigs), start.alias("start"), (F.least("high", "length") - start).alias("n"), "label", "mask")
+    return rows.where("n > 0"), spans.select("label", "by_pos").distinct()
+
+
 def mirror_interval(intervals: DataFrame, lengths: DataFrame) -> DataFrame:
     """MIS4: reversed intervals (start > end) reflected on their contig's length; others as they are."""
     back, n = F.col("start") > F.col("end"), F.col("length")

@@ -3,15 +3,18 @@
 Alignments have one row a read: sample, read_id, flag, contig, pos (0-based),
 mapq, cigar, mate_pos, tlen, seq, qual, as_score. Everything is Spark SQL.
 
-A read becomes its aligned stretches, cut at the borders of contig chunks and
-dealt by (contig, chunk), so that deep or long contigs spread over tasks and a
-stretch meets its chunk of the sequence only. Sequences are binary there, where a
-base is found in one step. Positions are laid out last; the aggregate by position
-combines them in the same task, and one aggregate serves all features.
+A read becomes its aligned stretches, cut at the borders of pieces of contigs and
+dealt once, by piece, so that deep or long contigs spread over tasks and a stretch
+meets its piece of the sequence only. Sequences are binary there, where a base is
+found in one step. Positions are laid out last; the aggregate by piece and position
+needs no other exchange, and one aggregate serves all features.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ LEAST_QUALITY = 13
 # Names of the count features.
 COUNTS = ("num_query_A", "num_query_C", "num_query_G", "num_query_T", "num_SNPs", "num_discordant", "num_proper_Match", "num_orphans_Match", "num_discordant_Match", "num_proper_SNP")
 CHUNK = 10_000
+TASK = 1 << 20  # positions of a task
+PIECE = 1_000  # positions that are dealt together; a very deep piece is one task
 OTHER_LETTERS = "BDEFHIJKLMOPQRSVWXYZ=.*-"
 
 
@@ -62,22 +67,24 @@ def _letter(column: str, k: Column) -> Column:
 
 
 def aligned_stretches(aln: DataFrame, keep: tuple[str, ...] = (), min_mapq: int = 0, exclude_flags: int = 0) -> DataFrame:
-    """Rows (keys, keep, op, start, n, bases, classes, quals): a row for each run of reference positions of a read.
+    """Rows (keys, keep, op, start, n, bases, quals): a row for each run of reference positions of a read.
 
-    ``op`` is M, D or N; ``bases``, their classes and qualities are binary, and null but for M.
+    ``op`` is M, D or N; ``bases`` and their qualities are binary, and null but for M.
     Unmapped reads are left out; all other reads count unless asked otherwise.
     """
-    rows = aln.where(~has(UNMAPPED) & F.col("cigar").isNotNull() & (F.col("cigar") != "*"))
+    # not as a filter, which Spark would push into whatever makes the reads, and make them twice; no operations are no rows
+    rows = aln.withColumn("cigar", F.when(~has(UNMAPPED), F.col("cigar")))
     if min_mapq:
         rows = rows.where(F.col("mapq") >= min_mapq)
     if exclude_flags:
         rows = rows.where(F.col("flag").bitwiseAND(F.lit(exclude_flags)) == 0)
     keys = [k for k in KEYS if k in aln.columns]
-    whole = {"_bases": F.col("seq").cast("binary"), "_classes": base_class("seq").cast("binary"), "_quals": F.when(F.col("qual") != "*", F.col("qual")).cast("binary")}
-    rows = rows.select(*keys, *keep, "pos", *(c.alias(n) for n, c in whole.items()), F.explode(cigar_ops()).alias("o")).where(F.col("o.op").isin("M", "=", "X", "D", "N") & (F.col("o.n") > 0))
+    whole = {"_bases": F.col("seq").cast("binary"), "_quals": F.when(F.col("qual") != "*", F.col("qual")).cast("binary")}
+    # outer, as Spark would else add a filter that finds the operations again; the condition drops the nulls
+    rows = rows.select(*keys, *keep, "pos", *(c.alias(n) for n, c in whole.items()), F.explode_outer(cigar_ops()).alias("o")).where(F.col("o.op").isin("M", "=", "X", "D", "N") & (F.col("o.n") > 0))
     aligned = F.col("o.op").isin("M", "=", "X")
     part = lambda c: F.when(aligned, _bytes(c, F.col("o.query0"), F.col("o.n")))
-    return rows.select(*keys, *keep, F.when(aligned, "M").otherwise(F.col("o.op")).alias("op"), (F.col("pos") + F.col("o.ref0")).alias("start"), F.col("o.n").alias("n"), part("_bases").alias("bases"), part("_classes").alias("classes"), part("_quals").alias("quals"))
+    return rows.select(*keys, *keep, F.when(aligned, "M").otherwise(F.col("o.op")).alias("op"), (F.col("pos") + F.col("o.ref0")).alias("start"), F.col("o.n").alias("n"), part("_bases").alias("bases"), part("_quals").alias("quals"))
 
 
 def contig_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -88,36 +95,82 @@ def contig_chunks(contigs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return rows.select(*keys, (F.col("low") / chunk).cast("int").alias("bin"), "low", F.least(F.lit(chunk), F.col("n") - F.col("low")).alias("size"), _bytes("_seq", F.col("low"), F.lit(chunk)).alias("part"))
 
 
-def expand_alignments(aln: DataFrame, contigs: DataFrame | None = None, keep: tuple[str, ...] = ("flag", "mapq", "tlen", "as_score"), min_mapq: int = 0, exclude_flags: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """PIL1 (and PIL2 with ``contigs``): a row for each read and reference position.
+def _classes(column: str) -> Column:
+    """Binary classes of binary bases; most have no other letters than the classes."""
+    text = F.col(column).cast("string")
+    return F.when(text.rlike("^[ACGTN]*$"), F.col(column)).otherwise(base_class(text).cast("binary"))
+
+
+def _piece(keys: list[str]) -> Column:
+    """The number that deals a piece: a hash of its contig and ``bin``, so null names are names."""
+    return F.xxhash64(*keys, "bin")
+
+
+def cut_pieces(stretches: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Stretches cut at the borders of pieces, with bin and piece."""
+    last = (F.col("start") + F.col("n") - 1) / width
+    rows = stretches.withColumn("bin", F.explode_outer(F.sequence((F.col("start") / width).cast("int"), last.cast("int"))))
+    inner = F.greatest(F.col("start"), F.col("bin") * width)
+    rows = rows.withColumns({"_at": inner - F.col("start"), "n": F.least(F.col("start") + F.col("n"), (F.col("bin") + 1) * width) - inner, "start": inner})
+    return rows.withColumns({c: F.substring(F.col(c), F.col("_at") + 1, F.col("n")) for c in ("bases", "quals") if c in rows.columns}).withColumn("piece", _piece(keys)).drop("_at")
 
-    Columns: sample, contig, position, base (``-`` in a deletion, ``N`` in a skip), base_class, base_quality (null if
-    missing), and with contigs ref_base and is_match. Positions outside the sequence have an empty ref_base.
+
+def meet_sequence(stretches: DataFrame, contigs: DataFrame, keys: list[str], width: int, window: int = 0, also: tuple[str, ...] = ()) -> DataFrame:
+    """Stretches with their part of the sequence, ``ref``, and with what ``also`` names of their contig.
+
+    With a ``window``, rows whose ``op`` is S have the letters around their piece too: near, its first place low, the
+    window w, and the contig's length total. Both sides are dealt by piece and merged: a sequence is far larger than Spark supposes, and must not be broadcast.
     """
-    keys = [k for k in KEYS if k in aln.columns]
-    rows = aligned_stretches(aln, keep, min_mapq, exclude_flags).withColumn("shift", F.lit(0))
-    if contigs is not None:
-        # a stretch goes to each chunk it touches; very deep chunks are split, not gathered in one task
-        last = (F.col("start") + F.col("n") - 1) / chunk
-        rows = rows.withColumn("bin", F.explode(F.sequence((F.col("start") / chunk).cast("int"), last.cast("int"))))
-        inner = F.greatest(F.col("start"), F.col("bin") * chunk)
-        cut = {"shift": inner - F.col("start"), "n": F.least(F.col("start") + F.col("n"), (F.col("bin") + 1) * chunk) - inner}
-        rows = rows.withColumns(cut).hint("rebalance", *keys, "bin")
-        refs = contig_chunks(contigs, chunk).select(*keys, "bin", "low", "part", base_class(F.col("part").cast("string")).cast("binary").alias("part_classes"))
-        rows = rows.join(refs, [*keys, "bin"])
-    rows = rows.withColumn("k", F.explode(F.sequence(F.col("shift"), F.col("shift") + F.col("n") - 1)))
+    rows = contigs.select(*keys, *also, F.col("seq").cast("binary").alias("_seq")).withColumn("total", F.octet_length("_seq"))
+    rows = rows.withColumn("w", F.greatest(F.lit(1), F.least(F.lit(window), F.floor(F.col("total") / 2).cast("int"))) if window else F.lit(0))
+    rows = rows.select("*", F.explode_outer(chunk_starts("total", width)).alias("_low")).where("_low is not null").withColumn("low", F.greatest(F.lit(0), F.col("_low") - F.col("w")))
+    rows = rows.withColumns({"bin": (F.col("_low") / width).cast("int"), "_part": _bytes("_seq", F.col("low"), width + 2 * F.col("w"))}).withColumn("_piece", _piece(keys))
+    rows = rows.select("_piece", *(F.col(k).alias(f"_{k}") for k in [*keys, "bin"]), *also, "total", "w", "low", "_part")
+    # positions are laid out after the exchange, which Spark does not foresee when it chooses the number of tasks
+    tasks = max(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(contigs.agg(F.sum(F.octet_length("seq"))).first()[0] or 0) // TASK))
+    stretches, rows = stretches.repartition(tasks, "piece"), rows.repartition(tasks, "_piece")
+    # not as equalities, which would be keys of the join too
+    same = [F.coalesce(F.col(k) == F.col(f"_{k}"), F.col(k).isNull() & F.col(f"_{k}").isNull()) for k in [*keys, "bin"]]
+    out = stretches.join(rows.hint("merge"), F.col("piece") == F.col("_piece")).where(reduce(and_, same))
+    out = out.withColumn("ref", _bytes("_part", F.col("start") - F.col("low"), F.col("n")))
+    if window:
+        out = out.withColumn("near", F.when(F.col("op") == "S", _classes("_part")))
+    return out.drop("_piece", "_part", "_bin", *(f"_{k}" for k in keys), *(() if window else ("total", "w", "low")))
+
+
+def lay_out(rows: DataFrame, keys: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """A row for each position of the stretches."""
+    known = "ref" in rows.columns
+    rows = rows.withColumn("classes", _classes("bases"))
+    rows = rows.withColumn("ref_classes", _classes("ref")) if known else rows
+    rows = rows.withColumn("k", F.explode_outer(F.sequence(F.lit(0), F.col("n") - 1)))
     k, aligned = F.col("k"), F.col("op") == "M"
+    base_class_here = F.when(aligned, _letter("classes", k)).otherwise("N")
     columns = [
         (F.col("start") + k).alias("position"),
         F.when(aligned, _letter("bases", k)).when(F.col("op") == "D", "-").otherwise("N").alias("base"),
-        F.when(aligned, _letter("classes", k)).otherwise("N").alias("base_class"),
+        base_class_here.alias("base_class"),
         F.when(aligned, F.ascii(_letter("quals", k)) - 33).alias("base_quality"),
     ]
-    if contigs is not None:
-        at = F.col("start") + k - F.col("low")
-        ref = _letter("part_classes", at)
-        columns += [_letter("part", at).alias("ref_base"), (F.when(aligned, _letter("classes", k)).otherwise("N") == F.when(ref == "", "N").otherwise(ref)).alias("is_match")]
-    return rows.select(*keys, *keep, *columns)
+    if known:
+        ref = _letter("ref_classes", k)
+        match = base_class_here == F.when(ref == "", "N").otherwise(ref)
+        columns += [_letter("ref", k).alias("ref_base"), F.when(F.col("op").isin("M", "D", "N"), match).alias("is_match")]
+    return rows.select(*keys, "piece", *keep, *columns)
+
+
+def expand_alignments(aln: DataFrame, contigs: DataFrame | None = None, keep: tuple[str, ...] = ("flag", "mapq", "tlen", "as_score"), min_mapq: int = 0, exclude_flags: int = 0, width: int = PIECE) -> DataFrame:
+    """PIL1 (and PIL2 with ``contigs``): a row for each read and reference position.
+
+    Columns: sample, contig, piece, position, base (``-`` in a deletion, ``N`` in a skip), base_class, base_quality (null if
+    missing), and with contigs ref_base and is_match. Positions outside the sequence have an empty ref_base. Rows are dealt
+    by ``piece``, a number of contig and stretch of ``width`` positions: aggregates by it and more need no other exchange.
+    """
+    keys = [k for k in KEYS if k in aln.columns]
+    rows = cut_pieces(aligned_stretches(aln, keep, min_mapq, exclude_flags), keys, width)
+    if contigs is None:
+        return lay_out(rows.repartition("piece"), keys, keep)
+    return lay_out(meet_sequence(rows.dropna(subset=keys), contigs, keys, width), keys, keep)
 
 
 def pair_class_counts(match: Column) -> list[Column]:
@@ -191,20 +244,26 @@ def diff_strand_count(when: Column, side: str = "Match") -> Column:
     return F.count_if(when & has(PAIRED) & ~has(MATE_UNMAPPED) & (has(REVERSE) != has(MATE_REVERSE))).alias(f"num_diff_strand_{side}")
 
 
-def pileup(expanded: DataFrame, profile: str = "standard", least_quality: int = LEAST_QUALITY) -> DataFrame:
-    """PIL3-PIL11 in one aggregate over expanded alignments with matches: a row for each covered position."""
+def features(profile: str = "standard", least_quality: int = LEAST_QUALITY, reads: Column | None = None) -> list[Column]:
+    """The aggregates of a profile over expanded alignments with matches, but num_SNPs; ``reads`` tells their rows from others."""
     match = F.col("is_match")
-    keys = [k for k in KEYS if k in expanded.columns]
     # as a number, so that the aggregate hashes and need not sort the positions
     code = F.max(F.ascii("ref_base"))
-    columns = [F.when(code > 0, F.char(code)).otherwise("").alias("ref_base"), F.count("*").alias("coverage"), *base_counts(least_quality), *pair_class_counts(match)]
+    coverage = F.count("*") if reads is None else F.count_if(reads)
+    columns = [F.when(code > 0, F.char(code)).otherwise("").alias("ref_base"), coverage.alias("coverage"), *base_counts(least_quality), *pair_class_counts(match)]
     if profile not in ("short", "standard", "extended"):
         raise ValueError(f"unknown profile {profile!r}")
     if profile != "short":
         columns += [*insert_size_stats(match), *mapq_stats(match), *al_score_stats(match)]
     if profile == "extended":
         columns += [*supp_secondary_counts(match), *snp_side_stats(), diff_strand_count(match), diff_strand_count(~match, "SNP")]
-    out = expanded.groupBy(*keys, "position").agg(*columns)
+    return columns
+
+
+def pileup(expanded: DataFrame, profile: str = "standard", least_quality: int = LEAST_QUALITY) -> DataFrame:
+    """PIL3-PIL11 in one aggregate over expanded alignments with matches: a row for each covered position."""
+    keys = [k for k in (*KEYS, "piece") if k in expanded.columns]
+    out = expanded.groupBy(*keys, "position").agg(*features(profile, least_quality)).drop("piece")
     return out.withColumn("num_SNPs", num_snps())
 
 

@@ -33,6 +33,30 @@ def cap_coverage(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_in
     return rows.where(F.col("cov") < max_cov).drop("_h", "_n", "_bin", "_before")
 
 
+def read_order(aln: DataFrame, seed: int = 0, key: str | Column = "read_id", ties: tuple = ()) -> Column:
+    """A struct that orders reads as ``cap_coverage`` does; reads that tie come by a hash of all their columns."""
+    return F.struct(random_int(key, seed).alias("h"), *(F.col(c) for c in ties), F.xxhash64(*aln.columns).alias("x"))
+
+
+def coverage_cut(aln: DataFrame, contigs: DataFrame, max_cov: float = 20, max_insert: int = 30000, seed: int = 0, key: str | Column = "read_id", ties: tuple = (), read_length: str | Column | None = None) -> DataFrame:
+    """Rows (sample, contig, limit): the least ``read_order`` that ``cap_coverage`` leaves out, for contigs that have one.
+
+    Only orders and lengths move, not the reads, and only the hash range with the cut is ordered. Copies of a read that are equal in
+    every column stay or go together.
+    """
+    names = [k for k in ("sample", "contig") if k in aln.columns and k in contigs.columns]
+    size = F.length("seq") if read_length is None else F.col(read_length) if isinstance(read_length, str) else read_length
+    rows = aln.where(F.abs("tlen") <= max_insert).select(*names, read_order(aln, seed, key, ties).alias("_order"), size.alias("_n"))
+    deep = rows.groupBy(*names).agg(F.ceil(F.count("*") / BIN_READS).alias("_bins")).join(contigs.select(*names, "length"), names)
+    rows = rows.join(deep, names).withColumn("_bin", F.floor(F.col("_order.h") * F.col("_bins") / (1 << 31))).drop("_bins")
+    sums = rows.groupBy(*names, "_bin").agg(F.sum("_n").alias("_sum"), F.max("length").alias("_length"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*names).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = sums.withColumn("_before", before).where((F.col("_before") / F.col("_length") < max_cov) & ((F.col("_before") + F.col("_sum")) / F.col("_length") >= max_cov))
+    within = Window.partitionBy(*names, "_bin").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(cut.select(*names, "_bin", "_before"), [*names, "_bin"]).withColumn("_cov", (F.col("_before") + F.sum("_n").over(within)) / F.col("length"))
+    return rows.where(F.col("_cov") >= max_cov).groupBy(*names).agg(F.min("_order").alias("limit"))
+
+
 def coverage_report(capped: DataFrame) -> DataFrame:
     """SMP1's report: final coverage of each contig, greatest first."""
     names = [k for k in ("sample", "contig") if k in capped.columns]

@@ -17,6 +17,24 @@ def entropy_bits(counts: list[Column]) -> Column:
     return F.when(total > 0, F.log2(total) - sum((part(n) for n in counts[1:]), part(counts[0])) / total).otherwise(0.0)
 
 
+def window_letters(part: str, first: str, w: str, n: str) -> Column:
+    """The ``w`` letters of the window at ``position`` of a sequence of ``n``, of which the binary ``part`` begins at ``first``."""
+    position, n = F.col("position"), F.col(n)
+    forward = (position < F.floor(n / 2)) | (n == 1)
+    start = F.when(forward, position).otherwise(position - F.col(w) + 1)
+    return F.substring(part, start - F.col(first) + 1, F.col(w)).cast("string")
+
+
+def letter_count(win: str, letter: str) -> Column:
+    return (F.octet_length(win) - F.octet_length(F.replace(F.col(win), F.lit(letter), F.lit("")))).cast("double")
+
+
+def window_stats(counts: list[Column]) -> tuple[Column, Column]:
+    """Entropy and share of G and C out of the counts of A, C, G and T."""
+    total = sum(counts[1:], counts[0])
+    return entropy_bits(counts), F.when(total > 0, (counts[1] + counts[2]) / total).otherwise(0.0)
+
+
 def sequence_window(contigs: DataFrame, w: int = 6, seq: str = "seq", chunk: int = 10_000, base: str | None = None) -> DataFrame:
     """SEQ1: (…, position, seq_window_entropy, seq_window_perc_gc), without a shuffle; ``base`` names a column for the base itself.
 
@@ -32,17 +50,12 @@ def sequence_window(contigs: DataFrame, w: int = 6, seq: str = "seq", chunk: int
     rows = rows.withColumn("base", F.greatest(F.lit(0), F.col("low") - w))
     rows = rows.select(*keys, "n", "w", "low", "base", F.substring("s", F.col("base") + 1, F.lit(chunk + 2 * w)).alias("part"), F.substring("raw", F.col("low") + 1, F.lit(chunk)).alias("own"))
     place = rows.select(*keys, "n", "w", "part", "base", "low", "own", F.explode(F.sequence(F.col("low"), F.least(F.col("low") + chunk, F.col("n")) - 1)).alias("position"))
-    forward = (F.col("position") < F.floor(F.col("n") / 2)) | (F.col("n") == 1)
-    start = F.when(forward, F.col("position")).otherwise(F.col("position") - F.col("w") + 1)
     bases = [F.substring("own", F.col("position") - F.col("low") + 1, F.lit(1)).cast("string").alias(base)] if base else []
-    place = place.select(*keys, "position", *bases, F.substring("part", start - F.col("base") + 1, F.col("w")).cast("string").alias("win"))
-    count = lambda b: (F.octet_length("win") - F.octet_length(F.replace(F.col("win"), F.lit(b), F.lit("")))).cast("double")
+    place = place.select(*keys, "position", *bases, window_letters("part", "base", "w", "n").alias("win"))
     keys = [*keys, "position", *([base] if base else [])]
-    place = place.select(*keys, *(count(b).alias(f"_{b}") for b in "ACGT"))
-    counts = [F.col(f"_{b}") for b in "ACGT"]
-    total = sum(counts[1:], counts[0])
-    gc = F.when(total > 0, (counts[1] + counts[2]) / total).otherwise(0.0)
-    return place.select(*keys, entropy_bits(counts).alias("seq_window_entropy"), gc.alias("seq_window_perc_gc"))
+    place = place.select(*keys, *(letter_count("win", b).alias(f"_{b}") for b in "ACGT"))
+    entropy, gc = window_stats([F.col(f"_{b}") for b in "ACGT"])
+    return place.select(*keys, entropy.alias("seq_window_entropy"), gc.alias("seq_window_perc_gc"))
 
 
 def one_hot_base(df: DataFrame, column: str = "ref_base") -> DataFrame:

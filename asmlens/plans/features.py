@@ -18,13 +18,42 @@ from asmlens.plans.registry import query
 
 
 def extract_features(alignments: DataFrame, contigs: DataFrame, records: DataFrame | None = None, window: int = 6, max_coverage: float | None = 20, max_insert: int = 30000, seed: int = 8192, profile: str = "standard", ties: tuple = ()) -> DataFrame:
-    """Alignments and contigs to the position table: coverage cap, pileup, all positions, sequence windows, labels."""
-    rows = alignments if max_coverage is None else S.cap_coverage(alignments, contigs, max_coverage, max_insert, seed, ties=ties).drop("cov", "length")
-    found = P.pileup(P.expand_alignments(rows, contigs), profile)
-    keys = [k for k in P.KEYS if k in contigs.columns]
-    out = P.dense_positions(found, contigs, spine=Q.sequence_window(contigs.select(*keys, "seq"), window, base="own_base"))
+    """Alignments and contigs to the position table: coverage cap, pileup, all positions, sequence windows, labels.
+
+    All that lies on a contig is a stretch: reads, the contig itself (op S), labels (op L). Stretches are dealt once, by piece of a
+    contig, and laid out and added up there; neither positions nor whole reads move again.
+    """
+    keys, own = [k for k in P.KEYS if k in contigs.columns], ("flag", "mapq", "tlen", "as_score")
+    sizes = contigs.select(*keys, F.octet_length(F.col("seq").cast("binary")).alias("length"))
+    also, capped = (), alignments
+    if max_coverage is not None:
+        limits = S.coverage_cut(alignments, contigs, max_coverage, max_insert, seed, ties=ties)
+        contigs = contigs.join(limits, [k for k in keys if k in limits.columns], "left")
+        also, capped = ("limit",), alignments.where(F.abs("tlen") <= max_insert).withColumn("read_order", S.read_order(alignments, seed, ties=ties))
+    ordered = ("read_order",) if also else ()
+    stretches = P.aligned_stretches(capped, (*own, *ordered)).dropna(subset=[k for k in keys if k in alignments.columns])
+    spine = sizes.where("length > 0").select(*keys, F.lit("S").alias("op"), F.lit(0).alias("start"), F.col("length").alias("n"))
+    if records is not None:
+        flags = records.select(*[k for k in keys if k in records.columns]).distinct().withColumn("misassembled", F.lit(1))
+        spine = spine.join(flags, [k for k in keys if k in records.columns], "left")
+        labels, names = M.contig_label_stretches(sizes, records)
+        spine = spine.unionByName(labels.withColumn("op", F.lit("L")), allowMissingColumns=True)
+    marks = [c for c in ("misassembled", "label", "mask") if c in spine.columns]
+    rows = P.meet_sequence(P.cut_pieces(stretches.unionByName(spine, allowMissingColumns=True), keys, P.PIECE), contigs, keys, P.PIECE, window, also)
+    is_read = ~F.col("op").isin("S", "L")
+    if also:
+        rows = rows.where(~is_read | F.col("limit").isNull() | (F.col("read_order") < F.col("limit")))
+    rows = P.lay_out(rows, keys, (*own, *marks, "op", "near", "w", "low", "total"))
+    rows = rows.withColumn("win", Q.window_letters("near", "low", "w", "total"))
+    found = rows.withColumns({f"_{b}": Q.letter_count("win", b) for b in "ACGT"}).groupBy(*keys, "piece", "position")
+    found = found.agg(*P.features(profile, reads=is_read), F.count_if(F.col("op") == "S").alias("_own"), *(F.max(c).alias(c) for c in (*marks, *(f"_{b}" for b in "ACGT")))).where("_own > 0")
+    entropy, gc = Q.window_stats([F.col(f"_{b}") for b in "ACGT"])
+    known = [c for c in found.columns if c not in (*keys, "piece", "position", *marks, "_own", *(f"_{b}" for b in "ACGT"))]
+    out = found.withColumn("num_SNPs", P.num_snps()).select(*keys, "position", entropy.alias("seq_window_entropy"), gc.alias("seq_window_perc_gc"), *known, "num_SNPs", *marks)
     if records is not None:
-        out = M.label_positions(out, records).withColumnsRenamed({"misassembled": "Extensive_misassembly", "by_pos": "Extensive_misassembly_by_pos"})
+        out = out.join(F.broadcast(names), "label", "left").drop("label")  # as many rows as there are combinations of types
+        out = out.withColumns({"by_pos": F.coalesce("by_pos", F.lit("None")), "mask": F.coalesce("mask", F.lit(0)), "misassembled": F.coalesce("misassembled", F.lit(0))})
+        out = out.select(*[c for c in out.columns if c not in ("by_pos", "mask", "misassembled")], F.col("by_pos").alias("Extensive_misassembly_by_pos"), "mask", F.col("misassembled").alias("Extensive_misassembly"))
     return out
 
 
@@ -63,12 +92,12 @@ def _expanded(t: Tables) -> DataFrame:
 
 def _agg(columns: Callable[[Column], list[Column]]) -> Callable[[Tables], DataFrame]:
     """A builder of position aggregates; ``columns`` gets the match flag."""
-    return lambda t: _expanded(t).groupBy("contig", "position").agg(*columns(F.col("is_match")))
+    return lambda t: _expanded(t).groupBy("contig", "piece", "position").agg(*columns(F.col("is_match"))).drop("piece")
 
 
 @query("pil1_expand_alignments", duck("SELECT contig, position, base, count(*) AS n FROM expanded GROUP BY ALL", "aln", "expanded"))
 def _(t):
-    return P.expand_alignments(t.alignments(), keep=()).groupBy("contig", "position", "base").agg(F.count("*").alias("n"))
+    return P.expand_alignments(t.alignments(), keep=()).groupBy("contig", "piece", "position", "base").agg(F.count("*").alias("n")).drop("piece")
 
 
 @query("pil2_match_flag", duck("SELECT contig, ref_base, count_if(base = ref_base) AS n_match, count_if(base <> ref_base) AS n_snp FROM expanded GROUP BY ALL", "aln", "expanded"))
@@ -116,7 +145,7 @@ query("pil14_contig_len_check", "SELECT s_suppkey AS contig, CAST(1049 + s_suppk
     lambda t: P.contig_len_check(t["supplier"].select(F.col("s_suppkey").alias("contig"), (F.col("s_suppkey") % 2 + 1049).cast("int").alias("length")), t.contigs())
 )
 query("pil15_binned_coverage", duck("SELECT contig, CAST(position // 50 AS BIGINT) AS bin, avg(n) AS mean_depth FROM (SELECT contig, position, count(*) AS n FROM expanded GROUP BY ALL) GROUP BY ALL", "aln", "expanded"), "mean_depth")(
-    lambda t: P.binned_coverage(P.expand_alignments(t.alignments(), keep=()).groupBy("contig", "position").agg(F.count("*").alias("coverage")))
+    lambda t: P.binned_coverage(P.expand_alignments(t.alignments(), keep=()).groupBy("contig", "piece", "position").agg(F.count("*").alias("coverage")))
 )
 query("pil16_pileup_text", _pos("count(*) AS depth, string_agg(base, '' ORDER BY base) AS bases"))(lambda t: P.pileup_text(_expanded(t)))
 

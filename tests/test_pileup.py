@@ -1,8 +1,13 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from asmlens.operators import misassembly as M
 from asmlens.operators import pileup as P
+from asmlens.operators import sampling as S
 from asmlens.operators import sequence as Q
+from asmlens.plans.features import extract_features
 
 ALN = "read_id string, flag int, contig string, pos int, mapq int, cigar string, tlen int, seq string, qual string, as_score int"
 # Two read pairs whose features are known.
@@ -119,3 +124,37 @@ def test_contig_len_check(spark):
 def test_ratio_fixed_point(spark):
     df = spark.createDataFrame([(1, 3), (0, 0)], "num_query_A int, coverage int")
     assert [r.num_query_A for r in P.ratio_normalize(df, ("num_query_A",), as_fixed=True).orderBy(F.desc("coverage")).collect()] == [3333, 0]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sequences_are_dealt_and_never_broadcast(spark):
+    """A sequence is far larger than Spark supposes: a few rows of contigs may be gigabytes, which the driver cannot hold."""
+    aln, refs = spark.createDataFrame(PAIR, ALN), contigs(spark, ("Contig2", "A" * 500))
+    plan = plan_of(P.pileup(P.expand_alignments(aln, refs)))
+    assert "Broadcast" not in plan and plan.count("Exchange hashpartitioning") == 2  # reads and sequences; the positions stay
+    records = spark.createDataFrame([("Contig2", "inversion", 3, 9)], "contig string, type string, start int, end int")
+    plan = plan_of(extract_features(aln, refs, records, max_coverage=None))
+    laid = plan[: plan.index("Generate")]
+    assert "Exchange hashpartitioning" not in laid and "SortAggregate" not in laid
+
+
+def test_extraction_equals_its_steps(spark):
+    """Dealt once or joined position by position: equal rows, over several pieces, with odd letters, names and overhangs, capped and not."""
+    dice = random.Random(3)
+    refs = contigs(spark, *((n, "".join(dice.choices("ACGTacgtNU", k=k))) for n, k in (("a", 2500), ("b", 1000), ("c", 1), ("d", 37), ("empty", 0))), (None, "ACGT"))
+    rows = []
+    for k in range(400):
+        contig = dice.choice("aaabbcdz")
+        cigar, bases = dice.choice([("60M", 60), ("2S30M3D20M1I", 53), ("10M1200N20M", 30), ("*", 9), ("5M", 5)])
+        rows.append((f"r{k // 2}", dice.choice([99, 147, 73, 4, 65]), contig, dice.randrange(0, 1500), dice.randrange(60), cigar, dice.choice([100, -300, 40000]), "".join(dice.choices("ACGTNacgu", k=bases)), "".join(dice.choices("#5I", k=bases)), dice.choice([None, -200, 3])))
+    aln = spark.createDataFrame(rows, ALN)
+    records = spark.createDataFrame([("a", "inversion", 0, 1200), ("a", "relocation", 900, 99999), ("a", "other", 5, 6), ("b", "translocation", 1000, 1000), ("z", "inversion", 1, 5)], "contig string, type string, start int, end int")
+    key = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for most in (None, 5):
+        reads = aln if most is None else S.cap_coverage(aln, refs, most, ties=("pos", "flag", "mapq", "cigar", "tlen", "seq", "qual")).drop("cov", "length")
+        steps = P.dense_positions(P.pileup(P.expand_alignments(reads, refs)), refs, spine=Q.sequence_window(refs.select("contig", "seq"), 6, base="own_base"))
+        steps = M.label_positions(steps, records).withColumnsRenamed({"misassembled": "Extensive_misassembly", "by_pos": "Extensive_misassembly_by_pos"})
+        assert key(extract_features(aln, refs, records, max_coverage=most, seed=0, ties=("pos", "flag", "mapq", "cigar", "tlen", "seq", "qual"))) == key(steps)
