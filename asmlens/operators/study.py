@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from asmlens.functions.columns import basename, strip_ansi
-from asmlens.operators.ordered import numbered, running_sums, with_group_values
+from asmlens.operators.misassembly import carry_forward
+from asmlens.operators.ordered import numbered, with_group_values
 from asmlens.operators.relational import grid, keep_first
 
 
@@ -66,16 +67,17 @@ def log_time(text: Column) -> Column:
 def summarize_run_log(lines: DataFrame, line: str = "line", number: str = "line_no", by: str = "file") -> DataFrame:
     """LOG1: one row a job: rule, inputs, log, wildcards, resources, ids, start, end, status (finished, error or null), attempt.
 
-    Sections begin at date lines; a section is a job, an error or an end.
+    Sections begin at date lines; a section is a job, an error or an end. No line is parsed twice.
     """
     rows = lines.select(by, number, strip_ansi(line).alias("l"))
     part = lambda pattern, k=1: F.when(F.col("l").rlike(pattern), F.regexp_extract("l", pattern, k))
+    # a section has the number of its date line; what else a line says is read after the lines have moved
+    rows = carry_forward(rows, F.when(F.col("l").rlike(TIME), F.col(number)), [by], number, "section").where("section is not null")
     rows = rows.withColumns({"date": part(TIME), "key": part(ENTRY), "entry": part(ENTRY, 2), "heading": part(HEADING)})
-    rows = running_sums(rows.withColumn("begins", F.col("date").isNotNull().cast("int")), [by], [number], {"section": "begins"})
     entry = lambda key: F.max(F.when(F.col("key") == key, F.col("entry")))
     tight = lambda c: F.replace(c, F.lit(" "), F.lit(""))
     failing = F.col("heading").isNotNull() & F.col("l").startswith("Error")
-    sections = rows.where("section > 0").groupBy(by, "section").agg(
+    sections = rows.groupBy(by, "section").agg(
         F.max("date").alias("date"),
         F.max(F.when(~failing, F.col("heading"))).alias("rule"),
         entry("input").alias("input_files"),
@@ -88,14 +90,20 @@ def summarize_run_log(lines: DataFrame, line: str = "line", number: str = "line_
         F.max(part(ENDED)).alias("finished"),
         F.max(failing).alias("failed"),
     )
-    ends = sections.select(by, F.col("section").alias("end_section"), F.coalesce("finished", F.when(F.col("failed"), F.col("sm_job"))).alias("sm_job"), F.when(F.col("failed"), "error").otherwise("finished").alias("pass_fail"), F.col("date").alias("date_end"), "conda_env").where("sm_job is not null and (pass_fail = 'error' or end_section is not null)")
-    ends = ends.join(sections.select(by, F.col("section").alias("end_section"), "finished", "failed"), [by, "end_section"]).where("finished is not null or failed").drop("finished", "failed")
-    jobs = sections.where("rule is not null").withColumn("attempt", F.row_number().over(Window.partitionBy(by, "rule", "input_files").orderBy("section"))).drop("conda_env", "finished", "failed").withColumnRenamed("date", "date_start")
+    # a section is a start, an end, both or neither; it is made once, and its sides meet by their job without a join
+    start = F.when(F.col("rule").isNotNull(), F.struct(F.col("sm_job").alias("job"), F.lit(1).alias("starts")))
+    ended = F.coalesce("finished", F.when(F.col("failed"), F.col("sm_job")))
+    end = F.when(ended.isNotNull(), F.struct(ended.alias("job"), F.lit(0).alias("starts")))
+    attempt = F.row_number().over(Window.partitionBy(by, "rule", "input_files", F.when(F.col("rule").isNull(), F.col("section"))).orderBy("section"))  # sections without a rule are spread
+    sides = sections.withColumn("attempt", attempt).withColumn("side", F.explode(F.filter(F.array(start, end), lambda x: x.isNotNull())))
     # an end belongs to the last start of its job before it
-    both = jobs.join(ends, [by, "sm_job"]).where("end_section > section")
-    best = both.groupBy(by, "sm_job", "end_section").agg(F.max("section").alias("section"), F.first("pass_fail").alias("pass_fail"), F.first("date_end").alias("date_end"), F.first("conda_env").alias("conda_env"))
-    last = best.groupBy(by, "section").agg(F.max_by(F.struct("pass_fail", "date_end", "conda_env"), "end_section").alias("e"))
-    out = jobs.join(last, [by, "section"], "left").select(by, "rule", "input_files", "attempt", "log_file", "wildcards", "resources", "sm_job", "clust_job", "date_start", "e.date_end", "e.pass_fail", "e.conda_env")
+    before = Window.partitionBy(by, "side.job").orderBy("section", "side.starts").rowsBetween(Window.unboundedPreceding, 0)
+    starts = F.col("side.starts") == 1
+    sides = sides.withColumn("start_section", F.last(F.when(starts, F.col("section")), ignorenulls=True).over(before)).where("start_section is not null")
+    fields = ("rule", "input_files", "attempt", "log_file", "wildcards", "resources", "sm_job", "clust_job", F.col("date").alias("date_start"))
+    last = F.struct(F.col("date").alias("date_end"), F.when(F.col("failed"), "error").otherwise("finished").alias("pass_fail"), "conda_env")
+    jobs = sides.groupBy(by, "side.job", "start_section").agg(F.max(F.when(starts, F.struct(*fields))).alias("s"), F.max_by(last, F.when(~starts, F.col("section"))).alias("e"))
+    out = jobs.select(by, "s.*", "e.*")
     return out.withColumn("seconds", F.unix_timestamp(log_time(F.col("date_end"))) - F.unix_timestamp(log_time(F.col("date_start"))))
 
 

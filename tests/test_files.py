@@ -75,6 +75,16 @@ def test_run_log(spark, tmp_path):
     assert (two.pass_fail, two.seconds) == ("finished", 60) and last.pass_fail is None
 
 
+def test_run_log_is_parsed_once(spark, tmp_path):
+    """Sections were made again for each side of their joins; an end without a date of its own, or before any start, is no end."""
+    log = "\n".join(["Finished job 1.", "[Mon Jan  3 10:00:00 2022]", "Finished job 1.", "[Mon Jan  3 10:00:01 2022]", "rule a:", "    input: x", "[Mon Jan  3 10:00:02 2022]", "rule a:", "    input: x", "    jobid: 1", "[Mon Jan  3 10:00:09 2022]", "Finished job 1.", "[Mon Jan  3 10:00:10 2022]", "Error in rule a:", "    jobid: 1"])
+    out = Y.summarize_run_log(R.read_run_log(spark, put(tmp_path, "run.log", log)))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan text") <= 4
+    got = sorted((r.attempt, r.sm_job, r.pass_fail, r.seconds) for r in out.collect())
+    assert got == [(1, None, None, None), (2, "1", "error", 8)]
+
+
 def test_path_list(spark, tmp_path):
     fasta = put(tmp_path, "a.fa", ">c\nA\n")
     assert R.read_path_list(spark, fasta) == [fasta]
