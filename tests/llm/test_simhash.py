@@ -208,3 +208,19 @@ def test_pivot_table_of_the_stage():
         assert (keys[:, None] == keys[None])[agree].all()
     found = {(min(x, y), max(x, y)): d for a, b, c in m._near(np.zeros(120, np.int64), fp, near) for x, y, d in zip(a.tolist(), b.tolist(), c.tolist())}
     assert found == {(i, j): apart[i, j] for i in range(120) for j in range(i + 1, 120) if apart[i, j] <= m.REACH} and len(found) > 30
+
+
+def test_a_link_is_found_though_nearer_edges_fail(spark, documents, monkeypatch):
+    """The forest has the least distances; where its edges are no links, the pairs it left out are tried."""
+    base = [f"w{k}" for k in range(300)]
+    x, y, z = list(base), list(base), list(base)
+    for k in range(3):
+        x[20 + 40 * k], y[40 + 40 * k] = f"one{k}", f"two{k}"
+    z[-1] = "odd"
+    texts = [" ".join(t) for t in (x, y, z)]
+    fp = np.stack([S.similar.wide_fingerprint(S.similar.shingles(t.encode())) for t in texts])
+    a, b = np.array([0, 0, 1]), np.array([1, 2, 2])
+    d = S.similar._distance(fp, a, b)
+    assert sorted(S.similar.forest(a, b, d).tolist()) == [1, 2] and d.max() <= S.similar.REACH  # both edges at z
+    monkeypatch.setattr(S.similar, "jaccard", lambda one, other, words: 0.0 if b"odd" in one + other else 1.0)
+    assert sorted(r.doc_id for r in S.keep_one(spark, documents(list(enumerate(texts))), "").collect()) == [0, 2]
