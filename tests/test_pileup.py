@@ -7,6 +7,7 @@ from asmlens.operators import misassembly as M
 from asmlens.operators import pileup as P
 from asmlens.operators import sampling as S
 from asmlens.operators import sequence as Q
+from asmlens.plans.catalogue import ENTRIES
 from asmlens.plans.features import extract_features
 
 ALN = "read_id string, flag int, contig string, pos int, mapq int, cigar string, tlen int, seq string, qual string, as_score int"
@@ -158,3 +159,9 @@ def test_extraction_equals_its_steps(spark):
         steps = P.dense_positions(P.pileup(P.expand_alignments(reads, refs)), refs, spine=Q.sequence_window(refs.select("contig", "seq"), 6, base="own_base"))
         steps = M.label_positions(steps, records).withColumnsRenamed({"misassembled": "Extensive_misassembly", "by_pos": "Extensive_misassembly_by_pos"})
         assert key(extract_features(aln, refs, records, max_coverage=most, seed=0, ties=("pos", "flag", "mapq", "cigar", "tlen", "seq", "qual"))) == key(steps)
+
+
+def test_expanded_reads_move_once(spark):
+    """Only reads are dealt, by piece; their positions are counted where they are laid out."""
+    plan = plan_of(ENTRIES["pil1_expand_alignments"].run(spark, "/root/testdata/sf0.001"))
+    assert plan.count("Exchange") == 1 and plan.index("Generate explode(sequence(0") < plan.index("Exchange")
